@@ -44,16 +44,16 @@ def as_flag(c: Column) -> Column:
 
 def parse_count(c: Column) -> Column:
     """Abundance of a text field: integral numbers (3, 3.0) as BIGINT, anything else and values below 1 as 1."""
-    n = F.expr("try_cast(x as decimal(38,6))") if isinstance(c, str) else c.try_cast("decimal(38,6)")
+    n = c.try_cast("decimal(38,6)")
     return F.when(n == F.floor(n), F.greatest(n.try_cast("bigint"), F.lit(1))).otherwise(F.lit(1)).cast("bigint")
 
 
 def alphabet(sample: Column) -> Column:
-    """nucleotide, amino_acid or ambiguous (no letters) for concatenated sample text.
+    """nucleotide, amino_acid or ambiguous (nothing but gap marks and blanks) for concatenated sample text.
 
     Nucleotide needs every letter to be an IUPAC base code and at least 65 % of them to be A C G T U N.
     """
-    letters = F.regexp_replace(F.upper(F.coalesce(sample, F.lit(""))), r"[^A-Z]", "")
+    letters = F.regexp_replace(F.upper(F.coalesce(sample, F.lit(""))), r"[\-.*_ \t]", "")
     core = F.length(F.regexp_replace(letters, "[^ACGTUN]", ""))
     iupac = F.length(F.regexp_replace(letters, "[^ACGTUNRYSWKMBDHV]", ""))
     n = F.length(letters)

@@ -1,2 +1,698 @@
-QUERIES = {}
-ORACLE = {}
+"""Queries of the repertoire models and the SQL they are held against."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from reploom.functions import text as tx
+from reploom.functions import tokens as tk
+from reploom.operators import algebra, analytics, genes, grammar, occupancy, scaffold, score, simulate, spectrum, structure
+from reploom.plans import model as md
+from reploom.plans import oracle as o
+from reploom.plans.dp import LocalGraph
+from reploom.session import cut, table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+SEED = 20
+
+
+def query(sql: str | None = None) -> Callable:
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def rep(spark: SparkSession, d: str) -> DataFrame:
+    """Productive, well-formed junctions of regression_input with their counts."""
+    return md.repertoire(table(spark, d, "regression_input", "junction_aa", "duplicate_count", "productive"), "junction_aa", "duplicate_count", productive="productive")
+
+
+def unit_genes(spark: SparkSession, d: str) -> DataFrame:
+    return md.repertoire(table(spark, d, "unit_repertoire"), "seq", "abundance", "v_gene", "j_gene")
+
+
+def unit(spark: SparkSession, d: str) -> DataFrame:
+    return md.repertoire(table(spark, d, "unit_repertoire"), "seq", "abundance")
+
+
+def asked(spark: SparkSession, d: str) -> DataFrame:
+    """Sequences of the unit repertoire and probes, as they are."""
+    return table(spark, d, "unit_repertoire", "seq").unionAll(table(spark, d, "probes", "seq")).filter("seq is not null").distinct()
+
+
+def _r(c: str, n: int = 6):
+    return F.round(c, n).alias(c)
+
+
+# tokenisers
+
+
+@query(o.query(o.REP, o.lz("rep", "t"), select="select seq, toks as tokens from t_tok"))
+def lz76_tokens(spark, d):
+    return rep(spark, d).select("seq", tk.lz76(tk.wrapped(F.col("seq"))).alias("tokens"))
+
+
+@query(o.query(o.REP, o.peel("rep", "t"), select="select seq, list(label order by ord) as tokens from t_lv group by seq"))
+def flashback_tokens(spark, d):
+    return rep(spark, d).select("seq", tk.flashback(F.col("seq")).alias("tokens"))
+
+
+@query(o.query(o.REP, select="select seq, seq as back from rep"))
+def flashback_reverse(spark, d):
+    return rep(spark, d).select("seq", tk.flashback_reverse(tk.flashback(F.col("seq"))).alias("back"))
+
+
+# edges and structure
+
+for _variant in md.VARIANTS:
+
+    def _edges(spark, d, variant=_variant):
+        return md.fit(rep(spark, d), variant).edges.select("src", "dst", "cnt", _r("w"))
+
+    _edges.__name__ = f"lz_edges_{_variant}"
+    query(o.query(o.REP, o.model("rep", "m", _variant), select="select src, dst, cnt, round(w, 6) as w from m_w"))(_edges)
+
+
+@query(o.query(o.REP, o.model("rep", "m", "aap", 0.5), select="select src, dst, cnt, round(w, 6) as w from m_w"))
+def lz_edges_smoothed(spark, d):
+    return md.fit(rep(spark, d), "aap", 0.5).edges.select("src", "dst", "cnt", _r("w"))
+
+
+@query(o.query(o.REP, o.model("rep", "m", "flashback"), select="select src, dst, cnt, round(w, 6) as w from m_w"))
+def flashback_edges(spark, d):
+    return md.fit(rep(spark, d), "flashback").edges.select("src", "dst", "cnt", _r("w"))
+
+
+@query(o.query(o.REP, o.model("rep", "m", "flashback"), o.sinks("m_e", "s"), select="select node from s"))
+def flashback_sinks(spark, d):
+    return md.fit(rep(spark, d), "flashback").sinks()
+
+
+@query(o.query(o.REP, o.model("rep", "m", "aap"), select="select distinct node, not starts_with(node, '@') and not contains(node, '$') as is_public from (select src as node from m_e union all select dst from m_e)"))
+def lz_nodes_aap(spark, d):
+    return md.fit(rep(spark, d), "aap").nodes().withColumn("is_public", md.is_public(F.col("node")))
+
+
+@query(o.query(o.REP, select="select length(seq) as length, cast(sum(abundance) as bigint) as cnt from rep group by 1"))
+def length_distribution(spark, d):
+    return md.count_lengths(rep(spark, d))
+
+
+_DEGREES = "deg as (select node, cast(sum(o) as bigint) as out_degree, cast(sum(i) as bigint) as in_degree, cast(sum(o * cnt) as bigint) as out_cnt, cast(sum(i * cnt) as bigint) as in_cnt from (select src as node, 1 as o, 0 as i, cnt from m_e union all select dst, 0, 1, cnt from m_e) group by node)"
+
+
+@query(o.query(o.REP, o.model("rep", "m", "aap"), _DEGREES, select="select * from deg"))
+def node_degrees(spark, d):
+    return structure.degrees(md.fit(rep(spark, d), "aap"))
+
+
+@query(o.query(o.REP, o.model("rep", "m", "aap"), _DEGREES, select="select node, out_degree + in_degree as degree from deg order by 2 desc, 1 limit 20"))
+def hub_nodes(spark, d):
+    return structure.hubs(md.fit(rep(spark, d), "aap"))
+
+
+@query(o.query(o.REP, o.model("rep", "m", "aap"), select="select 'next' as side, dst as node, cnt, round(w, 6) as w from m_w where src = 'S_4' union all select 'before', src, cnt, round(w, 6) from m_w where dst = 'S_4'"))
+def successors(spark, d):
+    m = md.fit(rep(spark, d), "aap")
+    return structure.successors(m, "S_4").select(F.lit("next").alias("side"), "node", "cnt", _r("w")).unionAll(structure.predecessors(m, "S_4").select(F.lit("before").alias("side"), "node", "cnt", _r("w")))
+
+
+@query(
+    o.query(
+        o.REP, o.model("rep", "m", "aap"), _DEGREES,
+        "pub as (select * from m_e where not starts_with(src, '@') and not contains(src, '$') and not starts_with(dst, '@') and not contains(dst, '$'))",
+        select="""select count(*) as n_nodes, cast(sum(out_degree) as bigint) as n_edges, cast(1 as bigint) as n_initial, (select count(distinct dst) from m_e where tok like '%$') as n_terminal,
+        (select cast(sum(abundance) as bigint) from rep) as n_sequences, max(out_degree) as max_out_degree, max(in_degree) as max_in_degree, round(sum(out_degree) / (count(*) * (count(*) - 1)), 12) as density,
+        (select count(*) from deg where not starts_with(node, '@') and not contains(node, '$') and node not in (select src from pub) and node not in (select dst from pub)) as n_isolated from deg""",
+    )
+)
+def graph_summary(spark, d):
+    return structure.summary(md.fit(rep(spark, d), "aap").persist())
+
+
+# scoring
+
+
+@query(
+    o.query(
+        o.REP, o.ASKED, o.model("rep", "m", "flashback"), o.sinks("m_e", "s"), o.peel("asked", "q"),
+        "sc as (select seq, sum(ln(w)) as lp, bool_or(w is null) as miss, arg_max(dst, i) as last from q_tr left join (select src, dst, w from m_w) using (src, dst) group by seq)",
+        select="select seq, round(case when not miss and last in (select node from s) then lp else -690.7755278982137 end, 6) as log_pgen from asked left join sc using (seq)",
+    )
+)
+def flashback_pgen(spark, d):
+    return score.log_pgen(md.fit(rep(spark, d), "flashback"), asked(spark, d)).select("seq", _r("log_pgen"))
+
+
+_LZ_SCORE = [
+    o.REP, o.ASKED, o.model("rep", "m", "aap"), o.lz("asked", "q"),
+    """open as (select q.seq, q.i, q.dst as want, m.dst, m.w from q_tr q left join m_w m on m.src = q.src and
+        case when length(m.tok) = 1 then not list_contains(q.emitted, m.tok) else not list_contains(q.emitted, m.tok) and list_contains(q.emitted, m.tok[:-2]) end)""",
+    "st as (select seq, i, sum(w) as z, sum(case when dst = want then w end) as w from open group by 1, 2)",
+    "sc as (select seq, sum(ln(w / z)) as lp, bool_and(w is not null) as ok from st group by 1)",
+    "pg as (select asked.seq, case when ok then lp else -690.7755278982137 end as log_pgen from asked left join sc using (seq))",
+]
+
+
+@query(o.query(*_LZ_SCORE, select="select seq, round(log_pgen, 6) as log_pgen from pg"))
+def lz_pgen_raw(spark, d):
+    return score.log_pgen(md.fit(rep(spark, d), "aap"), asked(spark, d)).select("seq", _r("log_pgen"))
+
+
+@query(o.query(*_LZ_SCORE, select="select seq, log_pgen > -690.0 as in_model from pg"))
+def membership(spark, d):
+    return score.contains(md.fit(rep(spark, d), "aap"), asked(spark, d))
+
+
+_PLAIN = """ust(seq, rest, cur, n, toks) as (select seq, seq, '', 0, cast([] as varchar[]) from asked
+        union all select seq, rest[2:], case when list_contains(toks, cur || rest[1]) then cur || rest[1] else '' end, case when list_contains(toks, cur || rest[1]) then n else n + 1 end,
+            case when list_contains(toks, cur || rest[1]) then toks else list_append(toks, cur || rest[1]) end from ust where rest <> ''),
+    len as (select seq, n + case when cur <> '' then 1 else 0 end as n from ust where rest = '')"""
+
+
+@query(o.query(*_LZ_SCORE, _PLAIN, select="select seq, n as n_tokens, case when log_pgen > -690 and n > 0 then round(exp(-log_pgen / n), 6) else cast('infinity' as double) end as perplexity, case when log_pgen > -690 and n > 0 then round(-log_pgen / n / ln(2), 6) end as bits_per_token from pg join len using (seq)"))
+def sequence_perplexity(spark, d):
+    return score.sequence_perplexity(score.log_pgen(md.fit(rep(spark, d), "aap"), asked(spark, d))).select("seq", "n_tokens", _r("perplexity"), _r("bits_per_token"))
+
+
+@query(o.query(*_LZ_SCORE, _PLAIN, select="select case when count(*) filter (not (log_pgen > -690 and n > 0)) > 0 then cast('infinity' as double) else round(exp2(avg(-log_pgen / n / ln(2))), 6) end as perplexity, round(coalesce(avg(case when log_pgen > -690 and n > 0 then -log_pgen / n / ln(2) end), 0), 6) as entropy_rate from pg join len using (seq)".replace("exp2(", "pow(2, ")))
+def repertoire_perplexity(spark, d):
+    p = score.repertoire_perplexity(score.log_pgen(md.fit(rep(spark, d), "aap"), asked(spark, d)))
+    return p.select(_r("perplexity"), _r("entropy_rate"))
+
+
+@query(
+    o.query(
+        *[x.replace("asked as (", "asked as (select seq from unit), unused as (") if x == o.ASKED else x for x in [o.REP, o.UNIT, *_LZ_SCORE[1:]]],
+        "s as (select seq, abundance as n, log_pgen, log_pgen > -690 as hit from unit join pg using (seq))",
+        "c as (select *, n / (select sum(n) from s where hit) as q from s where hit)",
+        "r as (select log_pgen, n, rank() over (order by n) + (count(*) over (partition by n) - 1) / 2.0 as rn, rank() over (order by log_pgen) + (count(*) over (partition by log_pgen) - 1) / 2.0 as rl from c)",
+        select="""select (select count(*) from s) as n_types, round((select count(*) from c) / (select count(*) from s), 6) as coverage_types, round((select sum(n) from c) / (select sum(n) from s), 6) as coverage_mass,
+        round((select sum(-q * log_pgen) from c), 6) as cross_entropy, round((select sum(-q * ln(q)) from c), 6) as entropy, round((select sum(-q * log_pgen) + sum(q * ln(q)) from c), 6) as kl,
+        round((select avg(log_pgen) from c), 6) as mean_log_pgen, round((select median(log_pgen) from c), 6) as median_log_pgen, round((select corr(rn, rl) from r), 4) as spearman""",
+    )
+)
+def approximation_diagnostics(spark, d):
+    out = score.approximation_diagnostics(md.fit(rep(spark, d), "aap"), unit(spark, d))
+    return out.select("n_types", *[_r(c) for c in out.columns if c not in ("n_types", "perplexity", "spearman")], _r("spearman", 4))
+
+
+# exact distribution of the Markov model
+
+_FB = [o.REP, o.model("rep", "m", "flashback"), o.sinks("m_e", "s")]
+_ROOT = "@$_1{0}"
+
+
+def _fb(spark, d) -> md.Model:
+    return md.fit(rep(spark, d), "flashback")
+
+
+def _absorbed(values: dict[str, tuple[str, str]], select: str) -> str:
+    return o.query(*_FB, o.forward("m_w", "dp", _ROOT, values), "f as (select " + ", ".join(f"sum({k}) as {k}" for k in values) + " from dp join s using (node))", select=select)
+
+
+_MASS, _ENT, _ONE = ("1", "d.m * e.w"), ("0", "e.w * (d.h - d.m * ln(e.w))"), ("1", "d.n")
+
+
+@query(_absorbed({"n": _ONE}, "select round(log10(n), 6) as log10_paths from f"))
+def path_count(spark, d):
+    return analytics.profile(_fb(spark, d)).select(F.round(F.log10("path_count"), 6).alias("log10_paths"))
+
+
+@query(_absorbed({"m": _MASS, "h": _ENT}, "select round(h, 6) as entropy_nats, round(h / ln(2), 6) as entropy_bits, round(exp(h), 3) as effective_diversity, round(m, 6) as absorbed, abs(m - 1) < 1e-6 as is_proper from f"))
+def effective_diversity(spark, d):
+    return analytics.profile(_fb(spark, d)).select(_r("entropy_nats"), _r("entropy_bits"), _r("effective_diversity", 3), _r("absorbed"), "is_proper")
+
+
+_ORDERS = (0.5, 1.5, 2.0, 3.0, 5.0)
+_POWERS = {f"p{i}": ("1", f"d.p{i} * pow(e.w, {a})") for i, a in enumerate(_ORDERS)}
+
+
+@query(_absorbed(_POWERS, " union all ".join(f"select cast({a} as double) as alpha, round(ln(p{i}), 6) as log_power_sum from f" for i, a in enumerate(_ORDERS))))
+def power_sums(spark, d):
+    return analytics.power_sums(_fb(spark, d), list(_ORDERS)).select("alpha", F.round(F.log("power_sum"), 6).alias("log_power_sum"))
+
+
+@query(_absorbed(_POWERS | {"m": _MASS, "h": _ENT, "n": _ONE}, "select cast(0 as double) as alpha, round(ln(n), 6) as log_hill from f union all select 1, round(h, 6) from f union all " + " union all ".join(f"select {a}, round(ln(p{i}) / (1 - {a}), 6) from f" for i, a in enumerate(_ORDERS))))
+def hill_curve(spark, d):
+    return analytics.hill_curve(_fb(spark, d), (0.0, 1.0, *_ORDERS)).select("alpha", F.round(F.log("hill"), 6).alias("log_hill"))
+
+
+@query(o.query(*_FB, "dp as (select 0 as step, '@$_1{0}' as node, cast(0 as double) as lo, cast(0 as double) as hi union all select d.step + 1, e.dst, min(d.lo + ln(e.w)), max(d.hi + ln(e.w)) from dp d join m_w e on e.src = d.node group by d.step + 1, e.dst)", select="select round(min(lo), 6) as min_log_pgen, round(max(hi), 6) as max_log_pgen, round(max(hi) - min(lo), 6) as dynamic_range from dp join s using (node)"))
+def dynamic_range(spark, d):
+    return analytics.profile(_fb(spark, d)).select(_r("min_log_pgen"), _r("max_log_pgen"), _r("dynamic_range"))
+
+
+def _jet(order: int, q: float = 1.0) -> dict[str, tuple[str, str]]:
+    from math import comb
+
+    return {f"v{j}": ("1" if j == 0 else "0", f"pow(e.w, {q}) * (" + " + ".join(f"{comb(j, i)} * pow(ln(e.w), {j - i}) * d.v{i}" for i in range(j + 1)) + ")") for j in range(order + 1)}
+
+
+@query(_absorbed(_jet(4), "select round(v1 / v0, 6) as mean, round(v2 / v0 - pow(v1 / v0, 2), 6) as variance, round(v0, 6) as mass from f"))
+def pgen_moments(spark, d):
+    return analytics.moments_row(_fb(spark, d)).select(_r("mean"), _r("variance"), _r("mass"))
+
+
+@query(_absorbed(_jet(3, 1.5), " union all ".join(f"select cast({j} as integer) as j, round(v{j} / v0, 6) as ratio from f" for j in range(4))))
+def mellin_derivatives(spark, d):
+    m = spectrum.mellin(_fb(spark, d), [1.5], 3)
+    return m.select("j", F.round(F.col("value") / m.filter("j = 0").select("value").scalar(), 6).alias("ratio"))
+
+
+@query(o.query(o.REP, o.model("rep", "m", "aap"), "s as (select distinct dst as node from m_e where tok like '%$')", o.forward("m_w", "dp", "@_1", _jet(2)), "f as (select sum(v0) as v0, sum(v1) as v1, sum(v2) as v2 from dp join s using (node))", select="select round(v1 / v0, 6) as mean, round(v2 / v0 - pow(v1 / v0, 2), 6) as variance, round(v0, 6) as mass from f"))
+def lz_pgen_moments(spark, d):
+    """Moments of the unconstrained forward pass over an LZ model."""
+    return analytics.moments_row(md.fit(rep(spark, d), "aap")).select(_r("mean"), _r("variance"), _r("mass"))
+
+
+@query(
+    o.query(
+        *_FB,
+        """dp as (select 0 as step, '@$_1{0}' as node, cast(0 as bigint) as len, cast(1 as double) as p union all
+        select d.step + 1, e.dst, d.len + length(regexp_replace(e.dst, '_[0-9]+\\{[0-9]+\\}$', '')), sum(d.p * e.w) from dp d join m_w e on e.src = d.node group by d.step + 1, e.dst, d.len + length(regexp_replace(e.dst, '_[0-9]+\\{[0-9]+\\}$', '')))""",
+        select="select cast(len as integer) as length, round(sum(p), 9) as prob from dp join s using (node) group by 1",
+    )
+)
+def length_profile(spark, d):
+    return spectrum.length_profile(_fb(spark, d)).select("length", _r("prob", 9))
+
+
+@query(_absorbed({"m": _MASS}, "select round(m, 6) as mass, true as in_range from f"))
+def histogram_spectrum(spark, d):
+    h = spectrum.histogram(_fb(spark, d))
+    return h.agg(F.round(F.sum("weight"), 6).alias("mass"), F.min(F.col("weight") >= 0).alias("in_range"))
+
+
+@query()
+def saddlepoint_cdf(spark, d):
+    return spectrum.saddlepoint_cdf(_fb(spark, d), [-40.0, -35.0, -30.0, -25.0, -20.0, -15.0])
+
+
+# small model with every path: the probes' own
+
+_SMALL = ["pr as (select seq, cast(count(*) as bigint) as abundance from probes where regexp_full_match(seq, '[A-Z]+') group by 1)", o.model("pr", "m", "flashback"), o.sinks("m_e", "s")]
+_PATHS = "pa(node, labels, lp) as (select '@$_1{0}', ['@$_1{0}'], cast(0 as double) union all select e.dst, list_append(p.labels, e.dst), p.lp + ln(e.w) from pa p join m_w e on e.src = p.node), full_ as (select labels, lp from pa join s using (node))"
+
+
+def _small(spark, d) -> md.Model:
+    return md.fit(md.repertoire(table(spark, d, "probes").filter("seq rlike '^[A-Z]+$'"), "seq"), "flashback").persist()
+
+
+@query(o.query(*_SMALL, _PATHS, select="select count(*) as n, round(sum(exp(lp)), 6) as mass, round(min(lp), 6) as lo, round(max(lp), 6) as hi from full_"))
+def exact_atoms(spark, d):
+    a = spectrum.atoms(_small(spark, d))
+    return a.agg(F.count_distinct("seq").alias("n"), F.round(F.sum(F.exp("log_pgen")), 6).alias("mass"), F.round(F.min("log_pgen"), 6).alias("lo"), F.round(F.max("log_pgen"), 6).alias("hi"))
+
+
+@query(o.query(*_SMALL, _PATHS, select=" union all ".join(f"select cast({n} as double) as depth, round(sum(1 - pow(1 - exp(lp), {n})), 6) as richness from full_" for n in (10, 100, 1000))))
+def expected_richness(spark, d):
+    return spectrum.expected_richness(spectrum.atoms(_small(spark, d)), [10, 100, 1000]).select("depth", _r("richness"))
+
+
+@query(o.query(*_SMALL, _PATHS, select=" union all ".join(f"select {k} as count, round(sum(exp(lgamma(101) - lgamma({k + 1}) - lgamma({101 - k}) + {k} * lp + {100 - k} * ln(1 - exp(lp)))), 6) as expected from full_" for k in (1, 2, 3, 4))))
+def frequency_spectrum(spark, d):
+    return spectrum.frequency_spectrum(spectrum.atoms(_small(spark, d)), 100, 4).select("count", _r("expected"))
+
+
+@query(o.query(*_SMALL, _PATHS, select="select rank, round(lp, 6) as log_pgen from (select row_number() over (order by lp desc) as rank, lp from full_) where rank <= 10").replace("select rank, round", "select cast(rank as integer) as rank, round"))
+def top_k(spark, d):
+    return analytics.top_sequences(_small(spark, d), 10).select("rank", _r("log_pgen"))
+
+
+@query()
+def position(spark, d):
+    return spectrum.position(spectrum.atoms(_small(spark, d)), table(spark, d, "probes", "seq"))
+
+
+@query()
+def top_k_large(spark, d):
+    return analytics.top_sequences(_fb(spark, d), 20)
+
+
+# algebra
+
+_TWO = [o.REP, o.UNIT, o.model("rep", "a", "flashback"), o.model("unit", "b", "flashback")]
+_OUT = "select src, dst, cnt, round(w, 6) as w from x_w"
+
+
+def _two(spark, d, variant="flashback"):
+    return md.fit(rep(spark, d), variant), md.fit(unit(spark, d), variant)
+
+
+def _edges_of(m: md.Model) -> DataFrame:
+    return m.edges.select("src", "dst", "cnt", _r("w"))
+
+
+@query(o.query(*_TWO, "x as (select src, dst, cast(sum(cnt) as bigint) as cnt from (select src, dst, cnt from a_e union all select src, dst, cnt from b_e) group by 1, 2)", o.weights("x", "x_w"), select=_OUT))
+def graph_union(spark, d):
+    return _edges_of(algebra.union(*_two(spark, d)))
+
+
+@query(o.query(*_TWO, "x as (select a.src, a.dst, least(a.cnt, b.cnt) as cnt from a_e a join b_e b using (src, dst))", o.weights("x", "x_w"), select=_OUT))
+def graph_intersection(spark, d):
+    return _edges_of(algebra.intersection(*_two(spark, d)))
+
+
+@query(o.query(*_TWO, "x as (select src, dst, a.cnt - coalesce(b.cnt, 0) as cnt from a_e a left join b_e b using (src, dst) where a.cnt - coalesce(b.cnt, 0) > 0)", o.weights("x", "x_w"), select=_OUT))
+def graph_difference(spark, d):
+    return _edges_of(algebra.difference(*_two(spark, d)))
+
+
+@query(o.query(*_TWO, "y as (select src, dst, cast(round(0.3 * cnt) as bigint) as cnt from a_e union all select src, dst, cast(round(1.5 * cnt) as bigint) from b_e)", "x as (select src, dst, cast(sum(cnt) as bigint) as cnt from y where cnt > 0 group by 1, 2)", o.weights("x", "x_w"), select=_OUT))
+def weighted_merge(spark, d):
+    return _edges_of(algebra.weighted_merge(*_two(spark, d), 0.3, 1.5))
+
+
+_SHARES = "na as (select src as node, sum(cnt) as c from a_e group by 1), nb as (select src as node, sum(cnt) as c from b_e group by 1), pq as (select node, coalesce(na.c, 0) / (select sum(c) from na) as p, coalesce(nb.c, 0) / (select sum(c) from nb) as q from na full join nb using (node))"
+_JSD = "round((sum(case when p > 0 then p * ln(2 * p / (p + q)) else 0 end) + sum(case when q > 0 then q * ln(2 * q / (p + q)) else 0 end)) / 2, 6)"
+
+
+@query(o.query(*_TWO, _SHARES, select=f"select {_JSD} as jsd from pq"))
+def jsd(spark, d):
+    return algebra.jensen_shannon(*_two(spark, d)).select(_r("jsd"))
+
+
+@query(
+    o.query(
+        *_TWO, _SHARES, "va as (select src as node from a_e union select dst from a_e), vb as (select src as node from b_e union select dst from b_e)",
+        "ni as (select count(*) as s from va join vb using (node)), ei as (select count(*) as s from a_e join b_e using (src, dst))",
+        select=f"""select {_JSD} as jsd, round((select s from ni) / ((select count(*) from va) + (select count(*) from vb) - (select s from ni)), 6) as node_jaccard,
+        round((select s from ei) / ((select count(*) from a_e) + (select count(*) from b_e) - (select s from ei)), 6) as edge_jaccard, (select s from ni) as shared_nodes, (select s from ei) as shared_edges from pq""",
+    )
+)
+def compare_jaccard(spark, d):
+    return algebra.compare(*_two(spark, d)).select(_r("jsd"), _r("node_jaccard"), _r("edge_jaccard"), "shared_nodes", "shared_edges")
+
+
+@query(o.query(*_TWO, _SHARES, "va as (select src as node from a_e union select dst from a_e)", select="select node, round(coalesce(c / (select sum(c) from nb), 0), 9) as share from va left join nb using (node)"))
+def feature_aligned(spark, d):
+    return algebra.aligned_features(*_two(spark, d)).select("node", _r("share", 9))
+
+
+def _posterior_sql(variant: str) -> str:
+    return o.query(
+        o.REP, o.UNIT, o.model("rep", "a", variant), o.model("unit", "b", variant), "va as (select src as node from a_e union select dst from a_e)",
+        "known as (select src, dst, cnt as c from b_e where src in (select node from va) and dst in (select node from va))", "tot as (select src, sum(c) as n from known group by 1)",
+        "raw as (select a.src, a.dst, a.cnt, (10.0 * w + coalesce(c, 0)) / (10.0 + coalesce(n, 0)) as r from a_w a left join known using (src, dst) left join tot on tot.src = a.src)",
+        select="select src, dst, cnt, round(r / sum(r) over (partition by src), 6) as w from raw",
+    )
+
+
+@query(_posterior_sql("flashback"))
+def posterior_flashback(spark, d):
+    return _edges_of(algebra.posterior(md.fit(rep(spark, d), "flashback"), unit(spark, d), 10.0))
+
+
+@query(_posterior_sql("aap"))
+def posterior_lz(spark, d):
+    return _edges_of(algebra.posterior(md.fit(rep(spark, d), "aap"), unit(spark, d), 10.0))
+
+
+@query(o.query(*_TWO, "x as (select src, dst, a.cnt - coalesce(b.cnt, 0) as cnt from a_e a left join b_e b using (src, dst) where a.cnt - coalesce(b.cnt, 0) > 0)", o.weights("x", "x_w"), select=_OUT))
+def without_flashback(spark, d):
+    return _edges_of(algebra.without(md.fit(rep(spark, d), "flashback"), unit(spark, d)))
+
+
+@query(o.query(o.REP, o.model("rep", "m", "aap"), _DEGREES, "s as (select distinct dst as node from m_e where tok like '%$')", select="select count(*) as n_nodes, cast(sum(out_degree) as bigint) as n_edges, (select count(*) from s) as n_sinks, round((select count(*) from s) / count(*), 6) as sink_share, max(out_degree) as max_out_degree from deg"))
+def feature_sizes(spark, d):
+    return algebra.degree_features(md.fit(rep(spark, d), "aap")).select("n_nodes", "n_edges", "n_sinks", _r("sink_share"), "max_out_degree")
+
+
+# genes
+
+_GENES = [o.UNIT_GENES, "known as (select * from unit_genes where v_gene is not null and j_gene is not null)"]
+
+
+def _with_genes(spark, d) -> md.Model:
+    return md.fit(unit_genes(spark, d), "aap", genes=True)
+
+
+@query(o.query(*_GENES, "g as (select 'v' as kind, v_gene as gene, abundance from known union all select 'j', j_gene, abundance from known)", select="select kind, gene, cast(sum(abundance) as bigint) as cnt, round(sum(abundance) / (select sum(abundance) from known), 6) as prob from g group by 1, 2"))
+def gene_marginals(spark, d):
+    return genes.marginals(_with_genes(spark, d)).select("kind", "gene", "cnt", _r("prob"))
+
+
+@query(o.query(*_GENES, select="select v_gene, j_gene, cast(sum(abundance) as bigint) as cnt, round(sum(abundance) / (select sum(abundance) from known), 6) as prob from known group by 1, 2"))
+def vj_joint(spark, d):
+    return genes.joint(_with_genes(spark, d)).select("v_gene", "j_gene", "cnt", _r("prob"))
+
+
+@query(o.query(*_GENES, o.lz("known", "t"), "g as (select src, dst, 'v' as kind, v_gene as gene, abundance from t_tr join known using (seq) union all select src, dst, 'j', j_gene, abundance from t_tr join known using (seq))", "c as (select src, dst, kind, gene, cast(sum(abundance) as bigint) as cnt from g group by 1, 2, 3, 4)", select="select *, round(cnt / sum(cnt) over (partition by src, dst, kind), 6) as prob from c"))
+def edge_gene_counts(spark, d):
+    return genes.edge_gene_probability(_with_genes(spark, d)).select("src", "dst", "kind", "gene", "cnt", _r("prob"))
+
+
+# grammar
+
+_RULES = """r_e as (select ord = 0 as is_start, a, z, case when mid <> '' then 'internal' when z_run > 0 then 'leaf_pair' when a_run = 1 then 'leaf_single' else 'leaf_run' end as kind, a_run, z_run, left(mid, 1) as dst_a, right(mid, 1) as dst_z,
+        cast(sum(abundance) as double) as cnt from t_lv join rep using (seq) group by all),
+    r_w as (select *, cnt / sum(cnt) over (partition by is_start, a, z) as w from r_e)"""
+_GR = [o.REP, o.peel("rep", "t"), _RULES]
+
+
+def _grammar(spark, d) -> grammar.Grammar:
+    return grammar.fit(rep(spark, d))
+
+
+@query(o.query(*_GR, select="select is_start, a, z, kind, cast(a_run as integer) as a_run, cast(z_run as integer) as z_run, dst_a, dst_z, cnt, round(w, 6) as w from r_w"))
+def grammar_rules(spark, d):
+    return _grammar(spark, d).rules.select(*grammar.NT, *grammar.RULE, "cnt", _r("w"))
+
+
+_ASKED_STEPS = "qs as (select seq, ord = 0 as is_start, a, z, case when mid <> '' then 'internal' when z_run > 0 then 'leaf_pair' when a_run = 1 then 'leaf_single' else 'leaf_run' end as kind, a_run, z_run, left(mid, 1) as dst_a, right(mid, 1) as dst_z from q_lv)"
+_FULL_KEY = "is_start, a, z, kind, a_run, z_run, dst_a, dst_z"
+_FORM = "a, z, kind, a_run, z_run, dst_a, dst_z"
+
+
+@query(o.query(*_GR, o.ASKED, o.peel("asked", "q"), _ASKED_STEPS, f"sc as (select seq, sum(ln(w)) as lp, bool_and(w is not null) as ok from qs left join r_w using ({_FULL_KEY}) group by 1)", select="select seq, round(case when ok then lp else -690.7755278982137 end, 6) as log_pgen from asked left join sc using (seq)"))
+def grammar_pgen_mle(spark, d):
+    return grammar.log_pgen(_grammar(spark, d), asked(spark, d), "none").select("seq", _r("log_pgen"))
+
+
+@query(
+    o.query(
+        *_GR, o.ASKED, o.peel("asked", "q"), _ASKED_STEPS, "nt as (select is_start, a, z, least(count(*) filter (cnt <= 1) / sum(cnt), 0.5) as delta from r_e group by 1, 2, 3)",
+        f"mg as (select {_FORM}, sum(cnt) / (select sum(cnt) from r_e) as marg from r_e group by {_FORM})",
+        f"p as (select seq, case when w is not null then (1 - delta) * w else delta * marg end as p from qs left join r_w using ({_FULL_KEY}) left join nt using (is_start, a, z) left join mg using ({_FORM}))",
+        "sc as (select seq, sum(case when p > 0 then ln(p) end) as lp, bool_and(coalesce(p > 0, false)) as ok from p group by 1)",
+        select="select seq, round(case when ok then lp else -690.7755278982137 end, 6) as log_pgen from asked left join sc using (seq)",
+    )
+)
+def grammar_pgen_gt(spark, d):
+    return grammar.log_pgen(_grammar(spark, d), asked(spark, d)).select("seq", _r("log_pgen"))
+
+
+def _lengths_sql(weight: str, out: str) -> str:
+    return o.query(
+        *_GR,
+        f"""gl as (select dst_a as a, dst_z as z, cast(0 as bigint) as len, cast(sum({weight}) as double) as p from r_w where is_start group by 1, 2
+            union all select r.dst_a, r.dst_z, g.len + r.a_run + r.z_run, sum(g.p * {weight}) from gl g join r_w r on r.a = g.a and r.z = g.z and not r.is_start
+            where g.a <> '' and g.len + r.a_run + r.z_run <= 40 group by 1, 2, 3)""",
+        select=f"select cast(len as integer) as length, {out} from gl where a = '' and len <= 40 group by 1",
+    )
+
+
+@query(_lengths_sql("w", "round(sum(p), 9) as prob"))
+def grammar_length_pmf(spark, d):
+    return grammar.length_table(_grammar(spark, d), 40).filter("n_derivations > 0").select("length", _r("prob", 9))
+
+
+@query(_lengths_sql("1", "round(log10(sum(p)), 6) as log10_n"))
+def grammar_path_count_series(spark, d):
+    return grammar.length_table(_grammar(spark, d), 40).filter("n_derivations > 0").select("length", F.round(F.log10("n_derivations"), 6).alias("log10_n"))
+
+
+@query()
+def grammar_entropy(spark, d):
+    return grammar.profile(_grammar(spark, d))
+
+
+@query()
+def grammar_top_k(spark, d):
+    return grammar.top_sequences(_grammar(spark, d), 10)
+
+
+@query(
+    o.query(
+        *_GR, o.UNIT, o.peel("unit", "u"),
+        "n_e as (select ord = 0 as is_start, a, z, case when mid <> '' then 'internal' when z_run > 0 then 'leaf_pair' when a_run = 1 then 'leaf_single' else 'leaf_run' end as kind, a_run, z_run, left(mid, 1) as dst_a, right(mid, 1) as dst_z, cast(sum(abundance) as double) as c from u_lv join unit using (seq) group by all)",
+        f"x as (select {_FULL_KEY}, 10.0 * w + coalesce(c, 0) as cnt from r_w left join n_e using ({_FULL_KEY}))",
+        select=f"select is_start, a, z, kind, cast(a_run as integer) as a_run, cast(z_run as integer) as z_run, dst_a, dst_z, round(cnt, 6) as cnt, round(cnt / sum(cnt) over (partition by is_start, a, z), 6) as w from x",
+    )
+)
+def grammar_posterior(spark, d):
+    return grammar.posterior(_grammar(spark, d), unit(spark, d), 10.0).rules.select(*grammar.NT, *grammar.RULE, _r("cnt"), _r("w"))
+
+
+@query(
+    o.query(
+        *_GR, o.UNIT, o.peel("unit", "u"),
+        "n_e as (select ord = 0 as is_start, a, z, case when mid <> '' then 'internal' when z_run > 0 then 'leaf_pair' when a_run = 1 then 'leaf_single' else 'leaf_run' end as kind, a_run, z_run, left(mid, 1) as dst_a, right(mid, 1) as dst_z, cast(sum(abundance) as double) as c from u_lv join unit using (seq) group by all)",
+        f"x as (select {_FULL_KEY}, cnt - coalesce(c, 0) as cnt from r_w left join n_e using ({_FULL_KEY}) where cnt - coalesce(c, 0) > 1e-9)",
+        select=f"select is_start, a, z, kind, cast(a_run as integer) as a_run, cast(z_run as integer) as z_run, dst_a, dst_z, cnt, round(cnt / sum(cnt) over (partition by is_start, a, z), 6) as w from x",
+    )
+)
+def grammar_without(spark, d):
+    return grammar.without(_grammar(spark, d), unit(spark, d)).rules.select(*grammar.NT, *grammar.RULE, "cnt", _r("w"))
+
+
+# reading
+
+
+@query(rf"select row_id, regexp_full_match(trim(junction_aa, {o._B}), '[*.\-]*\p{{L}}[\p{{L}}*.\-]*') as wellformed, coalesce(lower(trim(productive, {o._B})) in ('t', 'true', '1', 'yes'), false) as productive from regression_input")
+def wellformed_filter(spark, d):
+    return table(spark, d, "regression_input", "row_id", "junction_aa", "productive").select("row_id", tx.is_sequence(F.col("junction_aa")).alias("wellformed"), tx.is_productive(F.col("productive")).alias("productive"))
+
+
+@query(
+    r"""with t as (select gene_segment, regexp_replace(upper(coalesce(string_agg(germline_nt, ''), '')), '[-.*_ \t]', '', 'g') as s from gene_reference group by 1)
+    select gene_segment, case when s = '' then 'ambiguous' when length(regexp_replace(s, '[ACGTUNRYSWKMBDHV]', '', 'g')) = 0 and length(regexp_replace(s, '[^ACGTUN]', '', 'g')) >= 0.65 * length(s) then 'nucleotide' else 'amino_acid' end as alphabet from t"""
+)
+def alphabet_inference(spark, d):
+    return table(spark, d, "gene_reference").groupBy("gene_segment").agg(F.concat_ws("", F.collect_list("germline_nt")).alias("s")).select("gene_segment", tx.alphabet(F.col("s")).alias("alphabet"))
+
+
+# samples, saturation, scaffold
+
+
+@query(
+    o.query(
+        "rows_ as (select row_number() over (order by seq) as idx, seq from (select distinct seq from unit_repertoire where regexp_full_match(seq, '[A-Z]+')))", o.lz("rows_", "t"),
+        "nf as (select label, min(idx) as f from (select seq, unnest(labels) as label from t_lab) join rows_ using (seq) group by 1)", "ef as (select src, dst, min(idx) as f from t_tr join rows_ using (seq) group by 1, 2)",
+        "pt as (select distinct least(cast(ceil(idx / 100.0) * 100 as bigint), (select max(idx) from rows_)) as n_seqs from rows_)",
+        select="select n_seqs, (select count(*) from nf where f <= n_seqs) as n_nodes, (select count(*) from ef where f <= n_seqs) as n_edges from pt",
+    )
+)
+def saturation_curve(spark, d):
+    from reploom.session import running_total
+
+    seqs = table(spark, d, "unit_repertoire", "seq").filter("seq rlike '^[A-Z]+$'").distinct().withColumn("one", F.lit(1))
+    return occupancy.saturation(running_total(seqs, "seq", "one", "idx").select("idx", "seq"), "aap", 100)
+
+
+@query(
+    o.query(
+        o.REP, o.model("rep", "m", "flashback"), _DEGREES,
+        r"""tk as (select node, greatest(in_cnt, out_cnt) as mass, regexp_extract(node, '(?s)^(.*)_(\d+)\{(\d+)\}$', 1) as sym, cast(regexp_extract(node, '(?s)^(.*)_(\d+)\{(\d+)\}$', 2) as integer) as split,
+            cast(regexp_extract(node, '(?s)^(.*)_(\d+)\{(\d+)\}$', 3) as integer) as ord from deg where not starts_with(node, '@') and not contains(node, '$'))""",
+        """sl as (select ord, case when split = 0 then 'center' else 'front' end as lane, unnest(range(case when split = 0 then length(sym) else split end)) as off, mass from tk where ord > 0
+            union all select ord, 'back', unnest(range(length(sym) - split)), mass from tk where ord > 0 and split > 0)""",
+        select='select ord, lane, cast(off as integer) as "offset", cast(sum(mass) as bigint) as mass, count(*) as n_tokens from sl group by 1, 2, 3',
+    )
+)
+def scaffold_slot_counts(spark, d):
+    return scaffold.slots(md.fit(rep(spark, d), "flashback"))
+
+
+@query()
+def scaffold_alignment(spark, d):
+    return scaffold.align(md.fit(unit(spark, d), "flashback"), unit(spark, d))
+
+
+@query()
+def scaffold_occupancy(spark, d):
+    return scaffold.occupancy(md.fit(rep(spark, d), "flashback"), unit(spark, d))
+
+
+N_SIM = 10_000  # fixed value: walks of a Monte Carlo estimate
+
+
+def _sims(spark, d, n: int = N_SIM) -> DataFrame:
+    return simulate.simulate(md.fit(unit(spark, d), "aap"), n, SEED)
+
+
+@query()
+def simulate_lz(spark, d):
+    return _sims(spark, d)
+
+
+@query()
+def simulate_flashback(spark, d):
+    return simulate.simulate(_fb(spark, d), N_SIM, SEED)
+
+
+@query()
+def simulate_grammar(spark, d):
+    return simulate.simulate_grammar(_grammar(spark, d), N_SIM, SEED)
+
+
+@query()
+def simulate_genes(spark, d):
+    return simulate.simulate_genes(_with_genes(spark, d), 2000, SEED)
+
+
+@query()
+def hill_mc(spark, d):
+    return analytics.monte_carlo(_sims(spark, d))
+
+
+@query()
+def pgen_mixture(spark, d):
+    return analytics.mixture(cut(_sims(spark, d)))
+
+
+@query()
+def predicted_richness(spark, d):
+    return occupancy.richness_curve(cut(_sims(spark, d)), [100.0, 1000.0, 10000.0])
+
+
+@query()
+def predicted_overlap(spark, d):
+    return occupancy.predicted_overlap(cut(_sims(spark, d)), 1000.0, 2000.0)
+
+
+@query()
+def predict_sharing(spark, d):
+    return occupancy.predict_sharing(analytics.mixture(cut(_sims(spark, d))), [1000.0] * 10)
+
+
+@query()
+def k_diversity(spark, d):
+    return occupancy.k_diversity(table(spark, d, "unit_repertoire", "seq"), 100)
+
+
+@query()
+def scale_scores(spark, d):
+    m = _fb(spark, d).persist()
+    return simulate.scale_scores(score.log_pgen(m, asked(spark, d)), cut(simulate.calibrate_scale(simulate.simulate(m, 20_000, SEED))))
+
+
+@query()
+def feature_stats(spark, d):
+    m = md.fit(unit(spark, d), "aap").persist()
+    curve = analytics.monte_carlo(simulate.simulate(m, N_SIM, SEED), (0.0, 0.5, 1.0, 2.0, 5.0)).groupBy().pivot("alpha", [0.0, 0.5, 1.0, 2.0, 5.0]).agg(F.first("hill")).toDF("d0", "d05", "d1", "d2", "d5")
+    return algebra.degree_features(m).select("*", *[curve.select(c).scalar().alias(c) for c in curve.columns])
+
+
+@query()
+def feature_mass_profile(spark, d):
+    return simulate.mass_profile(cut(_sims(spark, d)))
+
+
+@query(ORACLE["flashback_edges"])
+def streaming_build(spark, d):
+    """The same edges through micro-batches of a stream over the table's files."""
+    import os
+    import tempfile
+
+    from reploom.session import ensure_checkpoint_dir
+    from reploom.streaming.builder import StreamBuilder
+
+    root = spark._jvm.org.apache.hadoop.fs.Path(ensure_checkpoint_dir(spark)).toString()
+    work = f"{root}/stream-{os.path.basename(tempfile.mktemp())}"
+    path = f"{d}/regression_input.parquet"
+    src = table(spark, d, "regression_input")
+    stream = spark.readStream.schema(src.schema).parquet(path if os.path.isdir(path) else path.replace("regression_input.parquet", "regression_input*.parquet"))
+    rows = stream.filter(tx.is_productive(F.col("productive"))).select(tx.strip(F.col("junction_aa")).alias("seq"), F.greatest(F.coalesce("duplicate_count", F.lit(1)), F.lit(1)).alias("abundance")).filter(F.col("seq").rlike(tx.SEQUENCE_PATTERN))
+    b = StreamBuilder(spark, f"{work}/state")
+    b.attach(rows, f"{work}/ckpt").awaitTermination()
+    return b.finalize().edges.select("src", "dst", "cnt", _r("w"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -33,3 +33,15 @@ def cut(df: DataFrame) -> DataFrame:
 def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
     """Broadcast hint behind a count: up to max_rows rows get it, larger sides stay a shuffle join."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def running_total(df: DataFrame, order: str, amount: str, name: str) -> DataFrame:
+    """df plus the running sum of amount in the order of a column of distinct values, without bringing all rows into one task.
+
+    Rows are range-partitioned and materialised; each range adds the total of the ranges before it, of which there are as many as partitions.
+    """
+    ranged = cut(df.repartitionByRange(order).withColumn("_part", F.spark_partition_id()))
+    totals = ranged.groupBy("_part").agg(F.sum(amount).alias("_sum"))
+    before = totals.select("_part", (F.sum("_sum").over(Window.orderBy("_part")) - F.col("_sum")).alias("_before"))
+    inside: Column = F.sum(amount).over(Window.partitionBy("_part").orderBy(order))
+    return ranged.join(F.broadcast(before), "_part").withColumn(name, inside + F.col("_before")).drop("_part", "_before")
