@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 START, END = "@", "$"
-_PEEL = "front string, back string, ord int, last boolean"
+_LEVEL = "array<struct<front:string,back:string,ord:int,last:boolean,dst_a:string,dst_z:string>>"
 
 
 def wrapped(s: Column) -> Column:
@@ -51,12 +51,13 @@ def lz_labels(tokens: Column, variant: str = "aap", frames: bool = False) -> Col
 
 
 def peel(s: Column, wrap: bool = True) -> Column:
-    """ARRAY<STRUCT<front, back, ord, last>>: at each level the leading run of the first and the trailing run of the last character.
+    """ARRAY<STRUCT<front, back, ord, last, dst_a, dst_z>>: at each level the leading run of the first and the trailing run of the last character.
 
-    A rest of one repeated character is a last token with an empty back. Levels of a string are at most half its length and one.
+    A rest of one repeated character is a last token with an empty back; dst_a and dst_z are the outer characters of what lies inside.
+    Levels of a string are at most half its length and one.
     """
     text = wrapped(s) if wrap else s
-    empty = F.struct(text.alias("rest"), F.array().cast(f"array<struct<{_PEEL.replace(' ', ':', 1).replace(', ', ',').replace(' ', ':')}>>").alias("toks"))
+    empty = F.struct(text.alias("rest"), F.array().cast(_LEVEL).alias("toks"))
 
     def level(acc: Column, i: Column) -> Column:
         rest = acc["rest"]
@@ -64,7 +65,7 @@ def peel(s: Column, wrap: bool = True) -> Column:
         front = F.left(rest, F.length(rest) - F.length(inner))
         mid = F.rtrim(inner, F.right(inner, F.lit(1)))
         back = F.right(inner, F.length(inner) - F.length(mid))
-        tok = F.struct(front.alias("front"), back.alias("back"), i.cast("int").alias("ord"), (mid == "").alias("last"))
+        tok = F.struct(front.alias("front"), back.alias("back"), i.cast("int").alias("ord"), (mid == "").alias("last"), F.left(mid, F.lit(1)).alias("dst_a"), F.right(mid, F.lit(1)).alias("dst_z"))
         return F.when(rest == "", acc).otherwise(F.struct(mid.alias("rest"), F.array_append(acc["toks"], tok).alias("toks")))
 
     levels = F.sequence(F.lit(0), F.ceil(F.length(text) / 2).cast("int"))
@@ -100,16 +101,11 @@ def grammar_steps(s: Column) -> Column:
     The non-terminal is named by its boundary characters; a rule is internal (peels both runs and goes on inside) or one of the leaves
     leaf_single, leaf_run and leaf_pair.
     """
-    toks = F.when(F.length(s) > 0, peel(s))
     first = lambda t: F.left(t["front"], F.lit(1))
     last = lambda t: F.when(t["back"] == "", F.left(t["front"], F.lit(1))).otherwise(F.right(t["back"], F.lit(1)))
 
-    def step(t: Column, i: Column) -> Column:
-        nxt = F.get(toks, i + 1)
+    def step(t: Column) -> Column:
         kind = F.when(~t["last"], "internal").when(t["back"] != "", "leaf_pair").when(F.length(t["front"]) == 1, "leaf_single").otherwise("leaf_run")
-        return F.struct(
-            (i == 0).alias("is_start"), first(t).alias("a"), last(t).alias("z"), kind.alias("kind"), F.length(t["front"]).alias("a_run"), F.length(t["back"]).alias("z_run"),
-            F.when(t["last"], F.lit("")).otherwise(first(nxt)).alias("dst_a"), F.when(t["last"], F.lit("")).otherwise(last(nxt)).alias("dst_z"),
-        )
+        return F.struct((t["ord"] == 0).alias("is_start"), first(t).alias("a"), last(t).alias("z"), kind.alias("kind"), F.length(t["front"]).alias("a_run"), F.length(t["back"]).alias("z_run"), t["dst_a"].alias("dst_a"), t["dst_z"].alias("dst_z"))
 
-    return F.transform(toks, step)
+    return F.transform(F.when(F.length(s) > 0, peel(s)), step)

@@ -154,11 +154,12 @@ def saddlepoint_cdf(model: Model, log_p: list[float], graph: dp.LocalGraph | Non
         for _ in range(60):
             mid = (a + b) / 2
             m = k(mid)
-            a, b = (mid, b) if m[1] / m[0] < x else (a, mid)
+            low_side = not (m[0] > 0 and math.isfinite(m[1])) and mid < 0  # sums that overflow lie far on the improbable side
+            a, b = (mid, b) if low_side or m[1] / m[0] < x else (a, mid)
         s = (a + b) / 2
         m = k(s)
         var = m[2] / m[0] - (m[1] / m[0]) ** 2
-        if abs(s) < 1e-4 or var <= 0:
+        if abs(s) < 1e-4 or not var > 0:
             rows.append((float(x), 0.5))
             continue
         w = math.copysign(math.sqrt(max(2 * (s * x - math.log(m[0])), 0.0)), s)

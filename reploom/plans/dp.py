@@ -105,10 +105,11 @@ def jets(model: Model, specs: list[Spec], graph: LocalGraph | None = None, limit
             q, order = spec
             v, f = value[spec], g.w[e] ** q
             nxt = np.zeros_like(v)
-            for j, i, c in _mix(q, order):
-                nxt[j] += np.bincount(d_, c * f * lw[e] ** (j - i) * v[i, s_], minlength=n)
-            for j in range(order + 1):
-                out[spec][j] += float(nxt[j, g.sink].sum())
+            with np.errstate(over="ignore", invalid="ignore"):
+                for j, i, c in _mix(q, order):
+                    nxt[j] += np.bincount(d_, c * f * lw[e] ** (j - i) * v[i, s_], minlength=n)
+                for j in range(order + 1):
+                    out[spec][j] += float(nxt[j, g.sink].sum())
             nxt[:, g.sink] = 0.0
             value[spec] = nxt
     return out
