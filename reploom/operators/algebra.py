@@ -112,5 +112,5 @@ def degree_features(model: Model) -> DataFrame:
     """One row of size features: n_nodes, n_edges, n_sinks, sink_share, max_out_degree."""
     sinks = model.sinks().agg(F.count(F.lit(1)).alias("n")).scalar()
     return degrees(model).agg(F.count(F.lit(1)).alias("n_nodes"), F.sum("out_degree").alias("n_edges"), F.max("out_degree").alias("max_out_degree")).select(
-        "n_nodes", "n_edges", sinks.alias("n_sinks"), (sinks / F.col("n_nodes")).alias("sink_share"), "max_out_degree"
+        "n_nodes", "n_edges", sinks.alias("n_sinks"), F.try_divide(sinks, F.col("n_nodes")).alias("sink_share"), "max_out_degree"
     )

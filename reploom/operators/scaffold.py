@@ -153,7 +153,7 @@ def occupancy(model: Model, seqs: DataFrame) -> DataFrame:
     n = q.agg(F.count(F.lit(1)).alias("n")).scalar()
     used = residues(q).groupBy("ord", "lane", "offset").agg(F.count(F.lit(1)).alias("n_seqs"))
     known = slots(model).select("ord", "lane", "offset", F.lit(True).alias("in_scaffold"))
-    return known.join(used, ["ord", "lane", "offset"], "full_outer").select("ord", "lane", "offset", F.coalesce("n_seqs", F.lit(0)).cast("bigint").alias("n_seqs"), (F.coalesce("n_seqs", F.lit(0)) / n).alias("occupancy"), F.coalesce("in_scaffold", F.lit(False)).alias("in_scaffold"))
+    return known.join(used, ["ord", "lane", "offset"], "full_outer").select("ord", "lane", "offset", F.coalesce("n_seqs", F.lit(0)).cast("bigint").alias("n_seqs"), F.coalesce(F.try_divide(F.coalesce("n_seqs", F.lit(0)), n), F.lit(0.0)).alias("occupancy"), F.coalesce("in_scaffold", F.lit(False)).alias("in_scaffold"))
 
 
 def blend(exact: float, smooth: float, support: float, kappa: float) -> float:

@@ -117,7 +117,7 @@ def approximation_diagnostics(model: Model, test: DataFrame, **how) -> DataFrame
         # average ranks from the counts of distinct values
         values = running_total(c.groupBy(F.col(col).alias("v")).agg(F.count(F.lit(1)).alias("c")), "v", "c", "upto")
         ranks = ranks.join(values.select("v", (F.col("upto") - F.col("c") / 2 + 0.5).alias(name)), F.col(col) == F.col("v")).drop("v")
-    rho = ranks.agg(F.when((F.count(F.lit(1)) >= 3) & (F.stddev_pop("rn") > 0) & (F.stddev_pop("rl") > 0), F.corr("rn", "rl")).alias("spearman"))
-    return base.select("n_types", (F.col("n_hit") / F.col("n_types")).alias("coverage_types"), (F.coalesce("hit_mass", F.lit(0)) / F.col("mass")).alias("coverage_mass"), *[e.select(x).scalar().alias(x) for x in e.columns]).select(
+    rho = ranks.agg(F.when(F.count(F.lit(1)) >= 3, F.try_divide(F.covar_pop("rn", "rl"), F.stddev_pop("rn") * F.stddev_pop("rl"))).alias("spearman"))
+    return base.select("n_types", F.try_divide("n_hit", "n_types").alias("coverage_types"), F.try_divide(F.coalesce("hit_mass", F.lit(0)), F.col("mass")).alias("coverage_mass"), *[e.select(x).scalar().alias(x) for x in e.columns]).select(
         "n_types", "coverage_types", "coverage_mass", "cross_entropy", "entropy", (F.col("cross_entropy") - F.col("entropy")).alias("kl"), F.exp("cross_entropy").alias("perplexity"), "mean_log_pgen", "median_log_pgen", rho.scalar().alias("spearman")
     )

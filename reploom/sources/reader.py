@@ -280,7 +280,7 @@ def read_sequences(spark: SparkSession, path: str, variant: str = "aap", seq_col
     judged = _issues(raw, spec, keep_nonproductive)
     kept = judged.filter("issue is null").select("seq", tx.parse_count(F.col("count_text")).alias("abundance"), "v_gene", "j_gene", "productive")
     filled = judged.filter("issue is null or issue <> 'empty'")
-    stats = filled.agg(F.count(F.lit(1)).alias("total"), F.count_if("issue is null").alias("kept"), F.count_if(F.col("issue") == "malformed").alias("malformed"), F.count_if(F.col("issue") == "nonproductive").alias("nonproductive"))
+    stats = filled.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("issue").isNull()).alias("kept"), F.count_if(F.col("issue") == "malformed").alias("malformed"), F.count_if(F.col("issue") == "nonproductive").alias("nonproductive"))
     return kept, stats
 
 
@@ -288,5 +288,5 @@ def validate(spark: SparkSession, path: str, variant: str = "aap") -> tuple[Data
     """(report, issues): report one row format, alphabet, total, kept, ok; issues (seq, issue) of the records not kept."""
     spec = detect(path, variant)
     judged = _issues(read_raw(spark, spec), spec, False)
-    report = judged.agg(F.lit(spec.format).alias("format"), F.lit(spec.alphabet).alias("alphabet"), F.count(F.lit(1)).alias("total"), F.count_if("issue is null").alias("kept"))
+    report = judged.agg(F.lit(spec.format).alias("format"), F.lit(spec.alphabet).alias("alphabet"), F.count(F.lit(1)).alias("total"), F.count_if(F.col("issue").isNull()).alias("kept"))
     return report.withColumn("ok", (F.col("kept") == F.col("total")) & (F.col("total") > 0)), judged.filter("issue is not null").select("seq", "issue")
