@@ -1,11 +1,15 @@
 """Tokenisers as Catalyst expressions: greedy dictionary parse (LZ76) and bilateral run peeling (FlashBack).
 
-All of them work on single characters of any script and have a defined result for the empty string (no LZ token, one last run token of
-no character); null gives null. They run inside the JVM on distinct strings; callers aggregate abundances first.
+All of them work on single characters of any script and have a defined result for the empty string (no LZ token, one level of end marks);
+null gives null. The same parses exist as Arrow functions, which the builders use: a state machine over growing arrays is interpreted row by
+row in Catalyst and measured about fifty times slower. Either way callers aggregate abundances first and parse distinct strings.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -109,3 +113,81 @@ def grammar_steps(s: Column) -> Column:
         return F.struct((t["ord"] == 0).alias("is_start"), first(t).alias("a"), last(t).alias("z"), kind.alias("kind"), F.length(t["front"]).alias("a_run"), F.length(t["back"]).alias("z_run"), t["dst_a"].alias("dst_a"), t["dst_z"].alias("dst_z"))
 
     return F.transform(F.when(F.length(s) > 0, peel(s)), step)
+
+
+def parse_lz(s: str) -> list[str]:
+    """As lz76, of one string."""
+    seen: set[str] = set()
+    out, start = [], 0
+    for end in range(1, len(s) + 1):
+        piece = s[start:end]
+        if piece not in seen:
+            seen.add(piece)
+            out.append(piece)
+            start = end
+    if start < len(s):
+        out.append(s[start:])
+    return out
+
+
+def parse_peel(s: str) -> list[tuple[str, str, bool]]:
+    """(front, back, last) of each level of an already wrapped string."""
+    out, lo, hi = [], 0, len(s)
+    while lo < hi:
+        a, z = s[lo], s[hi - 1]
+        i, j = lo + 1, hi - 1
+        while i < hi and s[i] == a:
+            i += 1
+        if i == hi:
+            out.append((s[lo:hi], "", True))
+            break
+        while j > i and s[j - 1] == z:
+            j -= 1
+        out.append((s[lo:i], s[j:hi], i >= j))
+        lo, hi = i, j
+    return out
+
+
+def labels_arrow(variant: str) -> Callable[[Column], Column]:
+    """STRUCT<toks, labels> of a string by an Arrow function; the variant is flashback, aap, ndp or naive."""
+
+    def one(s: str | None) -> tuple[list[str] | None, list[str] | None]:
+        if s is None:
+            return None, None
+        if variant == "flashback":
+            labels = [f"{f}{b}_{0 if last else len(f)}{{{i}}}" for i, (f, b, last) in enumerate(parse_peel(f"{START}{s}{END}"))]
+            return labels, labels
+        toks = parse_lz(f"{START}{s}{END}")
+        if variant == "naive":
+            return toks, toks
+        at, labels = 0, []
+        for t in toks:
+            at += len(t)
+            labels.append(f"{t}_{at}")
+        return toks, labels
+
+    @F.pandas_udf("toks array<string>, labels array<string>")
+    def run(seqs: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([one(s) for s in seqs], columns=["toks", "labels"])
+
+    # declared nondeterministic so that filters on its result are not pushed below the aggregation, which would parse every row
+    return run.asNondeterministic()
+
+
+def grammar_steps_arrow(s: Column) -> Column:
+    """As grammar_steps, by an Arrow function."""
+
+    @F.pandas_udf("array<struct<is_start:boolean,a:string,z:string,kind:string,a_run:int,z_run:int,dst_a:string,dst_z:string>>")
+    def run(seqs: pd.Series) -> pd.Series:
+        out = []
+        for x in seqs:
+            levels = parse_peel(f"{START}{x}{END}") if x else []
+            steps = []
+            for i, (f, b, last) in enumerate(levels):
+                inner = None if last else levels[i + 1]
+                kind = "internal" if not last else "leaf_pair" if b else "leaf_single" if len(f) == 1 else "leaf_run"
+                steps.append({"is_start": i == 0, "a": f[0], "z": (b or f)[-1], "kind": kind, "a_run": len(f), "z_run": len(b), "dst_a": inner[0][0] if inner else "", "dst_z": (inner[1] or inner[0])[-1] if inner else ""})
+            out.append(steps)
+        return pd.Series(out)
+
+    return run.asNondeterministic()(s)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reploom.functions import tokens as tk
-from reploom.plans.model import LOG_EPS, ModelError, count_lengths
+from reploom.plans.model import LOG_EPS, ModelError, count_lengths, spread
 from reploom.session import cut
 
 NT = ["is_start", "a", "z"]
@@ -39,7 +39,7 @@ def _weight(mode: str) -> Column:
 
 def steps(rep: DataFrame, *keep: str) -> DataFrame:
     """(keep, i, NT, RULE): one row a derivation step; empty sequences have none."""
-    return rep.filter("seq <> ''").select(*keep, F.posexplode(tk.grammar_steps(F.col("seq"))).alias("i", "s")).select(*keep, "i", "s.*")
+    return spread(rep.filter("seq <> ''")).select(*keep, F.posexplode(tk.grammar_steps_arrow(F.col("seq"))).alias("i", "s")).select(*keep, "i", "s.*")
 
 
 def _weighted(counts: DataFrame, smoothing: float) -> DataFrame:
@@ -102,7 +102,7 @@ class Solver:
     """The rules as arrays, for what needs the whole system at once."""
 
     def __init__(self, g: Grammar):
-        pdf = g.rules.limit(MAX_RULES + 1).toPandas()
+        pdf = g.rules.limit(MAX_RULES + 1).toArrow().to_pandas()
         if len(pdf) > MAX_RULES:
             raise ModelError(f"more than {MAX_RULES} rules")
         pdf = pdf.sort_values([*NT, *RULE], ignore_index=True)

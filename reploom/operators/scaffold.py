@@ -61,8 +61,8 @@ class Scaffold:
     """Slot token counts and neighbourhoods of a model, for alignment on executors."""
 
     def __init__(self, model: Model, neighbours: int = 5, candidates: int = 20, graph_weight: float = 0.5, symbol_weight: float = 0.5, transition_weight: float = 1.0, smoothing: float = 1e-3):
-        masses = node_masses(model).limit(MAX_TOKENS + 1).toPandas()
-        edges = model.edges.select("src", "dst", "cnt", "w").limit(2 * MAX_TOKENS + 1).toPandas()
+        masses = node_masses(model).limit(MAX_TOKENS + 1).toArrow().to_pandas()
+        edges = model.edges.select("src", "dst", "cnt", "w").limit(2 * MAX_TOKENS + 1).toArrow().to_pandas()
         if len(masses) > MAX_TOKENS or len(edges) > 2 * MAX_TOKENS:
             raise ModelError("the model is too large to broadcast")
         self.mass = dict(zip(masses["token"], masses["mass"]))

@@ -156,13 +156,13 @@ def simulate_genes(model: Model, n: int, seed: int = 42, v_gene: str | None = No
     for col, value in (("v_gene", v_gene), ("j_gene", j_gene)):
         if value is not None:
             pairs = pairs.filter(F.col(col) == value)
-    table = pairs.orderBy("v_gene", "j_gene").toPandas()  # as many rows as known gene pairs
+    table = pairs.orderBy("v_gene", "j_gene").toArrow().to_pandas()  # as many rows as known gene pairs
     if not len(table):
         raise ModelError("no such genes")
     g = LocalGraph.of(model)
     at = {x: i for i, x in enumerate(g.labels)}
     sets: dict[tuple[str, str], set[tuple[int, int]]] = {}
-    rows = model.edge_genes.select("src", "dst", "kind", "gene").limit(8_000_001).toPandas()
+    rows = model.edge_genes.select("src", "dst", "kind", "gene").limit(8_000_001).toArrow().to_pandas()
     if len(rows) > 8_000_000:
         raise ModelError("too many annotated edges to broadcast")
     for s, d, k, gene in rows.itertuples(index=False, name=None):

@@ -37,7 +37,7 @@ class LocalGraph:
     @classmethod
     def of(cls, model: Model, limit: int = MAX_LOCAL) -> LocalGraph:
         """Collect a model; an error beyond limit edges."""
-        pdf = model.edges.select("src", "dst", "tok", "cnt", "w").limit(limit + 1).toPandas()
+        pdf = model.edges.select("src", "dst", "tok", "cnt", "w").limit(limit + 1).toArrow().to_pandas()
         if len(pdf) > limit:
             raise ModelError(f"more than {limit} edges do not fit a local sweep")
         pdf = pdf.sort_values(["src", "dst"], ignore_index=True)

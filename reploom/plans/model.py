@@ -38,13 +38,17 @@ def repertoire(df: DataFrame, seq: str = "seq", abundance: str | None = None, v_
     return rows.groupBy(*keys).agg(F.sum("abundance").alias("abundance"))
 
 
+def spread(rep: DataFrame) -> DataFrame:
+    """Distinct sequences over all cores: parsing costs far more than their bytes, by which AQE would put them into a few tasks."""
+    spark = rep.sparkSession
+    return rep.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "seq")
+
+
 def labelled(rep: DataFrame, variant: str) -> DataFrame:
     """rep plus toks (tokens) and labels (nodes) of every sequence."""
-    if variant == "flashback":
-        return rep.withColumn("labels", tk.flashback(F.col("seq"))).withColumn("toks", F.col("labels"))
-    if variant not in VARIANTS:
+    if variant not in (*VARIANTS, "flashback"):
         raise ModelError(f"unknown variant {variant}")
-    return rep.withColumn("toks", tk.lz76(tk.wrapped(F.col("seq")))).withColumn("labels", tk.lz_labels(F.col("toks"), variant))
+    return spread(rep).withColumn("_p", tk.labels_arrow(variant)(F.col("seq"))).select(*rep.columns, "_p.toks", "_p.labels")
 
 
 def transitions(rows: DataFrame, *keep: str) -> DataFrame:

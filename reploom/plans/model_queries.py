@@ -57,12 +57,12 @@ def _r(c: str, n: int = 6):
 
 @query(o.query(o.REP, o.lz("rep", "t"), select="select seq, toks as tokens from t_tok"))
 def lz76_tokens(spark, d):
-    return rep(spark, d).select("seq", tk.lz76(tk.wrapped(F.col("seq"))).alias("tokens"))
+    return md.labelled(rep(spark, d), "aap").select("seq", F.col("toks").alias("tokens"))
 
 
 @query(o.query(o.REP, o.peel("rep", "t"), select="select seq, list(label order by ord) as tokens from t_lv group by seq"))
 def flashback_tokens(spark, d):
-    return rep(spark, d).select("seq", tk.flashback(F.col("seq")).alias("tokens"))
+    return md.labelled(rep(spark, d), "flashback").select("seq", F.col("labels").alias("tokens"))
 
 
 @query(o.query(o.REP, select="select seq, seq as back from rep"))
