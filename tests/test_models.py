@@ -86,9 +86,6 @@ def test_single_path_and_coin(spark):
     assert analytics.moments(coin)["mass"] == pytest.approx(1)
 
 
-RECOMBINING = (["ABYKMKDE"], [3])
-
-
 def _recombining(spark):
     paths = [["@$_1{0}", "AE_1{1}", "BD_1{2}", "CK_1{3}", "M_0{4}"], ["@$_1{0}", "AE_1{1}", "YZ_1{2}", "CK_1{3}", "NN_0{4}"]]
     seqs = [r[0] for r in spark.createDataFrame([(p,) for p in paths], "l array<string>").select(tk.flashback_reverse(F.col("l"))).collect()]
