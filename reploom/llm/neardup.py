@@ -1,16 +1,20 @@
 """Near-duplicate strings with small edits.
 
-Every distinct string gets a bottom-k sketch: the k least values of one hash function over its shingles. Inverted lists of the
-retained values generate the overlaps of sketches; a list longer than HOT (the ends that many strings share) is split by twice as
-long a shingle around the same place, so no list is dropped or cut. The overlap estimates the similarity of the
-sketches' union and filters pairs; the exact edit distance verifies what is left. Similar strings are grouped by connected
+Candidates come from pivotal grams and none is missed: of tau + 1 disjoint grams of a string, tau edits leave at least one whole, so a
+string within tau edits holds that gram, shifted by no more than the edits on either side. Every string posts all its grams; the longer
+one of a pair probes with tau + 1 of its own, the rarest disjoint ones, so that grams many strings share (the ends) are rarely asked for.
+No list is dropped, cut or sampled. The exact edit distance verifies what is left. Similar strings are grouped by connected
 components, and copies of a string are joined to its group, never expanded into pairs.
+
+postings and candidates are the older way by overlaps of bottom-k sketches; it loses pairs inside large families and similar does not use it.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +26,12 @@ Q = 12
 HOT = 64
 #: Overlaps of sketches that a pair needs: chance pairs share one value, a true pair of distance 0.1 is expected to share eight.
 MIN_OVERLAP = 2
+#: Longest pivotal grams, for four letters and for more.
+GRAM, GRAM_WIDE = 8, 5
+#: Bits of a hashed gram, strings sampled for the weights of grams, letters up to which pivots are chosen by weight.
+BITS, SAMPLE, LONG = 17, 4000, 2000
+#: Places of a string that share a key with a gram.
+SPAN = 16
 
 
 def bases(c: Column) -> Column:
@@ -69,10 +79,114 @@ def candidates(texts: DataFrame, q: int, k: int = K, max_rate: float = 0.1, hot:
     return left.join(right, "key").filter(near).groupBy("a", "b").agg(F.count(F.lit(1)).alias("overlap"))
 
 
-def similar(texts: DataFrame, max_rate: float = 0.1, letters: int = 4, k: int = K, min_overlap: int = MIN_OVERLAP) -> DataFrame:
+def gram_length(texts: DataFrame, letters: int = 4, max_rate: float = 0.1) -> int:
+    """Letters of a pivotal gram: short enough that the shortest string holds one more, disjoint, than the edits allowed."""
+    least = texts.agg(F.min("n")).first()[0] or 1
+    return max(1, min(GRAM if letters == 4 else GRAM_WIDE, int(least / (max_rate * least + 1) + 1e-9)))
+
+
+def _codes(x: np.ndarray, q: int) -> np.ndarray:
+    """Hash of every gram of the rows of x, BITS bits."""
+    wide = x.shape[1] - q + 1
+    h = np.zeros((len(x), wide), dtype=np.uint64)
+    for i in range(q):
+        h = h * np.uint64(0x100000001B3) + x[:, i : i + wide]
+    return ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)).astype(np.int64)
+
+
+def _points(s: str) -> np.ndarray:
+    return np.frombuffer(s.encode("utf-32-le"), dtype="<u4")
+
+
+def gram_weights(texts: DataFrame, q: int) -> np.ndarray:
+    """Counts of hashed grams in a bounded sample. They decide which grams are asked for first, never which pairs are found."""
+    weight = np.ones(1 << BITS, dtype=np.float32)
+    every = max(1, texts.count() // SAMPLE)
+    for r in texts.filter(F.pmod("sid", F.lit(every)) == 0).select(F.substring("s", 1, LONG).alias("s")).collect():
+        if len(r["s"]) >= q:
+            np.add.at(weight, _codes(_points(r["s"])[None, :], q)[0], 1)
+    return weight
+
+
+def rarest(x: np.ndarray, q: int, m: int, weight: np.ndarray) -> np.ndarray:
+    """(rows, m): places from 0 of the m disjoint grams of each row of x that weigh least together, in order."""
+    rows, n = x.shape
+    cost = weight[_codes(x, q)]
+    best = [np.full((rows, m + 1), np.inf, dtype=np.float32)]
+    best[0][:, 0] = 0
+    take = [None]
+    for i in range(1, n + 1):
+        now, took = best[-1], None
+        if i >= q:
+            with_it = best[i - q][:, :-1] + cost[:, i - q, None]
+            took = with_it < now[:, 1:]
+            now = now.copy()
+            np.minimum(now[:, 1:], with_it, out=now[:, 1:])
+        best.append(now)
+        take.append(took)
+    out, left, at = np.zeros((rows, m), dtype=np.int32), np.full(rows, m), np.full(rows, n)
+    for i in range(n, q - 1, -1):
+        here = np.flatnonzero((at == i) & (left > 0))
+        used = take[i][here, left[here] - 1]
+        hit = here[used]
+        at[here] = i - 1
+        left[hit] -= 1
+        out[hit, left[hit]] = i - q
+        at[hit] = i - q
+    return out
+
+
+def pivots(texts: DataFrame, q: int, max_rate: float) -> DataFrame:
+    """(sid, n, s, tau, j, pos): one more disjoint gram than the edits allowed, the rarest; j counts from 0, pos from 1.
+
+    Strings over LONG letters take evenly spaced grams.
+    """
+    weight = gram_weights(texts, q)
+
+    @F.pandas_udf("array<int>")
+    def chosen(s: pd.Series, tau: pd.Series) -> pd.Series:
+        found: list[np.ndarray] = [np.zeros(0, dtype=np.int32)] * len(s)
+        size = s.str.len()
+        for (n, t), at in s.groupby([size.to_numpy(), tau.to_numpy()]).indices.items():
+            m = t + 1
+            if n > LONG:
+                for i in at:
+                    found[i] = (np.arange(m, dtype=np.int64) * (n - q) // max(1, m - 1) + 1).astype(np.int32)
+                continue
+            step = max(1, 4_000_000 // (n * m))
+            for k in range(0, len(at), step):
+                some = at[k : k + step]
+                for i, p in zip(some, rarest(np.stack([_points(s.iat[i]) for i in some]), q, m, weight)):
+                    found[i] = p + 1
+        return pd.Series(found)
+
+    tau = F.floor(F.col("n") * F.lit(max_rate) + F.lit(1e-9)).cast("int")
+    some = texts.withColumn("tau", tau).filter(F.col("n") >= q * (F.col("tau") + 1))
+    return some.select("sid", "n", "s", "tau", F.posexplode(chosen("s", "tau")).alias("j", "pos"))
+
+
+def pivotal(texts: DataFrame, q: int, max_rate: float = 0.1) -> DataFrame:
+    """(a, b): every pair of string ids within the edits allowed to the longer one, and some more; a is the longer one.
+
+    Some pivot, the j-th, is whole with at most j edits before it and at most tau - j behind it, which bounds its shift in the other string.
+    """
+    gram = lambda at: F.substring(F.col("s"), at, F.lit(q))
+    every = texts.filter(F.col("n") >= q).select("sid", "n", "s", F.explode(F.sequence(F.lit(1), F.col("n") - q + 1)).alias("p"))
+    posted = every.select(F.xxhash64(gram(F.col("p")), F.floor(F.col("p") / SPAN)).alias("key"), F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("p").alias("pb"))
+    own = pivots(texts, q, max_rate)
+    reach = F.sequence(F.floor(F.greatest(F.col("pos") - F.col("j"), F.lit(1)) / SPAN), F.floor((F.col("pos") + F.least(F.col("j"), F.col("tau") - F.col("j"))) / SPAN))
+    probe = own.select("sid", "n", "tau", "j", "pos", gram(F.col("pos")).alias("g"), F.explode(reach).alias("span"))
+    probe = probe.select(F.xxhash64("g", "span").alias("key"), F.col("sid").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), "j", (F.col("tau") - F.col("j")).alias("behind"))
+    shorter = (F.col("nb") < F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("b") < F.col("a")))
+    near = (F.abs(F.col("pa") - F.col("pb")) <= F.col("j")) & (F.abs((F.col("na") - F.col("pa")) - (F.col("nb") - F.col("pb"))) <= F.col("behind"))
+    return probe.join(posted, "key").filter(shorter & near).select("a", "b").repartition("a").distinct()
+
+
+def similar(texts: DataFrame, max_rate: float = 0.1, letters: int = 4) -> DataFrame:
     """(a, b, sa, sb, distance), sa < sb: pairs of distinct strings whose edit distance is at most max_rate of the longer one's length."""
-    q = shingle_length(texts, letters)
-    pairs = candidates(texts, q, k, max_rate).filter(F.col("overlap") >= min_overlap).select("a", "b")
+    spread = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = cut(texts.repartition(spread, "sid"))
+    pairs = pivotal(texts, gram_length(texts, letters, max_rate), max_rate)
     a, b = texts.select(F.col("sid").alias("a"), F.col("s").alias("x")), texts.select(F.col("sid").alias("b"), F.col("s").alias("y"))
     both = pairs.join(a, "a").join(b, "b")
     limit = F.floor(F.greatest(F.length("x"), F.length("y")) * F.lit(max_rate) + F.lit(1e-9)).cast("int")

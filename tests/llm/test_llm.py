@@ -111,6 +111,23 @@ def test_hot_lists_are_split_not_dropped(spark):
     assert all((min(a, b), max(a, b)) in got for a, b in zip(texts[:100], texts[300:]) if a != b and min(len(a), len(b)) >= 90)
 
 
+def test_large_families_lose_no_pair(spark):
+    rng = random.Random(11)
+    texts = set()
+    for _ in range(2):
+        base = "".join(rng.choice("ACGT") for _ in range(124))
+        texts |= {base, *(mutate(rng, base, rng.randrange(2, 9)) for _ in range(200))}
+    even = "".join(rng.choice("ACGT") for _ in range(124))
+    spaced = "".join({"A": "C", "C": "G", "G": "T", "T": "A"}[c] if i % 10 == 5 and i < 120 else c for i, c in enumerate(even))
+    df = spark.createDataFrame([(t,) for t in [*texts, even, spaced]], "junction string")
+    s = neardup.strings(df, F.col("junction"), 90).select("s").cache()
+    b = s.toDF("t")
+    true = s.crossJoin(b).filter("s < t and levenshtein(s, t) * 10 <= greatest(length(s), length(t))")
+    want = {tuple(r) for r in true.collect()}
+    assert {tuple(r) for r in neardup.found(df).collect()} == want
+    assert len(want) > 5000 and (min(even, spaced), max(even, spaced)) in want
+
+
 def test_components_of_a_chain(spark):
     chain = [(i, i + 1) for i in range(200)] + [(1000, 1001), (1001, 1002), (1002, 1000)]
     got = {r["node"]: r["label"] for r in neardup.components(spark.createDataFrame(chain, "a bigint, b bigint")).collect()}
