@@ -2,7 +2,8 @@
 
 Rule statistics of a text are shares of repeated lines, sentences, word runs and 32-character stretches. An isolation forest is grown on a
 bounded sample of documents; the mean path length over its random splits gives every document an anomaly score, and the threshold
-is calibrated on the sample's labelled rows. Documents over it are the suspects, of which an exact share then decides.
+is calibrated on the sample's labelled rows. Documents over it are suspects, and so is every document that meets the exact rule: no
+case depends on the sample. The exact share decides.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 32
@@ -169,6 +170,11 @@ def is_case(n: np.ndarray, rep: np.ndarray) -> np.ndarray:
     return (n >= MIN_LETTERS) & (rep * 10 >= n * 4)
 
 
+def case() -> Column:
+    """is_case on the columns of measured."""
+    return (F.col("n_letters") >= MIN_LETTERS) & (F.col("n_repeated") * 10 >= F.col("n_letters") * 4)
+
+
 def train(stats: DataFrame, sample: int = SAMPLE, seed: int = 7) -> IsolationForest:
     """Forest on at most sample documents (those of the least hashes of their id), labelled by the exact rule."""
     rows = stats.orderBy(F.xxhash64(F.col("doc_id"), F.lit(seed)), "doc_id").limit(sample).toPandas()
@@ -178,15 +184,15 @@ def train(stats: DataFrame, sample: int = SAMPLE, seed: int = 7) -> IsolationFor
 
 
 def scored(stats: DataFrame, forest: IsolationForest) -> DataFrame:
-    """stats plus anomaly and suspect (anomaly at or over the calibrated threshold)."""
+    """stats plus anomaly and suspect (anomaly at or over the calibrated threshold, or a case by the exact rule)."""
 
     @F.pandas_udf("double")
     def run(*cols: pd.Series) -> pd.Series:
         return pd.Series(forest.score(np.column_stack([c.to_numpy(dtype=float) for c in cols])))
 
-    return stats.withColumn("anomaly", run(*STATS)).withColumn("suspect", F.col("anomaly") >= F.lit(forest.threshold))
+    return stats.withColumn("anomaly", run(*STATS)).withColumn("suspect", (F.col("anomaly") >= F.lit(forest.threshold)) | case())
 
 
 def found(stats: DataFrame, forest: IsolationForest) -> DataFrame:
     """(doc_id) of the suspects whose exact repeated share is at least MIN_SHARE of at least MIN_LETTERS letters."""
-    return scored(stats, forest).filter(F.col("suspect") & (F.col("n_letters") >= MIN_LETTERS) & (F.col("n_repeated") * 10 >= F.col("n_letters") * 4)).select("doc_id")
+    return scored(stats, forest).filter(F.col("suspect") & case()).select("doc_id")

@@ -236,3 +236,14 @@ def test_repetition_forest(spark):
     assert scored.filter("suspect").count() < len(texts) / 2
     empty = repetition.measured(df.limit(0))
     assert repetition.found(empty, repetition.train(empty)).count() == 0
+
+
+def test_no_case_depends_on_the_sample(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 9)))
+    texts = [" ".join(word() for _ in range(60)) for _ in range(100)]
+    texts += [t + " " + t[: len(t) // 2] for t in texts[:6]] + ["x x x x x x.\n" * 4]  # cases; an odder text, too short to be one
+    stats = repetition.measured(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+    x = stats.select(*repetition.STATS).toPandas().to_numpy(dtype=float)
+    forest = repetition.IsolationForest().fit(x).calibrate(x, np.zeros(len(x), dtype=bool))  # as a sample without a case
+    assert {r[0] for r in repetition.found(stats, forest).collect()} == set(range(100, 106))
