@@ -60,11 +60,11 @@ def postings(texts: DataFrame, q: int, k: int = K) -> DataFrame:
     """(sid, n, h, wide, pos): the retained shingles of each string, with the hash of the 2q letters around each, towards the middle."""
     body = F.transform(
         F.sequence(F.lit(1), F.greatest(F.col("n") - q + 1, F.lit(1))),
-        lambda i: F.struct(F.xxhash64(F.substring("s", i, F.lit(q))).alias("h"), i.cast("short").alias("pos")),
+        lambda i: F.struct(F.xxhash64(F.substring("s", i, F.lit(q))).alias("h"), i.alias("pos")),
     )
     kept = texts.select("sid", "s", "n", F.explode(F.slice(F.array_sort(body), 1, k)).alias("p"))
     start = F.when(F.col("p.pos") * 2 <= F.col("n"), F.col("p.pos")).otherwise(F.greatest(F.col("p.pos") - q, F.lit(1)))
-    return kept.select("sid", F.col("n").cast("short").alias("n"), F.col("p.h").alias("h"), F.xxhash64(F.substring(F.col("s"), start, F.lit(2 * q))).alias("wide"), F.col("p.pos").alias("pos"))
+    return kept.select("sid", "n", F.col("p.h").alias("h"), F.xxhash64(F.substring(F.col("s"), start, F.lit(2 * q))).alias("wide"), F.col("p.pos").alias("pos"))
 
 
 def candidates(texts: DataFrame, q: int, k: int = K, max_rate: float = 0.1, hot: int = HOT) -> DataFrame:

@@ -128,6 +128,11 @@ def test_large_families_lose_no_pair(spark):
     assert len(want) > 5000 and (min(even, spaced), max(even, spaced)) in want
 
 
+def test_very_long_strings(spark):
+    s = neardup.strings(spark.createDataFrame([("ACGT" * 8_250,)], "junction string"), F.col("junction"), 90)
+    assert neardup.postings(s, 12).agg(F.max("n")).first()[0] == 33_000
+
+
 def test_components_of_a_chain(spark):
     chain = [(i, i + 1) for i in range(200)] + [(1000, 1001), (1001, 1002), (1002, 1000)]
     got = {r["node"]: r["label"] for r in neardup.components(spark.createDataFrame(chain, "a bigint, b bigint")).collect()}
