@@ -3,15 +3,14 @@
 Each file's records are a schema graph: a record node with one node a field, linked to its name, its JSON types and its nested
 keys. For consecutive files of a feed, similarity flooding propagates match scores between the fields that went and those
 that came, starting from name likeness and the agreement of values on records delivered in both files, until they converge.
-Correspondences above a floor go to an exact value check, which decides what counts as renamed.
+The pairs that flooding keeps are the only ones that the exact value check sees, and that check decides what counts as renamed.
 """
 
 from __future__ import annotations
 
-import json
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -22,45 +21,28 @@ from pyspark.sql import functions as F
 from reploom.functions import text as tx
 from reploom.session import cut
 
-#: Correspondences below this share of the best score of either side are dropped before the exact check.
-FLOOR = 0.0
-_FIELDS = "array<struct<name:string,kind:string,value:string,nested:array<string>>>"
-
-
-def _kind(v: object) -> str | None:
-    if v is None:
-        return None
-    for kinds, name in ((bool, "boolean"), (str, "string"), (int, "integer"), (float, "number"), (list, "array"), (dict, "object")):
-        if isinstance(v, kinds):
-            return name
-    return "string"
-
-
-def _canonical(v: object) -> str | None:
-    return None if v is None else json.dumps(v, sort_keys=True, ensure_ascii=False, separators=(",", ":"))
+#: A pair is a correspondence if its flooded score is at least this share of the best score of either of its fields.
+FLOOR = 0.2
+#: Shares of name likeness and of value agreement in the scores that flooding starts from.
+NAME_SHARE, VALUE_SHARE = 0.4, 0.6
 
 
 def parse_payloads(records: DataFrame, id_col: str = "record_id", file_col: str = "file_id", payload_col: str = "payload", key: str = "sequence_id") -> DataFrame:
-    """(record_id, file_id, seq_id, fields): each key of the JSON object with its type, canonical value and nested keys.
+    """(record_id, file_id, seq_id, fields): each key of the JSON object with its type, canonical value and nested keys, parsed in the JVM.
 
-    A payload that is null, no JSON or no object has null fields and is left out. Of a key that occurs twice the last counts.
+    A payload that is null, no JSON or no object is left out. Of a key that occurs twice the last counts. Kinds are string, boolean, integer,
+    number, array and object, null for a JSON null; numbers with a point keep one in their canonical value and object keys are in order.
     """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for rec, file, payload in pdf.itertuples(index=False, name=None):
-                try:
-                    doc = json.loads(payload)
-                except (TypeError, ValueError, RecursionError):
-                    continue
-                if isinstance(doc, dict):
-                    fields = [{"name": k, "kind": _kind(v), "value": _canonical(v), "nested": sorted(v) if isinstance(v, dict) else []} for k, v in doc.items()]
-                    rows.append((rec, file, _canonical(doc.get(key)), fields))
-            yield pd.DataFrame(rows, columns=["record_id", "file_id", "seq_id", "fields"])
-
-    src = records.select(F.col(id_col).alias("record_id"), F.col(file_col).alias("file_id"), F.col(payload_col).alias("payload"))
-    return src.mapInPandas(run, f"record_id bigint, file_id bigint, seq_id string, fields {_FIELDS}")
+    src = records.select(F.col(id_col).alias("record_id"), F.col(file_col).alias("file_id"), F.expr(f"map_entries(from_json(`{payload_col}`, 'map<string,variant>'))").alias("e")).filter("e is not null")
+    kind = """case when is_variant_null(y.value) then null when y.t like 'ARRAY%' then 'array' when y.t like 'OBJECT%' then 'object' when y.t = 'STRING' then 'string' when y.t = 'BOOLEAN' then 'boolean'
+        when y.t like '%INT' or y.t rlike '^DECIMAL[(](19|[23][0-9]),0[)]$' then 'integer' else 'number' end"""
+    typed = src.withColumn("e", F.expr("transform(e, x -> struct(x.key as key, x.value as value, schema_of_variant(x.value) as t))"))
+    typed = typed.withColumn("e", F.expr(f"transform(e, y -> struct(y.key as name, {kind} as kind, to_json(y.value) as text))"))
+    field = """struct(x.name as name, x.kind as kind, case when x.kind is null then null when x.kind = 'number' and not x.text rlike '[.eE]' then concat(x.text, '.0') else x.text end as value,
+        case when x.kind = 'object' then array_sort(json_object_keys(x.text)) else array() end as nested)"""
+    last = "case when size(array_distinct(transform(e, x -> x.name))) < size(e) then filter(e, (x, i) -> not exists(slice(e, i + 2, size(e)), y -> y.name = x.name)) else e end"
+    rows = typed.withColumn("e", F.expr(last)).withColumn("fields", F.expr(f"transform(e, x -> {field})"))
+    return rows.select("record_id", "file_id", F.get(F.filter("fields", lambda f: f["name"] == key), F.lit(0))["value"].alias("seq_id"), "fields")
 
 
 def file_schemas(parsed: DataFrame) -> DataFrame:
@@ -121,7 +103,7 @@ def flood(old: tuple, new: tuple, agreement: tuple, rounds: int = 50, eps: float
     for a, ka, na in old:
         for b, kb, nb in new:
             pair = ("field", a, b)
-            start[pair] = max(0.01, 0.4 * name_likeness(a, b) + 0.6 * agree.get((a, b), 0.0))
+            start[pair] = max(0.01, NAME_SHARE * name_likeness(a, b) + VALUE_SHARE * agree.get((a, b), 0.0))
             link(root, pair)
             for x in ka or ("none",):
                 for y in kb or ("none",):
@@ -154,30 +136,39 @@ def flood(old: tuple, new: tuple, agreement: tuple, rounds: int = 50, eps: float
     return {k: v / top for k, v in fields.items()}
 
 
-def correspondences(parsed: DataFrame, paired: DataFrame) -> DataFrame:
-    """(file_id, old_name, new_name, score, chosen, n_both, n_equal) for fields that went against fields that came.
+def agreement(parsed: DataFrame, paired: DataFrame) -> DataFrame:
+    """(file_id, old_name, old_kinds, old_nested, new_name, new_kinds, new_nested, n_both, n_equal) of every field that went with every one that came.
 
-    score is the flooded similarity, chosen marks the consistent one-to-one selection (stable, best score first), n_both the record
-    pairs with the same sequence_id and non-null values in both files, n_equal those with equal values.
+    n_both counts the different value pairs under one sequence_id, both not null, n_equal those of equal values. Only values of fields that went or came
+    are exploded, picked by two small lists a file.
     """
     gone = paired.filter("new_kinds is null").select("file_id", "prev_id", F.col("name").alias("old_name"), "old_kinds", "old_nested")
     came = paired.filter("old_kinds is null").select("file_id", F.col("name").alias("new_name"), "new_kinds", "new_nested")
     pairs = gone.join(came, "file_id")
-    values = parsed.filter("seq_id is not null").select("file_id", "seq_id", F.explode("fields").alias("f")).select("file_id", "seq_id", "f.name", "f.value").filter("value is not null")
-    old_values = values.join(gone.select("file_id", F.col("prev_id").alias("p"), F.col("old_name").alias("o")).withColumnRenamed("file_id", "step"), (F.col("file_id") == F.col("p")) & (F.col("name") == F.col("o")))
-    old_values = old_values.select("step", "seq_id", F.col("name").alias("old_name"), F.col("value").alias("old_value")).distinct()
-    new_values = values.join(came.select(F.col("file_id").alias("step"), F.col("new_name").alias("n")), (F.col("file_id") == F.col("step")) & (F.col("name") == F.col("n")))
-    new_values = new_values.select("step", "seq_id", F.col("name").alias("new_name"), F.col("value").alias("new_value")).distinct()
-    same = old_values.join(new_values, ["step", "seq_id"]).groupBy(F.col("step").alias("file_id"), "old_name", "new_name").agg(
+    # one row a file, its lists as wide as a schema
+    steps = gone.groupBy("file_id", "prev_id").agg(F.collect_set("old_name").alias("went")).join(came.groupBy("file_id").agg(F.collect_set("new_name").alias("new")), "file_id")
+    sides = steps.select(F.explode(F.array(F.struct(F.col("prev_id").alias("file"), F.lit(True).alias("old"), F.col("went").alias("names")), F.struct(F.col("file_id").alias("file"), F.lit(False).alias("old"), F.col("new").alias("names")))).alias("s"), F.col("file_id").alias("step")).select("step", "s.*")
+    picked = parsed.filter("seq_id is not null").join(sides, F.col("file_id") == F.col("file")).select(
+        "step", "old", "seq_id", F.explode(F.filter("fields", lambda f: f["value"].isNotNull() & F.array_contains("names", f["name"]))).alias("f")
+    ).select("step", "old", "seq_id", "f.name", "f.value").distinct()
+    side = lambda old, name: picked.filter(F.col("old") == F.lit(old)).select("step", "seq_id", F.col("name").alias(f"{name}_name"), F.col("value").alias(f"{name}_value"))
+    same = side(True, "old").join(side(False, "new"), ["step", "seq_id"]).groupBy(F.col("step").alias("file_id"), "old_name", "new_name").agg(
         F.count(F.lit(1)).alias("n_both"), F.count_if(F.col("old_value") == F.col("new_value")).alias("n_equal")
     )
-    known = pairs.join(same, ["file_id", "old_name", "new_name"], "left").na.fill(0, ["n_both", "n_equal"])
+    return pairs.join(same, ["file_id", "old_name", "new_name"], "left").na.fill(0, ["n_both", "n_equal"])
+
 
+def correspondences(known: DataFrame) -> DataFrame:
+    """(file_id, old_name, new_name, score, chosen, n_both, n_equal): the pairs of agreement() that flooding proposes, and no others.
+
+    score is the flooded similarity, at least FLOOR of the best of either field; chosen marks the consistent one-to-one selection (stable, best
+    score first).
+    """
     out = "array<struct<old_name:string,new_name:string,score:double,chosen:boolean,n_both:bigint,n_equal:bigint>>"
 
     @F.pandas_udf(out)
     def select(files: pd.Series) -> pd.Series:
-        return pd.Series([_select(pairs) for pairs in files])
+        return pd.Series([propose(pairs) for pairs in files])
 
     # one row is the fields that came and went in one file: bounded by the width of a schema, not by its records
     cols = ["old_name", "old_kinds", "old_nested", "new_name", "new_kinds", "new_nested", "n_both", "n_equal"]
@@ -185,30 +176,46 @@ def correspondences(parsed: DataFrame, paired: DataFrame) -> DataFrame:
     return grouped.select("file_id", F.inline(select("pairs")))
 
 
-def _select(pairs) -> list[dict]:
-    """Flooded scores of one file's pairs and the stable one-to-one choice: best agreement of values, then best score, first."""
+def propose(pairs, scores: Callable[[tuple, tuple, tuple], dict[tuple[str, str], float]] = flood) -> list[dict]:
+    """One file's pairs whose flooded score reaches FLOOR of the best of either field, with the stable one-to-one choice, best score first.
+
+    A pair without a score above 0 is not proposed, whatever its values.
+    """
     old = tuple(sorted({(p["old_name"], tuple(p["old_kinds"]), tuple(p["old_nested"])) for p in pairs}))
     new = tuple(sorted({(p["new_name"], tuple(p["new_kinds"]), tuple(p["new_nested"])) for p in pairs}))
     agree = {(p["old_name"], p["new_name"]): p["n_equal"] / p["n_both"] if p["n_both"] else 0.0 for p in pairs}
-    score = flood(old, new, tuple(sorted(agree.items())))
+    score = scores(old, new, tuple(sorted(agree.items())))
+    top: dict[tuple[int, str], float] = {}
+    for (a, b), s in score.items():
+        top[0, a], top[1, b] = max(top.get((0, a), 0.0), s), max(top.get((1, b), 0.0), s)
+    kept = {k for k, s in score.items() if s > 0 and s >= FLOOR * max(top[0, k[0]], top[1, k[1]])}
     left, right, chosen = {x[0] for x in old}, {x[0] for x in new}, set()
-    for a, b in sorted(score, key=lambda x: (-agree[x], -score[x], x)):
+    for a, b in sorted(kept, key=lambda x: (-score[x], x)):
         if a in left and b in right:
             chosen.add((a, b))
             left.discard(a)
             right.discard(b)
     keep = ("old_name", "new_name", "n_both", "n_equal")
-    return [{k: p[k] for k in keep} | {"score": score[p["old_name"], p["new_name"]], "chosen": (p["old_name"], p["new_name"]) in chosen} for p in pairs]
+    named = [((p["old_name"], p["new_name"]), p) for p in pairs]
+    return [{k: p[k] for k in keep} | {"score": score[at], "chosen": at in chosen} for at, p in named if at in kept]
+
+
+def proposal_recall(files: DataFrame, records: DataFrame) -> DataFrame:
+    """One row: n_agreeing pairs of fields that pass the value check on their own, and n_proposed of them that flooding proposes."""
+    known = cut(agreement(*_prepare(files, records)))
+    passes = (F.col("n_both") > 0) & (F.col("n_both") == F.col("n_equal"))
+    proposed = correspondences(known).agg(F.count_if(passes).alias("n")).scalar()
+    return known.agg(F.count_if(passes).alias("n_agreeing")).select("n_agreeing", proposed.alias("n_proposed"))
 
 
 def changes(files: DataFrame, records: DataFrame) -> DataFrame:
     """(file_id, change_kind, field_name, new_name): renamed, added, removed and type_changed against the feed's previous file.
 
     A file of no readable record has no field, so the next one adds all of its own. Types of nulls do not count; a field that is
-    null throughout in either file has not changed type. Where several pairs pass the value check all are reported.
+    null throughout in either file has not changed type. Where several proposed pairs pass the value check all are reported.
     """
     parsed, paired = _prepare(files, records)
-    renamed = cut(correspondences(parsed, paired).filter((F.col("score") >= FLOOR) & (F.col("n_both") > 0) & (F.col("n_both") == F.col("n_equal"))).select("file_id", "old_name", "new_name"))
+    renamed = cut(correspondences(agreement(parsed, paired)).filter("n_both > 0 and n_both = n_equal").select("file_id", "old_name", "new_name"))
     gone = paired.filter("new_kinds is null").select("file_id", F.col("name").alias("field_name")).join(renamed.select("file_id", F.col("old_name").alias("field_name")), ["file_id", "field_name"], "left_anti")
     came = paired.filter("old_kinds is null").select("file_id", F.col("name").alias("field_name")).join(renamed.select("file_id", F.col("new_name").alias("field_name")), ["file_id", "field_name"], "left_anti")
     typed = paired.filter("old_kinds <> new_kinds and size(old_kinds) > 0 and size(new_kinds) > 0").select("file_id", F.col("name").alias("field_name"))
@@ -253,7 +260,7 @@ def consistent_table(files: DataFrame, records: DataFrame) -> DataFrame:
     first non-null one in name order. Records that are no JSON object are left out.
     """
     parsed, paired = _prepare(files, records)
-    pairs = correspondences(parsed, paired).filter("chosen and n_both > 0 and n_both = n_equal").select("file_id", "old_name", "new_name")
+    pairs = correspondences(agreement(parsed, paired)).filter("chosen and n_both > 0 and n_both = n_equal").select("file_id", "old_name", "new_name")
     names = canonical_names(files, pairs).groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("name", "canonical"))).alias("alias"))
     rows = parsed.join(names, "file_id", "left")
     named = F.transform("fields", lambda f: F.struct(F.coalesce(F.col("alias")[f["name"]], f["name"]).alias("k"), f["value"].alias("v")))

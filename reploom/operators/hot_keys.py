@@ -25,21 +25,32 @@ def merge_states(states: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def per_key(df: DataFrame) -> DataFrame:
-    """key_kind (v_call, j_call, pair), v_key, j_key and the state of each key.
-
-    Null keys come out as the empty string and are merged with it; the side that a kind does not use is '-'. An empty table gives no rows.
-    """
+def _pairs(df: DataFrame) -> DataFrame:
+    """States of every pair of calls, null keys as the empty string."""
     pairs = pair_states(df.select("v_call", "j_call", "duplicate_count"))
-    pairs = merge_states(pairs.withColumns({k: F.coalesce(k, F.lit("")) for k in ("v_key", "j_key")}), "v_key", "j_key")
+    return merge_states(pairs.withColumns({k: F.coalesce(k, F.lit("")) for k in ("v_key", "j_key")}), "v_key", "j_key")
+
+
+def _kinds(pairs: DataFrame) -> DataFrame:
     sets = F.explode(F.expr("array(struct('pair' key_kind, v_key v, j_key j), struct('v_call' key_kind, v_key v, '-' j), struct('j_call' key_kind, '-' v, j_key j))")).alias("k")
     measures = ["n_rows", "n_weighted", "sum_weight", "min_weight", "max_weight"]
     keyed = pairs.select(sets, *measures).select("k.key_kind", F.col("k.v").alias("v_key"), F.col("k.j").alias("j_key"), *measures)
     return merge_states(keyed, "key_kind", "v_key", "j_key")
 
 
+def per_key(df: DataFrame) -> DataFrame:
+    """key_kind (v_call, j_call, pair), v_key, j_key and the state of each key.
+
+    Null keys come out as the empty string and are merged with it; the side that a kind does not use is '-'. An empty table gives no rows.
+    """
+    return _kinds(_pairs(df))
+
+
 def heavy_keys(df: DataFrame, share: float = 0.04) -> DataFrame:
-    """The keys of per_key that hold at least that share of all rows; the total is a scalar subquery over the same table."""
-    base = df.select("v_call", "j_call", "duplicate_count")
-    total = base.agg(F.count(F.lit(1)).alias("n"))
-    return per_key(base).filter(F.col("n_rows") >= F.lit(share) * total.scalar())
+    """(key_kind, v_key, j_key, n_rows): the keys that hold at least that share of all rows.
+
+    The total is the sum over the pair states, a scalar subquery over the same exchange, so the rows are read once.
+    """
+    pairs = _pairs(df)
+    total = pairs.agg(F.sum("n_rows").alias("n"))
+    return _kinds(pairs).filter(F.col("n_rows") >= F.lit(share) * total.scalar()).select("key_kind", "v_key", "j_key", "n_rows")

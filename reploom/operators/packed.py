@@ -8,6 +8,7 @@ values and runs of call characters, so delimiters inside a legitimate value are
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import ahocorasick
 import pandas as pd
@@ -20,6 +21,8 @@ _QUOTED = re.compile(r'"((?:[^"]|"")*)"')
 _CALL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789*/-")
 #: Cost of an arc: fewer and better known pieces win; a skipped call character is dear.
 _KNOWN, _PLAIN, _SKIP, _LOST = 0.5, 1.0, 0.01, 50.0
+#: Segmented values a task remembers.
+_MEMO = 100_000
 
 
 def automaton(known: list[str]) -> ahocorasick.Automaton | None:
@@ -77,7 +80,7 @@ def segment(value: str, auto: ahocorasick.Automaton | None) -> list[str]:
 
 
 def split_calls(df: DataFrame, known: DataFrame, id_col: str = "row_id", fields: tuple[str, ...] = ("v_call", "d_call", "j_call"), known_col: str = "gene_call", only_packed: bool = False, max_known: int = 100_000) -> DataFrame:
-    """(id, field_name, call_no from 1, gene_call), no shuffle.
+    """(id, field_name, call_no from 1, gene_call), no shuffle, each field segmented once.
 
     Null, empty and blank fields give no row; repeated calls are kept; a quote that is never closed separates like any other
     mark. only_packed keeps fields of two calls or more. The dictionary is collected to the driver up to max_known entries
@@ -92,15 +95,20 @@ def split_calls(df: DataFrame, known: DataFrame, id_col: str = "row_id", fields:
     single = F.col("value").rlike(r"^[A-Za-z0-9*/\-]+$") & (F.lower("value") != "or")
 
     @F.pandas_udf("array<string>")
-    def cut_up(values: pd.Series) -> pd.Series:
+    def cut_up(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         auto = automaton(words)
         memo: dict[str, list[str]] = {}
-        return pd.Series([memo[v] if v in memo else memo.setdefault(v, segment(v, auto)) for v in values])
-
-    packed = long.filter(~single & F.col("value").rlike(r"[^,;|&\s]")).withColumn("calls", cut_up("value"))
-    if only_packed:
-        packed = packed.filter(F.size("calls") >= 2)
-    rows = packed.select("row_id", "field_name", F.posexplode("calls").alias("p", "gene_call")).select("row_id", "field_name", (F.col("p") + 1).cast("bigint").alias("call_no"), "gene_call")
+        for values in batches:
+            if len(memo) > _MEMO:
+                memo.clear()
+            yield pd.Series([None if v is None else memo[v] if v in memo else memo.setdefault(v, segment(v, auto)) for v in values], dtype="object")
+
+    # nondeterministic, so that no filter on its result is pushed below it and segments every field again
+    cut_up = cut_up.asNondeterministic()
+    long = long.filter(F.col("value").rlike(r"[^,;|&\s]"))
     if only_packed:
-        return rows
-    return rows.unionAll(long.filter(single).select("row_id", "field_name", F.lit(1).cast("bigint").alias("call_no"), F.col("value").alias("gene_call")))
+        calls = long.filter(~single).select("row_id", "field_name", cut_up("value").alias("calls")).filter(F.size("calls") >= 2)
+    else:
+        calls = long.withColumn("one", single).select("row_id", "field_name", "value", "one", cut_up(F.when(~F.col("one"), F.col("value"))).alias("many"))
+        calls = calls.select("row_id", "field_name", F.when(F.col("one"), F.array("value")).otherwise(F.col("many")).alias("calls"))
+    return calls.select("row_id", "field_name", F.posexplode("calls").alias("p", "gene_call")).select("row_id", "field_name", (F.col("p") + 1).cast("bigint").alias("call_no"), "gene_call")

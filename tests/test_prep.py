@@ -33,6 +33,19 @@ def test_typed_lines(spark):
     assert [list(r["reasons"]) for r in p.filter("rec_id = 4").collect()] == [["no_header"]]
 
 
+def test_other_fields_are_kept(spark):
+    got = parsed(spark, ["CASS\tu1\t7\tu2", "CASS\tu1\t7\tu2\t"], "junction_aa\tumi\tNovel\tumi")
+    assert got[2]["rest"] == {"umi": "u1", "novel": "7", "umi#2": "u2"} and got[2]["junction_aa"] == "CASS"
+    assert list(got[3]["reasons"]) == ["column_count"] and got[3]["rest"] is None
+
+
+def test_whole_row_pattern_matches_valid_tab_lines():
+    schema = bad_rows.LineSchema("sequence_id\tproductive\tjunction_aa")
+    for line in ("a\tTrue\tCASS", "a\t\t CASS ", 'a\t" t "\t"\tCASS"', '"x\ty"\tno\tcas*'):
+        assert schema.whole.match(line) and schema.parse(line)[1] == []
+    assert schema.whole.match("a\tTrue\tCASS\t") is None and schema.parse("a\tTrue\tCASS\t")[1] == ["column_count"]
+
+
 def test_lines_empty_and_long(spark):
     empty = spark.createDataFrame([], "line_id bigint, file_name string, line_no int, raw_line string")
     assert bad_rows.parse_lines(empty).count() == 0
@@ -114,6 +127,23 @@ def test_segment(value, calls):
     assert packed.segment(value, None) == calls
 
 
+def test_dictionary_protects_delimiters(spark):
+    words = [*KNOWN, "IGHV1-2 (F), partial", "IGHD1;IGHD2"]
+    value = "IGHV1-2 (F), partial; TRBV1*01,IGHD1;IGHD2|IGHD1"
+    assert packed.segment(value, packed.automaton(words)) == ["IGHV1-2 (F), partial", "TRBV1*01", "IGHD1;IGHD2", "IGHD1"]
+    assert packed.segment(value, None) == ["IGHV1-2", "F", "partial", "TRBV1*01", "IGHD1", "IGHD2", "IGHD1"]
+    known, df = spark.createDataFrame([(w,) for w in words], "gene_call string"), spark.createDataFrame([(1, value, None, None)], "row_id bigint, v_call string, d_call string, j_call string")
+    assert [r["gene_call"] for r in packed.split_calls(df, known, only_packed=True).orderBy("call_no").collect()] == packed.segment(value, packed.automaton(words))
+
+
+def test_fields_are_segmented_once(spark):
+    known = spark.createDataFrame([("a",)], "gene_call string")
+    df = spark.createDataFrame([(1, "a|b", "x", None)], "row_id bigint, v_call string, d_call string, j_call string")
+    for packed_only in (True, False):
+        plan = packed.split_calls(df, known, only_packed=packed_only)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1
+
+
 def test_split_calls(spark):
     known = spark.createDataFrame([(k,) for k in [*KNOWN, None]], "gene_call string")
     df = spark.createDataFrame([(1, "TRBV1*01", "a|b", None, 9), (2, None, "", "or", 9), (3, " x ", ";;", '"q,r"', 9)], "row_id bigint, v_call string, d_call string, j_call string, field_name int")
@@ -155,6 +185,30 @@ def test_drift_empty(spark):
     assert drift.changes(files, records.limit(0)).count() == 0 and drift.changes(files.limit(0), records).count() == 0
 
 
+def test_payload_kinds(spark):
+    text = '{"a": 1, "b": 1.0, "c": "x\\"y", "d": null, "e": [1, 2], "f": {"z": 1, "y": "q"}, "g": true, "h": 1e3, "i": 12345678901234567890123, "a": "2"}'
+    rows = [(1, 1, text), (2, 1, "[1]"), (3, 1, "{broken"), (4, 1, None), (5, 1, "{}")]
+    got = {r["record_id"]: {f["name"]: (f["kind"], f["value"], list(f["nested"])) for f in r["fields"]} for r in drift.parse_payloads(spark.createDataFrame(rows, "record_id bigint, file_id bigint, payload string")).collect()}
+    assert got[5] == {} and set(got) == {1, 5} and got[1] == {
+        "a": ("string", '"2"', []), "b": ("number", "1.0", []), "c": ("string", '"x\\"y"', []), "d": (None, None, []), "e": ("array", "[1,2]", []), "f": ("object", '{"y":"q","z":1}', ["y", "z"]),
+        "g": ("boolean", "true", []), "h": ("number", "1000.0", []), "i": ("integer", "12345678901234567890123", []),
+    }
+
+
+def _pair(old, new, both=2, equal=2):
+    return {"old_name": old, "old_kinds": ["string"], "old_nested": [], "new_name": new, "new_kinds": ["string"], "new_nested": [], "n_both": both, "n_equal": equal}
+
+
+def test_flooding_decides_what_is_checked():
+    pairs = [_pair("v_call", "bestv"), _pair("v_call", "memo", equal=0), _pair("note", "bestv", equal=0), _pair("note", "memo")]
+    names = lambda rows: {(r["old_name"], r["new_name"]) for r in rows}
+    right = {("v_call", "bestv"), ("note", "memo")}
+    assert right <= names(drift.propose(pairs)) and names(r for r in drift.propose(pairs) if r["chosen"]) == right
+    assert drift.propose(pairs, lambda old, new, agree: {k: 0.0 for k, _ in agree}) == []
+    wrong = lambda old, new, agree: {k: 0.1 if k == ("v_call", "bestv") else 1.0 for k, _ in agree}
+    assert ("v_call", "bestv") not in names(drift.propose(pairs, wrong))
+
+
 def test_flooding_prefers_likely_names():
     old = (("v_call", ("string",), ()), ("n", ("integer",), ()))
     new = (("vcall", ("string",), ()), ("copies", ("integer",), ()))
