@@ -1,18 +1,14 @@
 """Near-duplicate strings with small edits.
 
 Candidates come from pivotal grams and none is missed: of tau + 1 disjoint grams of a string, tau edits leave at least one whole, so a
-string within tau edits holds that gram, shifted by no more than the edits on either side. Every string posts all its grams; the longer
-one of a pair probes with tau + 1 of its own, the rarest disjoint ones, so that grams many strings share (the ends) are rarely asked for.
-No list is dropped, cut or sampled. The exact edit distance verifies what is left. Similar strings are grouped by connected
-components, and copies of a string are joined to its group, never expanded into pairs.
-
-postings and candidates are the older way by overlaps of bottom-k sketches; it loses pairs inside large families and similar does not use it.
+string within tau edits holds that gram, shifted by no more than the edits on either side. Every string posts all its grams in inverted
+lists; the longer one of a pair probes with tau + 1 of its own, the rarest disjoint ones, so that grams many strings share (the ends) are
+rarely asked for. No list is dropped, cut or sampled. The exact edit distance verifies what is left. Similar strings are grouped by
+connected components, and copies of a string are joined to its group, never expanded into pairs.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -20,12 +16,6 @@ from pyspark.sql import functions as F
 
 from reploom.session import cut
 
-K = 72
-#: Shortest shingle; it grows with the logarithm of the collection, so that chance overlaps stay as rare.
-Q = 12
-HOT = 64
-#: Overlaps of sketches that a pair needs: chance pairs share one value, a true pair of distance 0.1 is expected to share eight.
-MIN_OVERLAP = 2
 #: Longest pivotal grams, for four letters and for more.
 GRAM, GRAM_WIDE = 8, 5
 #: Bits of a hashed gram, strings sampled for the weights of grams, letters up to which pivots are chosen by weight.
@@ -44,39 +34,14 @@ def residues(c: Column) -> Column:
     return bases(c)
 
 
-def strings(df: DataFrame, value: Column, min_length: int) -> DataFrame:
-    """(sid, s, n): the distinct strings of at least min_length letters; nulls and shorter ones are left out."""
-    s = df.select(value.alias("s")).filter(F.length("s") >= min_length).distinct()
-    return s.select(F.xxhash64("s").alias("sid"), "s", F.length("s").alias("n"))
-
-
-def shingle_length(texts: DataFrame, letters: int = 4, least: int = Q) -> int:
-    """Letters of a shingle: the logarithm of all places to that many letters, so a chance list stays about one string long."""
-    places = texts.agg(F.sum("n")).first()[0] or 1
-    return max(least if letters == 4 else max(4, least // 2), math.ceil(math.log(places, letters)) + (1 if letters == 4 else 0))
-
-
-def postings(texts: DataFrame, q: int, k: int = K) -> DataFrame:
-    """(sid, n, h, wide, pos): the retained shingles of each string, with the hash of the 2q letters around each, towards the middle."""
-    body = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.col("n") - q + 1, F.lit(1))),
-        lambda i: F.struct(F.xxhash64(F.substring("s", i, F.lit(q))).alias("h"), i.alias("pos")),
-    )
-    kept = texts.select("sid", "s", "n", F.explode(F.slice(F.array_sort(body), 1, k)).alias("p"))
-    start = F.when(F.col("p.pos") * 2 <= F.col("n"), F.col("p.pos")).otherwise(F.greatest(F.col("p.pos") - q, F.lit(1)))
-    return kept.select("sid", "n", F.col("p.h").alias("h"), F.xxhash64(F.substring(F.col("s"), start, F.lit(2 * q))).alias("wide"), F.col("p.pos").alias("pos"))
+def strings(df: DataFrame, value: Column, min_length: int, id_col: str | None = None) -> DataFrame:
+    """(sid, s, n): the distinct strings of at least min_length letters; nulls and shorter ones are left out.
 
-
-def candidates(texts: DataFrame, q: int, k: int = K, max_rate: float = 0.1, hot: int = HOT) -> DataFrame:
-    """(a, b, overlap), a < b: pairs of string ids whose sketches share values at places that the edits allowed can reach."""
-    posted = postings(texts, q, k)
-    crowded = posted.groupBy("h").count().filter(F.col("count") > hot).select(F.col("h").alias("hh"))
-    keyed = posted.join(crowded, F.col("h") == F.col("hh"), "left").select("sid", "n", "pos", F.when(F.col("hh").isNull(), F.col("h")).otherwise(F.col("wide")).alias("key"))
-    keyed = cut(keyed)
-    left, right = keyed.toDF("a", "na", "pa", "key"), keyed.toDF("b", "nb", "pb", "key")
-    reach = F.greatest("na", "nb") * F.lit(max_rate)
-    near = (F.col("a") < F.col("b")) & (F.abs(F.col("na") - F.col("nb")) <= reach) & (F.abs(F.col("pa") - F.col("pb")) <= reach)
-    return left.join(right, "key").filter(near).groupBy("a", "b").agg(F.count(F.lit(1)).alias("overlap"))
+    sid is the least id of a string's rows, so different strings never share one; without an id column it is a 64-bit hash.
+    """
+    s = df.select(value.alias("s"), *([F.col(id_col).alias("sid")] if id_col else [])).filter(F.length("s") >= min_length)
+    s = s.groupBy("s").agg(F.min("sid").alias("sid")) if id_col else s.distinct().withColumn("sid", F.xxhash64("s"))
+    return s.select("sid", "s", F.length("s").alias("n"))
 
 
 def gram_length(texts: DataFrame, letters: int = 4, max_rate: float = 0.1) -> int:
@@ -218,20 +183,37 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("label")).unionAll(e.select(F.col("v").alias("node"), F.col("v").alias("label"))).distinct()
 
 
+def links(pairs: DataFrame) -> DataFrame:
+    """(sid, n_links): the number of other distinct strings within the distance, of strings with any."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("sid"))
+    return ends.groupBy("sid").agg(F.count(F.lit(1)).alias("n_links"))
+
+
 def grouped(df: DataFrame, id_col: str, value: Column, min_length: int, **how) -> DataFrame:
     """(id, class_id, group_id, n_links) of every row long enough: class_id names the exact copies, group_id the similar ones.
 
-    group_id is the least class_id of the group and equals class_id for strings similar to no other; n_links is the number of
-    other distinct strings within the distance.
+    class_id is the least id of the rows of that string, group_id the least class_id of the group, its own for strings similar to no other;
+    n_links is the number of other distinct strings within the distance. Null ids are left out.
     """
-    rows = df.select(F.col(id_col).alias("id"), value.alias("s")).filter(F.length("s") >= min_length).select("id", F.xxhash64("s").alias("class_id"))
-    pairs = cut(similar(strings(df, value, min_length), **how).select("a", "b"))
-    links = pairs.select("a").unionAll(pairs.select(F.col("b").alias("a"))).groupBy("a").agg(F.count(F.lit(1)).alias("n_links"))
-    member = components(pairs).join(links, F.col("node") == F.col("a")).select("node", "label", "n_links")
-    return rows.join(member, F.col("class_id") == F.col("node"), "left").select("id", "class_id", F.coalesce("label", "class_id").alias("group_id"), F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"))
+    known = df.filter(F.col(id_col).isNotNull())
+    texts = cut(strings(known, value, min_length, id_col))
+    pairs = cut(similar(texts, **how).select("a", "b"))
+    member = texts.join(components(pairs), F.col("sid") == F.col("node"), "left").drop("node").join(links(pairs), "sid", "left")
+    member = member.select("s", F.col("sid").alias("class_id"), F.coalesce("label", "sid").alias("group_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+    rows = known.select(F.col(id_col).alias("id"), value.alias("s")).filter(F.length("s") >= min_length)
+    return rows.join(member, "s").select("id", "class_id", "group_id", "n_links")
+
+
+def linked(df: DataFrame, id_col: str, value: Column, min_length: int, every: int = 100, **how) -> DataFrame:
+    """(id, n_links): a search with every row whose id is divisible by that number against all rows; n_links as in grouped."""
+    known = df.filter(F.col(id_col).isNotNull())
+    texts = cut(strings(known, value, min_length, id_col))
+    counts = texts.join(links(similar(texts, **how)), "sid", "left").select("s", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+    rows = known.filter(F.pmod(F.col(id_col), F.lit(every)) == 0).select(F.col(id_col).alias("id"), value.alias("s")).filter(F.length("s") >= min_length)
+    return rows.join(counts, "s").select("id", "n_links")
 
 
-def found(df: DataFrame) -> DataFrame:
+def found(df: DataFrame, id_col: str | None = None) -> DataFrame:
     """(junction_a, junction_b): similar long junctions."""
-    s = strings(df.select("junction"), bases(F.col("junction")), 90)
+    s = strings(df, bases(F.col("junction")), 90, id_col)
     return similar(s).select(F.col("sa").alias("junction_a"), F.col("sb").alias("junction_b"))

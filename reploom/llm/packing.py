@@ -1,22 +1,29 @@
 """Filling fixed-capacity containers: best fit, then swap-based local search.
 
-Items are dealt by hash into blocks of bounded size, packed block by block in parallel. Within a block a best-fit-decreasing packing is
-improved by moving an item, exchanging one for one or two for one between containers that are not full; every step increases the
-sum of squared fills, which empties containers. Only items longer than a container are split, into full ones and a rest.
+Items are dealt by their place in the table into blocks of bounded size, packed block by block in parallel. Within a block a
+best-fit-decreasing packing is improved by moving an item, exchanging one for one or two for one between containers that are not full;
+every step increases the sum of squared fills, which empties containers, and the search ends when no step is left. The least filled
+containers of each block are then opened and packed together with those of other blocks, round after round, until one block is
+left. Only items longer than a container are split, into full ones and a rest.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reploom.session import cut
+
 CAPACITY = 2048
-#: Items of a block on average: memory and the time of a task stay bounded; a block wastes less than one container.
+#: Items of a block on average: memory and the time of a task stay bounded.
 BLOCK = 4096
+#: Least filled containers that a block hands on, and the blocks whose containers meet in the next round.
+HANDED, FAN_IN = 2, 16
 
 
 class _Bins:
@@ -47,17 +54,18 @@ def best_fit(sizes: np.ndarray, capacity: int) -> _Bins:
     return bins
 
 
-def improve(bins: _Bins, sizes: np.ndarray, max_passes: int = 8) -> None:
-    """Local search between containers that are not full, least filled first as givers; stops when a pass changes nothing.
+def improve(bins: _Bins, sizes: np.ndarray) -> None:
+    """Local search between containers that are not full, least filled first as givers, until a pass changes nothing.
 
     A giver's item of size x goes to a container with gap g: alone if x <= g, for a smaller item y if x - y <= g, or for two
-    whose sum is smaller than x by at most g. Receivers are at least as full as the giver, so the squared fill grows each time.
+    whose sum is smaller than x by at most g. Receivers are at least as full as the giver, so the squared fill grows each time and the
+    search ends by itself.
     """
     cap = bins.capacity
-    for _ in range(max_passes):
+    while True:
         changed = False
         order = sorted((b for b in range(len(bins.fill)) if 0 < bins.fill[b] < cap), key=lambda b: bins.fill[b])
-        for giver in order[: max(1, len(order) // 2)]:
+        for giver in order:
             if not bins.items[giver]:
                 continue
             for to in reversed(order):
@@ -141,23 +149,39 @@ def pieces(df: DataFrame, id_col: str, size_col: str, capacity: int = CAPACITY)
     return src.select("id", "piece_no", F.least(F.lit(capacity), F.col("total") - (F.col("piece_no") - 1) * capacity).cast("int").alias("size"))
 
 
-def containers(df: DataFrame, id_col: str, size_col: str, n_items: int, capacity: int = CAPACITY, block: int = BLOCK) -> DataFrame:
+def containers(df: DataFrame, id_col: str, size_col: str, capacity: int = CAPACITY, block: int = BLOCK) -> DataFrame:
     """(id, piece_no, size, container STRING): every item once, split only above the capacity.
 
-    n_items is the number of rows, from which the number of blocks follows. Empty and null items have size 0 and share a
-    container with others; ids that repeat are packed as the separate items they are. An empty table gives no rows.
+    The sizes are materialised first, so what computes them runs once. Empty and null items have size 0 and share a container with
+    others; ids that repeat are packed as the separate items they are, wherever they stand. An empty table gives no rows.
     """
-    blocks = max(1, -(-n_items // block))
-    items = pieces(df, id_col, size_col, capacity)
-    whole = F.col("size") == capacity  # full pieces need no search
-    full = items.filter(whole).select("id", "piece_no", "size", F.concat_ws("-", F.lit("full"), F.col("id"), F.col("piece_no")).alias("container"))
-    rest = items.filter(~whole).withColumn("blk", F.pmod(F.xxhash64("id", "piece_no", "size"), F.lit(blocks)))
+    sized = cut(df.select(F.col(id_col).alias("id"), F.col(size_col).alias("n")))
+    blocks = max(1, -(-sized.count() // block))
+    items = pieces(sized, "id", "n", capacity).withColumn("place", F.monotonically_increasing_id())
+    rows = items.select("id", "piece_no", "size", F.pmod(F.xxhash64("place"), F.lit(blocks)).alias("blk"))
+    done, level = None, 0
+    while True:
+        packed = rows.groupBy("blk").applyInPandas(_packer(capacity, level, blocks == 1), "id bigint, piece_no int, size int, container string, blk bigint, open boolean")
+        packed = packed if blocks == 1 else cut(packed)
+        closed = packed.filter("not open").select("id", "piece_no", "size", "container")
+        done = closed if done is None else done.unionAll(closed)
+        if blocks == 1:
+            return done
+        rows, blocks, level = packed.filter("open").select("id", "piece_no", "size", "blk"), -(-blocks // FAN_IN), level + 1
+
+
+def _packer(capacity: int, level: int, last: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Packs one block; open marks the items of the containers that it hands on to the next round."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["size", "id", "piece_no"], ascending=[False, True, True]).reset_index(drop=True)
-        no = pack(pdf["size"].to_numpy(), capacity)
-        blk = int(pdf["blk"].iloc[0])
-        return pd.DataFrame({"id": pdf["id"], "piece_no": pdf["piece_no"], "size": pdf["size"], "container": [f"{blk}-{x}" for x in no]})
-
-    packed = rest.groupBy("blk").applyInPandas(run, "id bigint, piece_no int, size int, container string")
-    return packed.unionAll(full)
+        size, blk = pdf["size"].to_numpy(), int(pdf["blk"].iloc[0])
+        no = np.full(len(pdf), -1)
+        full = size == capacity  # full pieces need no search
+        no[~full] = pack(size[~full], capacity)
+        fill = np.bincount(no[~full], weights=size[~full]) if (~full).any() else np.zeros(0)
+        least = [] if last else [b for b in np.argsort(fill, kind="stable")[:HANDED] if fill[b] < capacity]
+        name = [f"full-{i}-{p}" if f else f"{level}-{blk}-{x}" for i, p, f, x in zip(pdf["id"], pdf["piece_no"], full, no)]
+        return pd.DataFrame({"id": pdf["id"], "piece_no": pdf["piece_no"], "size": size, "container": name, "blk": blk // FAN_IN, "open": np.isin(no, least)})
+
+    return run

@@ -1,9 +1,10 @@
-"""Repetition inside a single document: repeated shares, an isolation forest over them, and an exact share.
+"""Repetition inside a single document: rule statistics, an isolation forest over them, and an exact share for its suspects.
 
-Rule statistics of a text are shares of repeated lines, sentences, word runs and 32-character stretches. An isolation forest is grown on a
-bounded sample of documents; the mean path length over its random splits gives every document an anomaly score, and the threshold
-is calibrated on the sample's labelled rows. Documents over it are suspects, and so is every document that meets the exact rule: no
-case depends on the sample. The exact share decides.
+Rule statistics of a text are cheap shares of repeated lines, sentences, word runs and top words, and a bound on the repeated letters from counts
+of hashed 32-letter stretches, which is never below the truth. An isolation forest is grown on a bounded sample of documents; the mean path
+length over its random splits gives every document an anomaly score, and the threshold is calibrated on the sample's labelled rows.
+Suspects are the documents over it, and those whose bound reaches the share of a case, so that no case depends on the sample. Only
+suspects are measured exactly, which decides.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ MIN_LETTERS = 64
 MIN_SHARE = 0.4
 #: Bound of the labelled sample the forest is grown and calibrated on.
 SAMPLE = 4000
-STATS = ("repeated_share", "line_share", "sentence_share", "phrase_share", "top_word_share")
+STATS = ("bound_share", "line_share", "sentence_share", "phrase_share", "top_word_share")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SENTENCE = regex.compile(r"[.!?。！？\n]+")
 _WORD = regex.compile(r"\w+")
@@ -37,21 +38,55 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def _hashes(s: str, window: int) -> np.ndarray:
+    """A 64-bit hash of every stretch of window letters, doubled up from single letters; a window is a power of two."""
+    with np.errstate(over="ignore"):
+        h = _mix(np.frombuffer(s.encode("utf-32-le"), dtype="<u4").astype(np.uint64) * _ODD)
+        step = 1
+        while step < window:
+            h = _mix(h[:-step] * np.uint64(0xD6E8FEB86659FD93) + h[step:] + np.uint64(step))
+            step *= 2
+    return h
+
+
+def _covered(twice: np.ndarray, n: int, window: int) -> int:
+    """Letters in the stretches that begin where twice is true."""
+    edge = np.zeros(n + 1, dtype=np.int64)
+    at = np.flatnonzero(twice)
+    edge[at] += 1
+    np.subtract.at(edge, at + window, 1)
+    return int((np.cumsum(edge[:n]) > 0).sum())
+
+
+def bound(text: str | None, window: int = WINDOW) -> tuple[int, int]:
+    """(letters, at most so many repeated ones), never below repeated() and without sorting.
+
+    A stretch may be repeated if another one falls into its cell in each of three tables of counts, one for each part of the hash.
+    """
+    s = letters(text or "")
+    n = len(s)
+    if n <= window:
+        return n, 0
+    h, bits = _hashes(s, window), max(10, (16 * n).bit_length())
+    twice = np.ones(len(h), dtype=bool)
+    for part in (h >> np.uint64(64 - bits), h >> np.uint64(max(0, 64 - 2 * bits)), h):
+        cell = (part & np.uint64((1 << bits) - 1)).astype(np.int64)
+        twice &= np.bincount(cell)[cell] > 1
+        if not twice.any():
+            return n, 0
+    return n, _covered(twice, n, window)
+
+
 def repeated(text: str | None, window: int = WINDOW) -> tuple[int, int]:
     """(letters, repeated letters): those in a stretch of window letters that occurs at two places or more, overlapping or not.
 
-    Stretches are compared by a 64-bit hash doubled up from single letters; a window is a power of two. Null gives zeros.
+    Stretches are compared by their 64-bit hash. Null gives zeros.
     """
     s = letters(text or "")
     n = len(s)
     if n <= window:
         return n, 0
-    with np.errstate(over="ignore"):
-        h = _mix(np.frombuffer(s.encode("utf-32-le"), dtype="<u4").astype(np.uint64) * _ODD)
-        step = 1
-        while step < window:
-            h = _mix(h[:-step] * np.uint64(0xD6E8FEB86659FD93) + h[step:] + np.uint64(step))
-            step *= 2
+    h = _hashes(s, window)
     order = np.argsort(h, kind="stable")
     same = h[order][1:] == h[order][:-1]
     if not same.any():
@@ -59,11 +94,7 @@ def repeated(text: str | None, window: int = WINDOW) -> tuple[int, int]:
     twice = np.zeros(len(h), dtype=bool)
     twice[order[1:][same]] = True
     twice[order[:-1][same]] = True
-    edge = np.zeros(n + 1, dtype=np.int64)
-    at = np.flatnonzero(twice)
-    edge[at] += 1
-    np.subtract.at(edge, at + window, 1)
-    return n, int((np.cumsum(edge[:n]) > 0).sum())
+    return n, _covered(twice, n, window)
 
 
 def _dup_share(parts: list[str]) -> float:
@@ -75,10 +106,10 @@ def _dup_share(parts: list[str]) -> float:
     return sum(len(p) * c for p, c in seen.items() if c > 1) / total
 
 
-def statistics(text: str | None) -> tuple[int, float, float, float, float, float]:
-    """n_letters and the STATS of a text; zeros for null, empty and blank texts."""
+def statistics(text: str | None) -> tuple[int, int, float, float, float, float, float]:
+    """n_letters, n_bound and the STATS of a text; zeros for null, empty and blank texts."""
     text = text or ""
-    n, rep = repeated(text)
+    n, rep = bound(text)
     low = text.lower()
     words = _WORD.findall(low)
     runs = Counter(zip(words, words[1:], words[2:], words[3:], words[4:]))
@@ -86,19 +117,31 @@ def statistics(text: str | None) -> tuple[int, float, float, float, float, float
     top = max(Counter(words).values()) / len(words) if len(words) > 4 else 0.0
     lines = [x.strip() for x in low.split("\n") if x.strip()]
     sentences = [x.strip() for x in _SENTENCE.split(low) if x.strip()]
-    return n, rep / n if n else 0.0, _dup_share(lines), _dup_share(sentences), phrase, top
+    return n, rep, rep / n if n else 0.0, _dup_share(lines), _dup_share(sentences), phrase, top
 
 
 def measured(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_letters, n_repeated and STATS) of every row."""
-    schema = "n_letters int, n_repeated int, " + ", ".join(f"{s} double" for s in STATS)
+    """(doc_id, text, n_letters, n_bound and STATS) of every row."""
+    schema = "n_letters int, n_bound int, " + ", ".join(f"{s} double" for s in STATS)
 
     @F.pandas_udf(schema)
     def run(texts: pd.Series) -> pd.DataFrame:
-        rows = [statistics(t) for t in texts]
-        return pd.DataFrame([(r[0], round(r[1] * r[0]), *r[1:]) for r in rows], columns=["n_letters", "n_repeated", *STATS])
+        return pd.DataFrame([statistics(t) for t in texts], columns=["n_letters", "n_bound", *STATS])
+
+    run = run.asNondeterministic()  # filters on its result stay above it
+    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("m", run("text")).select("doc_id", "text", "m.*")
 
-    return df.select(F.col(id_col).alias("doc_id"), run(F.col(text_col)).alias("m")).select("doc_id", "m.*")
+
+def shares(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_letters, n_repeated, repeated_share) of every row, exactly; the share of a text without letters is 0."""
+
+    @F.pandas_udf("n_letters int, n_repeated int")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([repeated(t) for t in texts], columns=["n_letters", "n_repeated"])
+
+    run = run.asNondeterministic()
+    rows = df.select(F.col(id_col).alias("doc_id"), run(F.col(text_col)).alias("m")).select("doc_id", "m.*")
+    return rows.withColumn("repeated_share", F.when(F.col("n_letters") > 0, F.col("n_repeated") / F.col("n_letters")).otherwise(F.lit(0.0)))
 
 
 def _mean_path(n: float) -> float:
@@ -170,29 +213,37 @@ def is_case(n: np.ndarray, rep: np.ndarray) -> np.ndarray:
     return (n >= MIN_LETTERS) & (rep * 10 >= n * 4)
 
 
-def case() -> Column:
-    """is_case on the columns of measured."""
-    return (F.col("n_letters") >= MIN_LETTERS) & (F.col("n_repeated") * 10 >= F.col("n_letters") * 4)
+def case(rep: str) -> Column:
+    """is_case on columns, rep naming that of the repeated letters."""
+    return (F.col("n_letters") >= MIN_LETTERS) & (F.col(rep) * 10 >= F.col("n_letters") * 4)
+
+
+def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, seed: int = 7) -> IsolationForest:
+    """Forest on at most sample documents (those of the least hashes of their id, one row an id), labelled by the exact rule."""
+    some = df.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), F.lit(seed)).alias("h")).distinct().orderBy("h", "doc_id").limit(sample).select("doc_id")
+    docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(some), "doc_id", "left_semi")  # at most sample rows
+    docs = docs.dropDuplicates(["doc_id"])
 
+    @F.pandas_udf("int")
+    def exact(texts: pd.Series) -> pd.Series:
+        return pd.Series([repeated(t)[1] for t in texts], dtype="int32")
 
-def train(stats: DataFrame, sample: int = SAMPLE, seed: int = 7) -> IsolationForest:
-    """Forest on at most sample documents (those of the least hashes of their id), labelled by the exact rule."""
-    rows = stats.orderBy(F.xxhash64(F.col("doc_id"), F.lit(seed)), "doc_id").limit(sample).toPandas()
+    rows = measured(docs).withColumn("n_repeated", exact("text")).select("n_letters", "n_repeated", *STATS).toPandas()
     x = rows[list(STATS)].to_numpy(dtype=float)
     forest = IsolationForest(seed=seed).fit(x) if len(x) else IsolationForest(seed=seed)
     return forest.calibrate(x, is_case(rows["n_letters"].to_numpy(), rows["n_repeated"].to_numpy())) if len(x) else forest
 
 
 def scored(stats: DataFrame, forest: IsolationForest) -> DataFrame:
-    """stats plus anomaly and suspect (anomaly at or over the calibrated threshold, or a case by the exact rule)."""
+    """stats plus anomaly and suspect: anomaly at or over the calibrated threshold, or a bound that reaches the share of a case."""
 
     @F.pandas_udf("double")
     def run(*cols: pd.Series) -> pd.Series:
         return pd.Series(forest.score(np.column_stack([c.to_numpy(dtype=float) for c in cols])))
 
-    return stats.withColumn("anomaly", run(*STATS)).withColumn("suspect", (F.col("anomaly") >= F.lit(forest.threshold)) | case())
+    return stats.withColumn("anomaly", run.asNondeterministic()(*STATS)).withColumn("suspect", (F.col("anomaly") >= F.lit(forest.threshold)) | case("n_bound"))
 
 
 def found(stats: DataFrame, forest: IsolationForest) -> DataFrame:
     """(doc_id) of the suspects whose exact repeated share is at least MIN_SHARE of at least MIN_LETTERS letters."""
-    return scored(stats, forest).filter(F.col("suspect") & case()).select("doc_id")
+    return shares(scored(stats, forest).filter("suspect")).filter(case("n_repeated")).select("doc_id")

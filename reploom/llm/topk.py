@@ -28,7 +28,11 @@ def junction(df: DataFrame) -> Column:
 
 
 def heavy(df: DataFrame, share: float = 0.002) -> DataFrame:
-    """(junction_aa, n): values in at least that share of all rows. No more than 1/share values can be, so they are among the top k for that k."""
-    src = df.select("junction_aa")
-    total = src.agg(F.count(F.lit(1)).alias("n"))
-    return top_k(src, junction(src), int(1 / share) + 1, "junction_aa").filter(F.col("n") >= F.lit(share) * total.scalar())
+    """(junction_aa, n): values in at least that share of all rows. No more than 1/share values can be, so they are among the top k for that k.
+
+    The total, null rows included, is the sum of all counts: a scalar subquery over the same exchange, so the rows are read once.
+    """
+    every = df.select(junction(df).alias("junction_aa")).groupBy("junction_aa").agg(F.count(F.lit(1)).alias("n"))
+    total = every.agg(F.sum("n").alias("n"))
+    top = every.filter("junction_aa is not null").orderBy(F.desc("n"), F.asc("junction_aa")).limit(int(1 / share) + 1)
+    return top.filter(F.col("n") >= F.lit(share) * total.scalar())

@@ -104,9 +104,8 @@ def test_hot_lists_are_split_not_dropped(spark):
     texts += [mutate(rng, t, 5) for t in texts[:100]]
     df = spark.createDataFrame([(t,) for t in texts], "junction string")
     s = neardup.strings(df, neardup.bases(F.col("junction")), 90)
-    few = neardup.candidates(s, 12).count()
-    flat = neardup.candidates(s, 12, hot=10**9).count()
-    assert few * 5 < flat
+    few = neardup.pivotal(s, 8).count()
+    assert few < len(texts) ** 2 / 2  # the shared ends are asked for only where a string has too few other grams
     got = {tuple(r) for r in neardup.found(df).collect()}
     assert all((min(a, b), max(a, b)) in got for a, b in zip(texts[:100], texts[300:]) if a != b and min(len(a), len(b)) >= 90)
 
@@ -128,9 +127,27 @@ def test_large_families_lose_no_pair(spark):
     assert len(want) > 5000 and (min(even, spaced), max(even, spaced)) in want
 
 
+def test_links_of_queried_rows(spark):
+    rng = random.Random(3)
+    base = ["".join(rng.choice("ACGT") for _ in range(100)) for _ in range(30)]
+    texts = base + [mutate(rng, t, 3) for t in base for _ in range(3)] + base[:4]
+    df = spark.createDataFrame([(i * 50, t) for i, t in enumerate(texts)] + [(None, base[0]), (7, None)], "row_id bigint, junction string")
+    distinct_ = sorted({t for t in texts if len(t) >= 90})
+    near = {t: sum(u != t and edit(t, u) * 10 <= max(len(t), len(u)) for u in distinct_) for t in distinct_}
+    got = {r["id"]: r["n_links"] for r in neardup.linked(df, "row_id", F.col("junction"), 90).collect()}
+    assert got == {i * 50: near[t] for i, t in enumerate(texts) if i % 2 == 0 and len(t) >= 90}
+    assert neardup.grouped(df.limit(0), "row_id", F.col("junction"), 90).count() == 0
+
+
 def test_very_long_strings(spark):
-    s = neardup.strings(spark.createDataFrame([("ACGT" * 8_250,)], "junction string"), F.col("junction"), 90)
-    assert neardup.postings(s, 12).agg(F.max("n")).first()[0] == 33_000
+    rng = random.Random(5)
+    a = "".join(rng.choice("ACGT") for _ in range(33_000))
+    b = a[:100] + "T" + a[100:]
+    df = spark.createDataFrame([(1, a), (2, b), (3, a)], "row_id bigint, junction string")
+    s = neardup.strings(df, F.col("junction"), 90, "row_id")
+    assert {(r["sid"], r["n"]) for r in s.collect()} == {(1, 33_000), (2, 33_001)}
+    own = neardup.pivots(s, 8, 0.001).groupBy("sid").agg(F.max("pos").alias("p"), F.count("*").alias("n")).collect()
+    assert {r["n"] for r in own} == {34} and max(r["p"] for r in own) > 32_767
 
 
 def test_components_of_a_chain(spark):
@@ -200,13 +217,39 @@ def test_local_search_empties_containers():
 def test_containers(spark):
     rows = [(i, s) for i, s in enumerate([0, None, 5, 2048, 2049, 5000, 100, 2047, 1])] + [(2, 5)]
     df = spark.createDataFrame(rows, "doc_id bigint, n int")
-    got = packing.containers(df, "doc_id", "n", len(rows)).collect()
+    got = packing.containers(df, "doc_id", "n").collect()
     fill = {}
     for r in got:
         fill[r["container"]] = fill.get(r["container"], 0) + r["size"]
     assert max(fill.values()) <= 2048 and sum(fill.values()) == sum(s or 0 for _, s in rows)
     assert {i: sum(r["id"] == i for r in got) for i in range(9)} == {0: 1, 1: 1, 2: 2, 3: 1, 4: 2, 5: 3, 6: 1, 7: 1, 8: 1}
-    assert packing.containers(df.limit(0), "doc_id", "n", 0).count() == 0
+    assert packing.containers(df.limit(0), "doc_id", "n").count() == 0
+
+
+def test_containers_meet_across_blocks(spark):
+    rng = random.Random(6)
+    sizes = [rng.randrange(1, 40) for _ in range(3000)] + [7] * 600
+    df = spark.createDataFrame([(1 if s == 7 else i, s) for i, s in enumerate(sizes)], "doc_id bigint, n int")  # one id on many rows
+    rows = packing.containers(df, "doc_id", "n", capacity=100, block=64).collect()
+    fill = {}
+    for r in rows:
+        fill[r["container"]] = fill.get(r["container"], 0) + r["size"]
+    assert sorted(r["size"] for r in rows) == sorted(sizes) and max(fill.values()) <= 100
+    assert len(fill) <= sum(sizes) / 100 * 1.01 + 1
+    blocks = packing.containers(df, "doc_id", "n", capacity=100, block=64).groupBy("id").count().filter("id = 1").first()
+    assert blocks["count"] >= 600
+
+
+def test_texts_are_tokenised_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def size(x):
+        seen.add(1)
+        return x % 50
+
+    packing.containers(spark.range(500).withColumn("n", size("id")), "id", "n", capacity=100, block=64).count()
+    assert seen.value == 500
 
 
 def repeated_by_hand(text, w=32):
@@ -233,14 +276,21 @@ def test_repetition_forest(spark):
     half = [p + " " + p[: int(len(p) * f)] for p in plain[:10] for f in (0.2, 0.6)]
     texts = [*plain, *spam, *half, None, "", " ", "a" * 63, "a" * 64]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    stats = repetition.measured(df)
-    forest = repetition.train(stats, sample=200)
+    stats, forest = repetition.measured(df), repetition.train(df, sample=200)
     want = {i for i, t in enumerate(texts) for n, r in [repeated_by_hand(t or "")] if n >= 64 and r * 10 >= n * 4}
     assert {r[0] for r in repetition.found(stats, forest).collect()} == want and len(texts) - 1 in want
-    scored = repetition.scored(stats, forest)
-    assert scored.filter("suspect").count() < len(texts) / 2
-    empty = repetition.measured(df.limit(0))
-    assert repetition.found(empty, repetition.train(empty)).count() == 0
+    exact = {r["doc_id"]: (r["n_letters"], r["n_repeated"]) for r in repetition.shares(df).collect()}
+    assert exact == {i: repeated_by_hand(t or "") for i, t in enumerate(texts)}
+    assert repetition.scored(stats, forest).filter("suspect").count() < len(texts) / 2  # the others are never measured exactly
+    empty = df.limit(0)
+    assert repetition.found(repetition.measured(empty), repetition.train(empty)).count() == 0
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["abcdefghij", "The cat. ", "日本語", "xyz", "q"]), max_size=40))
+def test_bound_is_never_below_the_share(parts):
+    text = "".join(parts)
+    assert repetition.bound(text)[0] == repetition.repeated(text)[0] and repetition.bound(text)[1] >= repetition.repeated(text)[1]
 
 
 def test_no_case_depends_on_the_sample(spark):
