@@ -48,13 +48,13 @@ def parse_count(c: Column) -> Column:
     return F.when(n == F.floor(n), F.greatest(n.try_cast("bigint"), F.lit(1))).otherwise(F.lit(1)).cast("bigint")
 
 
-def alphabet(sample: Column) -> Column:
-    """nucleotide, amino_acid or ambiguous (nothing but gap marks and blanks) for concatenated sample text.
+def alphabet_of(sample: Column) -> Column:
+    """Aggregate: nucleotide, amino_acid or ambiguous (nothing but gap marks and blanks) for all text of a group, from counts of letters.
 
-    Nucleotide needs every letter to be an IUPAC base code and at least 65 % of them to be A C G T U N.
+    Case does not count; nucleotide needs codes of bases only, and plain bases for at least 65 % of them. Null text counts nothing.
     """
-    letters = F.regexp_replace(F.upper(F.coalesce(sample, F.lit(""))), r"[\-.*_ \t]", "")
-    core = F.length(F.regexp_replace(letters, "[^ACGTUN]", ""))
-    iupac = F.length(F.regexp_replace(letters, "[^ACGTUNRYSWKMBDHV]", ""))
-    n = F.length(letters)
-    return F.when(n == 0, "ambiguous").when((iupac == n) & (core >= 0.65 * n), "nucleotide").otherwise("amino_acid")
+    known = F.regexp_replace(F.upper(sample), r"[-.*_ \t]", "")
+    letters = F.coalesce(F.sum(F.length(known)), F.lit(0))
+    odd = F.coalesce(F.sum(F.length(F.regexp_replace(known, "[ACGTUNRYSWKMBDHV]", ""))), F.lit(0))
+    plain = F.coalesce(F.sum(F.length(F.regexp_replace(known, "[^ACGTUN]", ""))), F.lit(0))
+    return F.when(letters == 0, "ambiguous").when((odd == 0) & (plain >= 0.65 * letters), "nucleotide").otherwise("amino_acid")

@@ -39,21 +39,6 @@ def lz76(s: Column) -> Column:
     return F.when(s.isNotNull(), done)
 
 
-def ends(tokens: Column) -> Column:
-    """ARRAY<INT>: where each token ends, counted from 1."""
-    return F.aggregate(
-        tokens, F.array().cast("array<int>"), lambda acc, t: F.array_append(acc, (F.when(F.size(acc) > 0, F.element_at(acc, -1)).otherwise(F.lit(0)) + F.length(t)).cast("int"))
-    )
-
-
-def lz_labels(tokens: Column, variant: str = "aap", frames: bool = False) -> Column:
-    """Node labels of a wrapped parse. aap and ndp: token_end; naive: token. frames adds the reading frame of ndp for display."""
-    if variant == "naive":
-        return tokens
-    label = lambda t, e: F.concat(t, F.lit("_"), F.when(F.lit(frames and variant == "ndp"), F.concat(((e - F.length(t)) % 3).cast("string"), F.lit("_"))).otherwise(F.lit("")), e.cast("string"))
-    return F.zip_with(tokens, ends(tokens), label)
-
-
 def peel(s: Column, wrap: bool = True) -> Column:
     """ARRAY<STRUCT<front, back, ord, last, dst_a, dst_z>>: at each level the leading run of the first and the trailing run of the last character.
 
@@ -148,6 +133,23 @@ def parse_peel(s: str) -> list[tuple[str, str, bool]]:
     return out
 
 
+def peel_labels(s: str) -> list[str]:
+    """Run-peeling nodes of a string, as flashback."""
+    return [f"{f}{b}_{0 if last else len(f)}{{{i}}}" for i, (f, b, last) in enumerate(parse_peel(f"{START}{s}{END}"))]
+
+
+def lz_nodes(s: str, with_place: bool = True) -> tuple[list[str], list[str]]:
+    """(tokens, nodes) of a wrapped parse; nodes are token_end, or the tokens themselves without places."""
+    toks = parse_lz(f"{START}{s}{END}")
+    if not with_place:
+        return toks, toks
+    at, labels = 0, []
+    for t in toks:
+        at += len(t)
+        labels.append(f"{t}_{at}")
+    return toks, labels
+
+
 def labels_arrow(variant: str) -> Callable[[Column], Column]:
     """STRUCT<toks, labels> of a string by an Arrow function; the variant is flashback, aap, ndp or naive."""
 
@@ -155,16 +157,9 @@ def labels_arrow(variant: str) -> Callable[[Column], Column]:
         if s is None:
             return None, None
         if variant == "flashback":
-            labels = [f"{f}{b}_{0 if last else len(f)}{{{i}}}" for i, (f, b, last) in enumerate(parse_peel(f"{START}{s}{END}"))]
+            labels = peel_labels(s)
             return labels, labels
-        toks = parse_lz(f"{START}{s}{END}")
-        if variant == "naive":
-            return toks, toks
-        at, labels = 0, []
-        for t in toks:
-            at += len(t)
-            labels.append(f"{t}_{at}")
-        return toks, labels
+        return lz_nodes(s, variant != "naive")
 
     @F.pandas_udf("toks array<string>, labels array<string>")
     def run(seqs: pd.Series) -> pd.DataFrame:

@@ -7,7 +7,9 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from reploom.operators import analytics
 from reploom.operators.structure import degrees
+from reploom.plans.dp import LocalGraph
 from reploom.plans.model import Model, ModelError, count_edges, labelled, transitions
 
 _KEY = ["src", "dst", "tok"]
@@ -114,3 +116,25 @@ def degree_features(model: Model) -> DataFrame:
     return degrees(model).agg(F.count(F.lit(1)).alias("n_nodes"), F.sum("out_degree").alias("n_edges"), F.max("out_degree").alias("max_out_degree")).select(
         "n_nodes", "n_edges", sinks.alias("n_sinks"), F.try_divide(sinks, F.col("n_nodes")).alias("sink_share"), "max_out_degree"
     )
+
+
+#: The numbers of feature_stats in order, and the orders of its Hill numbers.
+STATS = ("n_nodes", "n_edges", "n_roots", "n_sinks", "d0", "d0_5", "d1", "d2", "d5", "entropy_nats", "dynamic_range_orders", "n_sinks_again", "sink_share", "max_out_degree", "uniformity")
+STAT_ORDERS = (0.0, 0.5, 1.0, 2.0, 5.0)
+
+
+def feature_stats(model: Model, sims: DataFrame | None = None) -> DataFrame:
+    """One row of the fifteen STATS. Hill numbers, entropy, range and uniformity are exact for a run-peeling model and estimated from sims for an LZ model."""
+    size = degree_features(model).first()
+    if sims is None:
+        g = LocalGraph.within(model)
+        hill = [r["hill"] for r in analytics.hill_curve(model, STAT_ORDERS, g).orderBy("alpha").collect()]
+        p, orders = analytics.entropy(model, g).first(), analytics.dynamic_range(model, g).first()["dynamic_range_orders"]
+        h, uniformity = p["entropy_nats"], p["effective_diversity"] / hill[0] if hill[0] else 0.0
+    else:
+        hill = [r["hill"] for r in analytics.monte_carlo(sims, STAT_ORDERS).orderBy("alpha").collect()]
+        p = analytics.sampled_profile(sims).first()
+        h, orders, uniformity = p["entropy_nats"], p["dynamic_range_orders"], p["uniformity"]
+    n, e, k = (float(size[c] or 0) for c in ("n_nodes", "n_edges", "n_sinks"))
+    row = (n, e, 1.0, k, *map(float, hill), float(h), float(orders), k, k / n if n else 0.0, float(size["max_out_degree"] or 0), float(uniformity))
+    return model.spark.createDataFrame([row], ", ".join(f"{c} double" for c in STATS))

@@ -52,7 +52,7 @@ def fit(rep: DataFrame, abundance_mode: str = "linear", smoothing: float = 0.0,
     if abundance_mode not in ("none", "linear", "log") or smoothing < 0:
         raise ModelError("unknown abundance mode or negative smoothing")
     counts = steps(rep.withColumn("wt", _weight(abundance_mode)), "wt").groupBy(*NT, *RULE).agg(F.sum("wt").alias("cnt"))
-    return Grammar(_weighted(counts, smoothing), count_lengths(rep), smoothing, backoff)
+    return Grammar(cut(_weighted(counts, smoothing)), count_lengths(rep), smoothing, backoff)
 
 
 def nonterminals(g: Grammar) -> DataFrame:
@@ -93,6 +93,11 @@ def rules_at(g: Grammar, a: str, z: str, is_start: bool = False) -> DataFrame:
     return g.rules.filter((F.col("a") == a) & (F.col("z") == z) & (F.col("is_start") == is_start))
 
 
+def sentinel_rule_weights(g: Grammar) -> DataFrame:
+    """(first, last, w): distribution of the outer characters of a string, the rules at the start."""
+    return g.rules.filter("is_start and kind = 'internal'").select(F.col("dst_a").alias("first"), F.col("dst_z").alias("last"), "w")
+
+
 def counts(g: Grammar) -> DataFrame:
     """One row: n_nonterminals, n_rules, n_internal, n_leaf."""
     return g.rules.agg(F.count_distinct(*NT).alias("n_nonterminals"), F.count(F.lit(1)).alias("n_rules"), F.count_if(F.col("kind") == "internal").alias("n_internal"), F.count_if(F.col("kind") != "internal").alias("n_leaf"))
@@ -175,6 +180,21 @@ class Solver:
             z[length, self.start] = (weight[s] * z[length, self.dst[s]]).sum()
         return z[:, self.start]
 
+    def extremes(self, longest: int = 30) -> tuple[float, float]:
+        """(least, greatest) log probability of a string of at most longest characters; nan without any."""
+        lo, hi = np.full((longest + 1, self.n), np.inf), np.full((longest + 1, self.n), -np.inf)
+        lw, others, found = np.log(self.w), np.flatnonzero(self.nt != self.start), []
+        for length in range(longest + 1):
+            leaf = others[(self.dst[others] == -2) & (self.eats[others] == length)]
+            go = others[self.inner[others] & (self.eats[others] <= length)]
+            for t, at in ((lo, np.minimum), (hi, np.maximum)):
+                at.at(t[length], self.nt[leaf], lw[leaf])
+                at.at(t[length], self.nt[go], lw[go] + t[length - self.eats[go], self.dst[go]])
+            s = np.flatnonzero((self.nt == self.start) & self.inner)
+            found.append(((lw[s] + lo[length, self.dst[s]]).min(initial=np.inf), (lw[s] + hi[length, self.dst[s]]).max(initial=-np.inf)))
+        low, high = min(f[0] for f in found), max(f[1] for f in found)
+        return (float(low), float(high)) if np.isfinite(low) else (math.nan, math.nan)
+
     def best(self, k: int, most: bool = True, longest: int = 30) -> list[tuple[str, float]]:
         """The k most or least probable strings of at most longest characters, ties by string."""
         key = (lambda x: (-x[0], x[1])) if most else (lambda x: (x[0], x[1]))
@@ -201,6 +221,12 @@ class Solver:
         return [(s, lp) for lp, s in sorted(done, key=key)[:k]]
 
 
+def dynamic_range(g: Grammar, longest: int = 30) -> DataFrame:
+    """One row: least and greatest log pgen among strings of at most longest characters, and their distance."""
+    low, high = Solver(g).extremes(longest)
+    return g.rules.sparkSession.createDataFrame([(low, high, high - low)], "min_log_pgen double, max_log_pgen double, dynamic_range double")
+
+
 def length_table(g: Grammar, longest: int) -> DataFrame:
     """(length, prob, n_derivations) for output lengths 0..longest."""
     s = Solver(g)

@@ -93,6 +93,7 @@ class Scaffold:
         na, nb = self.near.get(a), self.near.get(b)
         none = (frozenset(), frozenset(), 0, 0)
         x, y = na or none, nb or none
+        # fixed values: weights of shape, neighbours before and after, and degrees, and their sum
         graph = float(self.shape(a) == self.shape(b)) + 1.5 * self._jaccard(x[0], y[0]) + 1.5 * self._jaccard(x[1], y[1])
         if na and nb:
             graph += 0.25 * (abs(x[2] - y[2]) <= 2) + 0.25 * (abs(x[3] - y[3]) <= 2)
@@ -154,10 +155,3 @@ def occupancy(model: Model, seqs: DataFrame) -> DataFrame:
     used = residues(q).groupBy("ord", "lane", "offset").agg(F.count(F.lit(1)).alias("n_seqs"))
     known = slots(model).select("ord", "lane", "offset", F.lit(True).alias("in_scaffold"))
     return known.join(used, ["ord", "lane", "offset"], "full_outer").select("ord", "lane", "offset", F.coalesce("n_seqs", F.lit(0)).cast("bigint").alias("n_seqs"), F.coalesce(F.try_divide(F.coalesce("n_seqs", F.lit(0)), n), F.lit(0.0)).alias("occupancy"), F.coalesce("in_scaffold", F.lit(False)).alias("in_scaffold"))
-
-
-def blend(exact: float, smooth: float, support: float, kappa: float) -> float:
-    """Exact value weighed by its support against a smoothed one: support / (support + kappa)."""
-    support, kappa = max(support, 0.0), max(kappa, 0.0)
-    a = support / (support + kappa) if support + kappa > 0 else 1.0
-    return a * exact + (1 - a) * smooth

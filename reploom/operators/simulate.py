@@ -16,11 +16,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reploom.plans.dp import MAX_STEPS, LocalGraph
-from reploom.plans.model import LOG_EPS, Model, ModelError
+from reploom.plans.model import LOG_EPS, ConvergenceError, Model, ModelError
 
-CHUNK = 2048
+CHUNK = 512
+#: Walks that may leak one after another before drawing again is given up.
+MAX_REDRAWS = 10_000
+#: Edges that a worker holds as an adjacency list.
+MAX_WALKER = 2_000_000
 SCHEMA = "i bigint, seq string, log_prob double, n_tokens int"
 ABSORPTION_WALKS = 4096
+SCALE_DRAWS = 200_000  # fixed value: draws of a calibration
+MAX_BLOCKED = 64  # fixed value: edges that one walk may block while stepping back
 
 
 class Walker:
@@ -42,6 +48,31 @@ class Walker:
                 keep.append((d, w))
         return keep
 
+    def walk_within(self, rng, allowed: set[tuple[int, int]]) -> tuple[list[int], float] | None:
+        """A walk over allowed edges that steps back from dead ends and blocks the edge into them; None where that fails.
+
+        The probability is that of the kept edges among the allowed valid ones.
+        """
+        path, steps, blocked = [self.root], [], set()
+        emitted = [self.toks[self.root]]
+        while len(path) <= MAX_STEPS:
+            node = path[-1]
+            if self.sink[node]:
+                return path, sum(steps)
+            open_ = [(d, w) for d, w in (self.out[node] if self.variant == "flashback" else self.valid(node, set(emitted))) if (node, d) in allowed]
+            free = [(d, w) for d, w in open_ if (node, d) not in blocked]
+            if free:
+                d, w = free[min(bisect_right(cum := np.cumsum([w for _, w in free]).tolist(), rng.random() * cum[-1]), len(free) - 1)]
+                steps.append(math.log(w / sum(x for _, x in open_)))
+                path.append(d)
+                emitted.append(self.toks[d])
+            elif len(path) == 1 or len(blocked) >= MAX_BLOCKED:
+                return None
+            else:
+                blocked.add((path[-2], node))
+                path.pop(), steps.pop(), emitted.pop()
+        return None
+
     def walk(self, rng, allowed=None) -> tuple[list[int], float] | None:
         """(nodes, log probability) or None for a walk that leaks: no way on, or too long."""
         node, path, lp = self.root, [self.root], 0.0
@@ -105,30 +136,46 @@ class Walker:
 
 def _chunks(model: Model, n: int) -> DataFrame:
     k = -(-n // CHUNK)
-    return model.spark.range(0, k, 1, max(1, min(k, 512)))
+    return model.spark.range(0, k, 1, max(1, min(k, 100_000)))
 
 
-def absorption(model: Model, how: str = "mc", seed: int = 11) -> float:
-    """Probability that a raw walk ends in a sink: mc from ABSORPTION_WALKS walks, exact by enumeration, none is 1. Markov models give 1."""
+def absorption(model: Model, how: str = "mc", seed: int = 11, graph: LocalGraph | None = None) -> float:
+    """Probability that a raw walk ends in a sink: mc from ABSORPTION_WALKS walks, dealt in chunks, exact by enumeration, none is 1. Markov models give 1."""
     if how == "none" or model.variant == "flashback":
         return 1.0
-    walker = Walker(LocalGraph.of(model), model.variant)
-    if how == "exact":
-        return walker.exact_absorption()
-    rng = np.random.default_rng(seed)
-    return sum(walker.walk(rng) is not None for _ in range(ABSORPTION_WALKS)) / ABSORPTION_WALKS
+    walker = Walker(graph or LocalGraph.of(model, MAX_WALKER), model.variant)
+    return walker.exact_absorption() if how == "exact" else _absorbed(model, model.spark.sparkContext.broadcast(walker), seed)
+
+
+def _absorbed(model: Model, shared, seed: int) -> float:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            n = 0
+            for c in pdf["id"]:
+                rng = np.random.default_rng([seed, int(c)])
+                n += sum(shared.value.walk(rng) is not None for _ in range(min(CHUNK, ABSORPTION_WALKS - int(c) * CHUNK)))
+            yield pd.DataFrame({"n": [n]})
+
+    return (_chunks(model, ABSORPTION_WALKS).mapInPandas(run, "n bigint").agg(F.sum("n")).first()[0] or 0) / ABSORPTION_WALKS
 
 
 def simulate(model: Model, n: int, seed: int = 42, normalise: str = "mc", graph: LocalGraph | None = None) -> DataFrame:
-    """(i, seq, log_prob, n_tokens) for i in 0..n-1. LZ walks that leak are drawn again and log_prob is divided by the absorption."""
+    """(i, seq, log_prob, n_tokens) for i in 0..n-1. LZ walks that leak are drawn again and log_prob is divided by the absorption.
+
+    A model whose walks leak MAX_REDRAWS times in a row, or of which none is absorbed, is an error.
+    """
     if model.variant == "naive":
         raise ModelError("the naive variant may be cyclic and is not sampled")
-    g = graph or LocalGraph.of(model)
+    g = graph or LocalGraph.of(model, MAX_WALKER)
     if g.root < 0:
         raise ModelError("the model is empty")
-    walker = Walker(g, model.variant)
-    log_a = math.log(absorption(model, normalise)) if model.variant != "flashback" else 0.0
-    shared = model.spark.sparkContext.broadcast(walker)
+    shared = model.spark.sparkContext.broadcast(Walker(g, model.variant))
+    log_a = 0.0
+    if model.variant != "flashback" and normalise != "none":
+        share = _absorbed(model, shared, 11) if normalise == "mc" else shared.value.exact_absorption()
+        if share <= 0:
+            raise ConvergenceError("no walk reaches an end")
+        log_a = math.log(share)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         w = shared.value
@@ -136,8 +183,10 @@ def simulate(model: Model, n: int, seed: int = 42, normalise: str = "mc", graph:
             for c in pdf["id"]:
                 rng, rows = np.random.default_rng([seed, int(c)]), []
                 for i in range(int(c) * CHUNK, min(n, (int(c) + 1) * CHUNK)):
-                    got = None
+                    got, tries = w.walk(rng), 0
                     while got is None:
+                        if (tries := tries + 1) > MAX_REDRAWS:
+                            raise ConvergenceError(f"{MAX_REDRAWS} walks in a row reached no end")
                         got = w.walk(rng)
                     rows.append((i, w.text(got[0]), got[1] - log_a, len(got[0])))
                 yield pd.DataFrame(rows, columns=["i", "seq", "log_prob", "n_tokens"])
@@ -148,7 +197,8 @@ def simulate(model: Model, n: int, seed: int = 42, normalise: str = "mc", graph:
 def simulate_genes(model: Model, n: int, seed: int = 42, v_gene: str | None = None, j_gene: str | None = None, attempts: int = 10) -> DataFrame:
     """(i, seq, log_prob, n_tokens, v_gene, j_gene): walks over edges that carry both genes, the pair drawn from the joint unless given.
 
-    log_prob is conditional on the genes. A draw without success in that many attempts gives the empty string and the floor.
+    log_prob is conditional on the genes. A walk without a way on steps back and does not take that edge again, up to MAX_BLOCKED edges. A draw without
+    success in that many attempts gives the empty string and the floor.
     """
     from reploom.operators.genes import joint
 
@@ -159,7 +209,7 @@ def simulate_genes(model: Model, n: int, seed: int = 42, v_gene: str | None = No
     table = pairs.orderBy("v_gene", "j_gene").toArrow().to_pandas()  # as many rows as known gene pairs
     if not len(table):
         raise ModelError("no such genes")
-    g = LocalGraph.of(model)
+    g = LocalGraph.of(model, MAX_WALKER)
     at = {x: i for i, x in enumerate(g.labels)}
     sets: dict[tuple[str, str], set[tuple[int, int]]] = {}
     rows = model.edge_genes.select("src", "dst", "kind", "gene").limit(8_000_001).toArrow().to_pandas()
@@ -180,7 +230,7 @@ def simulate_genes(model: Model, n: int, seed: int = 42, v_gene: str | None = No
                     got = None
                     for _ in range(attempts):
                         v, j = names[int(rng.choice(len(names), p=prob))]
-                        got = w.walk(rng, sets.get(("v", v), set()) & sets.get(("j", j), set()))
+                        got = w.walk_within(rng, sets.get(("v", v), set()) & sets.get(("j", j), set()))
                         if got:
                             break
                     out.append((i, w.text(got[0]), got[1], len(got[0]), v, j) if got else (i, "", LOG_EPS, 0, v, j))
@@ -220,7 +270,7 @@ def simulate_grammar(g, n: int, seed: int = 42) -> DataFrame:
                 yield pd.DataFrame(out, columns=["i", "seq", "log_prob", "n_tokens"])
 
     k = -(-n // CHUNK)
-    return spark.range(0, k, 1, max(1, min(k, 512))).mapInPandas(run, SCHEMA)
+    return spark.range(0, k, 1, max(1, min(k, 100_000))).mapInPandas(run, SCHEMA)
 
 
 def mass_profile(sims: DataFrame, longest: int = 30, squared: bool = True) -> DataFrame:
@@ -230,14 +280,26 @@ def mass_profile(sims: DataFrame, longest: int = 30, squared: bool = True) -> Da
     return by.select("length", (F.col("m") / by.agg(F.sum("m").alias("m")).scalar()).alias("mass"))
 
 
-def calibrate_scale(sims: DataFrame, min_count: int = 50) -> DataFrame:
-    """(length, n, median, iqr) of -log p by length of simulated sequences, plus length null for all; lengths below min_count are left to that."""
-    q = F.percentile(-F.col("log_prob"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")
+def calibrate_scale(sims: DataFrame, min_count: int = 50, accuracy: int = 100_000) -> DataFrame:
+    """(length, n, median, iqr) of -log p by length of simulated sequences, plus length null for all; lengths below min_count are left to that.
+
+    Quartiles come from mergeable summaries: off by at most 1 / accuracy of the ranks, exact up to about that many draws.
+    """
+    q = F.percentile_approx(-F.col("log_prob"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), accuracy).alias("q")
     by = sims.groupBy(F.length("seq").alias("length")).agg(F.count(F.lit(1)).alias("n"), q).filter(F.col("n") >= min_count)
     every = sims.agg(F.count(F.lit(1)).alias("n"), q).select(F.lit(None).cast("int").alias("length"), "n", "q")
     return by.unionByName(every).select("length", "n", F.col("q")[1].alias("median"), (F.col("q")[2] - F.col("q")[0]).alias("iqr"))
 
 
+def save_calibration(calibration: DataFrame, path: str) -> None:
+    """One JSON line a length; the line without a length is that of all."""
+    calibration.coalesce(1).write.mode("overwrite").json(path)  # as many rows as lengths
+
+
+def load_calibration(spark, path: str) -> DataFrame:
+    return spark.read.schema("length int, n bigint, median double, iqr double").json(path)
+
+
 def scale_scores(scores: DataFrame, calibration: DataFrame) -> DataFrame:
     """(seq, log_pgen, scale): (-log p - median) / iqr of the sequence's length, of all where the length or its spread is missing."""
     total = calibration.filter("length is null")

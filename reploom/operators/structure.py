@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reploom.plans.model import Model, is_public
+from reploom.plans.model import ConvergenceError, Model, UnknownNodeError, is_public
+from reploom.session import cut, running_total
 
 
 def public_edges(model: Model) -> DataFrame:
@@ -31,13 +32,32 @@ def hubs(model: Model, k: int = 20) -> DataFrame:
     return degrees(model).select("node", (F.col("out_degree") + F.col("in_degree")).alias("degree")).orderBy(F.desc("degree"), "node").limit(k)
 
 
-def successors(model: Model, label: str) -> DataFrame:
-    """(node, cnt, w) that follow a node; empty if the node is unknown."""
-    return model.edges.filter(F.col("src") == label).select(F.col("dst").alias("node"), "cnt", "w")
+def successors(model: Model, label: str, strict: bool = False) -> DataFrame:
+    """(node, cnt, w) that follow a node; for an unknown node empty, or an error if strict."""
+    return _neighbours(model, label, "src", "dst", strict)
 
 
-def predecessors(model: Model, label: str) -> DataFrame:
-    return model.edges.filter(F.col("dst") == label).select(F.col("src").alias("node"), "cnt", "w")
+def predecessors(model: Model, label: str, strict: bool = False) -> DataFrame:
+    """(node, cnt, w) that a node follows; as successors."""
+    return _neighbours(model, label, "dst", "src", strict)
+
+
+def _neighbours(model: Model, label: str, near: str, far: str, strict: bool) -> DataFrame:
+    if strict and model.edges.filter((F.col("src") == label) | (F.col("dst") == label)).isEmpty():
+        raise UnknownNodeError(f"the model has no node {label}")
+    return model.edges.filter(F.col(near) == label).select(F.col(far).alias("node"), "cnt", "w")
+
+
+def adjacency(model: Model) -> DataFrame:
+    """(node, first, targets, weights): out-edges of each node in order of the target, first counting the edges of the nodes before it in label order.
+
+    An array is as long as a node's out-degree.
+    """
+    out = model.edges.groupBy(F.col("src").alias("node")).agg(F.sort_array(F.collect_list(F.struct("dst", "w"))).alias("e"))
+    rows = model.nodes().join(out, "node", "left").withColumn("n", F.coalesce(F.size("e"), F.lit(0)))
+    both = running_total(rows, "node", "n", "upto")
+    none = lambda t: F.array().cast(f"array<{t}>")
+    return both.select("node", (F.col("upto") - F.col("n")).alias("first"), F.coalesce(F.col("e.dst"), none("string")).alias("targets"), F.coalesce(F.col("e.w"), none("double")).alias("weights"))
 
 
 def initial_nodes(model: Model) -> DataFrame:
@@ -68,8 +88,27 @@ def summary(model: Model) -> DataFrame:
     return d.select("n_nodes", "n_edges", F.lit(1).cast("bigint").alias("n_initial"), sinks.scalar().alias("n_terminal"), n.scalar().alias("n_sequences"), "max_out_degree", "max_in_degree", F.round(density, 12).alias("density"), isolated.scalar().alias("n_isolated"))
 
 
-def is_dag(model: Model, max_steps: int = 4096) -> bool:
-    """Whether the transitions have no cycle: nodes without predecessors are peeled off until none are left."""
+def has_gene_data(model: Model) -> bool:
+    """Whether gene operators may be used on the model."""
+    return model.edge_genes is not None and model.pairs is not None
+
+
+def is_dag(model: Model, max_rounds: int = 4096) -> bool:
+    """Whether the transitions have no cycle: nodes without predecessors are peeled off until none are left.
+
+    As arrays up to the local bound of edges, by anti joins beyond it, a round a level of the graph; more rounds than max_rounds are an error.
+    """
     from reploom.plans.dp import LocalGraph
 
-    return LocalGraph.of(model).acyclic()
+    g = LocalGraph.within(model)
+    if g is not None:
+        return g.acyclic()
+    left = cut(model.edges.select("src", "dst"))
+    for _ in range(max_rounds):
+        nxt = cut(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst"))
+        if nxt.isEmpty():
+            return True
+        if nxt.count() == left.count():
+            return False
+        left = nxt
+    raise ConvergenceError("the levels did not end")

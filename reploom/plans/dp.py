@@ -7,10 +7,13 @@ that is joined with the edges step by step. Walks of different length that meet
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from math import comb
 
 import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reploom.plans.model import Model, ModelError
@@ -19,11 +22,16 @@ from reploom.session import cut
 MAX_LOCAL = 4_000_000
 MAX_STEPS = 128  # fixed value: longest walk
 Spec = tuple[float, int]
+_CYCLIC = "a walk is longer than the limit: the model is cyclic"
+
+
+class TooLargeError(ModelError):
+    """A model above the bound of a local sweep."""
 
 
 @dataclass
 class LocalGraph:
-    """A model's edges as arrays, nodes numbered in label order."""
+    """A model's edges as arrays, nodes numbered in label order, edges in order of (src, dst)."""
 
     labels: list[str]
     toks: list[str]
@@ -39,13 +47,13 @@ class LocalGraph:
         """Collect a model; an error beyond limit edges."""
         pdf = model.edges.select("src", "dst", "tok", "cnt", "w").limit(limit + 1).toArrow().to_pandas()
         if len(pdf) > limit:
-            raise ModelError(f"more than {limit} edges do not fit a local sweep")
+            raise TooLargeError(f"more than {limit} edges do not fit a local sweep")
         pdf = pdf.sort_values(["src", "dst"], ignore_index=True)
         labels = sorted({*pdf["src"], *pdf["dst"]})
         at = {x: i for i, x in enumerate(labels)}
         src, dst = pdf["src"].map(at).to_numpy(dtype=np.int64), pdf["dst"].map(at).to_numpy(dtype=np.int64)
         toks = [""] * len(labels)
-        for i, t in zip(dst, pdf["tok"]):
+        for i, t in zip(dst.tolist(), pdf["tok"]):
             toks[i] = t
         if model.variant == "flashback":
             sink = np.ones(len(labels), dtype=bool)
@@ -57,29 +65,64 @@ class LocalGraph:
             toks[root] = "@" if model.variant != "flashback" else model.root
         return cls(labels, toks, src, dst, pdf["cnt"].to_numpy(), pdf["w"].to_numpy(dtype=float), sink, root)
 
+    @classmethod
+    def within(cls, model: Model, graph: LocalGraph | None = None, limit: int = MAX_LOCAL) -> LocalGraph | None:
+        """The graph given or collected; None for a model above the limit, which goes the distributed way."""
+        try:
+            return graph or cls.of(model, limit)
+        except TooLargeError:
+            return None
+
     def acyclic(self) -> bool:
+        """Whether nodes without predecessors can be peeled off until none are left."""
         left, indeg = len(self.labels), np.bincount(self.dst, minlength=len(self.labels))
         ready = np.flatnonzero(indeg == 0)
-        order = np.argsort(self.src, kind="stable")
-        starts = np.searchsorted(self.src[order], np.arange(len(self.labels) + 1))
+        starts = self.starts()
         while len(ready):
             left -= len(ready)
-            out = np.concatenate([self.dst[order[starts[n] : starts[n + 1]]] for n in ready]) if len(ready) else ready
+            out = self.dst[_ranges(starts, ready)]
             np.subtract.at(indeg, out, 1)
-            ready = np.unique(out[indeg[out] == 0]) if len(out) else out
+            ready = np.unique(out[indeg[out] == 0])
         return left == 0
 
+    def starts(self) -> np.ndarray:
+        """Where the edges of each node begin."""
+        return np.searchsorted(self.src, np.arange(len(self.labels) + 1))
+
+    def steps(self) -> Iterator[np.ndarray]:
+        """The edges that walks of one length more can take, step by step until every walk has ended."""
+        if self.root < 0:
+            return
+        starts, nodes = self.starts(), np.array([self.root])
+        for _ in range(MAX_STEPS):
+            nodes = nodes[~self.sink[nodes]]
+            e = _ranges(starts, nodes)
+            if not len(e):
+                return
+            yield e
+            nodes = np.unique(self.dst[e])
+        if (~self.sink[nodes]).any():
+            raise ModelError(_CYCLIC)
+
+
+def _ranges(starts: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    """The concatenated edge numbers of some nodes."""
+    first, n = starts[nodes], starts[nodes + 1] - starts[nodes]
+    if not n.sum():
+        return np.zeros(0, dtype=np.int64)
+    return np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
 
-def _mix(q: float, order: int) -> list[tuple[int, int, int]]:
+
+def _mix(order: int) -> list[tuple[int, int, int]]:
     """(to, from, binomial) terms of a jet's transport."""
     return [(j, i, comb(j, i)) for j in range(order + 1) for i in range(j + 1)]
 
 
 def jets(model: Model, specs: list[Spec], graph: LocalGraph | None = None, limit: int = MAX_LOCAL) -> dict[Spec, list[float]]:
     """For each (q, order): sums over all complete paths of p^q (ln p)^j for j = 0..order. No path gives zeros."""
-    if graph is None and model.edges.limit(limit + 1).count() > limit:
+    g, specs = LocalGraph.within(model, graph, limit), list(dict.fromkeys(specs))
+    if g is None:
         return _frontier(model, specs)
-    g = graph or LocalGraph.of(model, limit)
     n, lw = len(g.labels), np.log(g.w)
     out = {s: [0.0] * (s[1] + 1) for s in specs}
     if g.root < 0:
@@ -87,27 +130,15 @@ def jets(model: Model, specs: list[Spec], graph: LocalGraph | None = None, limit
     value = {s: np.zeros((s[1] + 1, n)) for s in specs}
     for s in specs:
         value[s][0, g.root] = 1.0
-    active = np.zeros(n, dtype=bool)
-    active[g.root] = True
-    by_src = np.argsort(g.src, kind="stable")
-    starts = np.searchsorted(g.src[by_src], np.arange(n + 1))
-    for step in range(MAX_STEPS + 1):
-        nodes = np.flatnonzero(active & ~g.sink)
-        if not len(nodes):
-            return out
-        if step == MAX_STEPS:
-            raise ModelError("a walk is longer than the limit: the model is cyclic")
-        e = np.concatenate([by_src[starts[x] : starts[x + 1]] for x in nodes]) if len(nodes) < n // 4 else by_src[np.isin(g.src[by_src], nodes)]
-        s_, d_ = g.src[e], g.dst[e]
-        active = np.zeros(n, dtype=bool)
-        active[d_] = True
+    for e in g.steps():
+        s_, d_, l_ = g.src[e], g.dst[e], lw[e]
         for spec in specs:
             q, order = spec
             v, f = value[spec], g.w[e] ** q
             nxt = np.zeros_like(v)
             with np.errstate(over="ignore", invalid="ignore"):
-                for j, i, c in _mix(q, order):
-                    nxt[j] += np.bincount(d_, c * f * lw[e] ** (j - i) * v[i, s_], minlength=n)
+                for j, i, c in _mix(order):
+                    nxt[j] += np.bincount(d_, c * f * l_ ** (j - i) * v[i, s_], minlength=n)
                 for j in range(order + 1):
                     out[spec][j] += float(nxt[j, g.sink].sum())
             nxt[:, g.sink] = 0.0
@@ -115,39 +146,48 @@ def jets(model: Model, specs: list[Spec], graph: LocalGraph | None = None, limit
     return out
 
 
-def _frontier(model: Model, specs: list[Spec]) -> dict[Spec, list[float]]:
-    """The same by joins: one column a transported value, one small row of absorbed sums a step."""
-    names = {(k, j): f"v{k}_{j}" for k, s in enumerate(specs) for j in range(s[1] + 1)}
+def walk(model: Model, start: dict[str, object], moved: dict[str, Column], combine: Callable[[DataFrame], DataFrame], schema: str) -> Iterator[DataFrame]:
+    """The distributed pass: states (node, schema) joined with the edges (w, lw) step by step; yields the states that reached a sink.
+
+    moved gives the state's columns after an edge, combine brings states that meet in a node together.
+    """
     edges = cut(model.edges.select("src", "dst", "w", F.log("w").alias("lw")))
     sinks = cut(model.sinks().withColumnRenamed("node", "end"))
-    state = model.spark.createDataFrame([(model.root, *[float(j == 0) for _, j in names])], ["node", *names.values()])
-    out = {s: [0.0] * (s[1] + 1) for s in specs}
+    state = model.spark.createDataFrame([(model.root, *start.values())], f"node string, {schema}")
     for _ in range(MAX_STEPS):
-        moved = []
-        for k, (q, order) in enumerate(specs):
-            for j in range(order + 1):
-                terms = sum((F.lit(float(comb(j, i))) * F.pow("lw", F.lit(j - i)) * F.col(names[k, i]) for i in range(j + 1)), F.lit(0.0))
-                moved.append(F.sum(F.pow("w", F.lit(q)) * terms).alias(names[k, j]))
-        state = cut(state.join(edges, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(*moved))
-        done = state.join(sinks, F.col("node") == F.col("end"), "left_semi").agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in names.values()]).first()
-        for (k, j), c in names.items():
-            out[specs[k]][j] += done[c]
+        j = state.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), *[c.alias(k) for k, c in moved.items()])
+        state = cut(combine(j))
+        yield state.join(sinks, F.col("node") == F.col("end"), "left_semi")
         state = state.join(sinks, F.col("node") == F.col("end"), "left_anti")
         if state.isEmpty():
-            return out
-    raise ModelError("a walk is longer than the limit: the model is cyclic")
+            return
+    raise ModelError(_CYCLIC)
+
+
+def _frontier(model: Model, specs: list[Spec]) -> dict[Spec, list[float]]:
+    """jets by joins: one column a transported value, one small row of absorbed sums a step."""
+    names = {(k, j): f"v{k}_{j}" for k, s in enumerate(specs) for j in range(s[1] + 1)}
+    moved = {
+        names[k, j]: F.pow("w", F.lit(q)) * sum((F.lit(float(comb(j, i))) * F.pow("lw", F.lit(j - i)) * F.col(names[k, i]) for i in range(j + 1)), F.lit(0.0))
+        for k, (q, order) in enumerate(specs) for j in range(order + 1)
+    }
+    out = {s: [0.0] * (s[1] + 1) for s in specs}
+    summed = lambda df: df.groupBy("node").agg(*[F.sum(c).alias(c) for c in names.values()])
+    for done in walk(model, {c: float(j == 0) for (_, j), c in names.items()}, moved, summed, ", ".join(f"{c} double" for c in names.values())):
+        row = done.agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in names.values()]).first()
+        for (k, j), c in names.items():
+            out[specs[k]][j] += row[c]
+    return out
 
 
 def sweep(g: LocalGraph, start, edge, absorb, empty):
-    """Generic forward pass for what is no jet: state objects per node, combined by `empty`'s class; used for extremes, counts and k-best."""
+    """Generic forward pass for what is no array: state objects per node, combined by `empty`; used for k-best and histograms."""
     frontier = {g.root: start} if g.root >= 0 else {}
-    by_src: dict[int, list[int]] = {}
-    for i, s in enumerate(g.src):
-        by_src.setdefault(int(s), []).append(i)
+    starts = g.starts().tolist()
     for _ in range(MAX_STEPS):
         nxt: dict[int, object] = {}
         for node, value in frontier.items():
-            for i in by_src.get(node, ()):
+            for i in range(starts[node], starts[node + 1]):
                 d = int(g.dst[i])
                 moved = edge(value, i)
                 if g.sink[d]:
@@ -157,37 +197,129 @@ def sweep(g: LocalGraph, start, edge, absorb, empty):
         if not nxt:
             return
         frontier = nxt
-    raise ModelError("a walk is longer than the limit: the model is cyclic")
+    raise ModelError(_CYCLIC)
 
 
-def path_count(g: LocalGraph) -> int:
-    """Exact number of complete paths."""
-    total = [0]
+def path_count(model: Model, graph: LocalGraph | None = None) -> int:
+    """Number of complete paths: exact up to MAX_LOCAL edges, to double precision beyond."""
+    g = LocalGraph.within(model, graph)
+    if g is None:
+        return int(_frontier(model, [(0.0, 0)])[0.0, 0][0])
+    total, v = 0, np.zeros(len(g.labels), dtype=object)
+    if len(v):
+        v[g.root] = 1
+    for e in g.steps():
+        nxt = np.zeros(len(g.labels), dtype=object)
+        np.add.at(nxt, g.dst[e], v[g.src[e]])
+        total += sum(nxt[g.sink].tolist())
+        nxt[g.sink] = 0
+        v = nxt
+    return total
 
-    def absorb(_d, v):
-        total[0] += v
 
-    sweep(g, 1, lambda v, _i: v, absorb, lambda a, b: a + b)
-    return total[0]
+def extremes(model: Model, graph: LocalGraph | None = None) -> tuple[float, float]:
+    """(least, greatest) log probability of a complete path; nan without any."""
+    g = LocalGraph.within(model, graph)
+    low, high = np.inf, -np.inf
+    if g is None:
+        best = lambda df: df.groupBy("node").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        for done in walk(model, {"lo": 0.0, "hi": 0.0}, {"lo": F.col("lo") + F.col("lw"), "hi": F.col("hi") + F.col("lw")}, best, "lo double, hi double"):
+            row = done.agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).first()
+            if row["lo"] is not None:
+                low, high = min(low, row["lo"]), max(high, row["hi"])
+    else:
+        lw, n = np.log(g.w), len(g.labels)
+        lo, hi = np.zeros(n), np.zeros(n)
+        for e in g.steps():
+            nlo, nhi = np.full(n, np.inf), np.full(n, -np.inf)
+            np.minimum.at(nlo, g.dst[e], lo[g.src[e]] + lw[e])
+            np.maximum.at(nhi, g.dst[e], hi[g.src[e]] + lw[e])
+            if g.sink.any():
+                low, high = min(low, nlo[g.sink].min()), max(high, nhi[g.sink].max())
+            lo, hi = nlo, nhi
+    return (float(low), float(high)) if np.isfinite(low) else (float("nan"), float("nan"))
 
 
-def extremes(g: LocalGraph) -> tuple[float, float]:
-    """(least, greatest) log probability of a complete path; nan without any."""
-    lw, seen = np.log(g.w), []
-    sweep(g, (0.0, 0.0), lambda v, i: (v[0] + lw[i], v[1] + lw[i]), lambda _d, v: seen.append(v), lambda a, b: (min(a[0], b[0]), max(a[1], b[1])))
-    return (float(min(v[0] for v in seen)), float(max(v[1] for v in seen))) if seen else (float("nan"), float("nan"))
+def by_length(model: Model, specs: list[Spec], size: Callable[[str], int], size_col: Callable[[Column], Column], graph: LocalGraph | None = None) -> dict[int, dict[Spec, list[float]]]:
+    """jets of the complete paths of each length, counted in characters that their nodes emit; two forms of the same size function."""
+    g = LocalGraph.within(model, graph)
+    names = {(k, j): f"v{k}_{j}" for k, s in enumerate(specs) for j in range(s[1] + 1)}
+    out: dict[int, np.ndarray] = {}
+
+    def add(rows) -> None:
+        for n, *v in rows:
+            out[int(n)] = out.get(int(n), np.zeros(len(names))) + np.array(v, dtype=float)
+
+    def transported(row, w, lw) -> dict:
+        """Columns of a frame, or of a DataFrame, after an edge."""
+        return {names[k, j]: w**q * sum(comb(j, i) * lw ** (j - i) * row(names[k, i]) for i in range(j + 1)) for k, (q, order) in enumerate(specs) for j in range(order + 1)}
+
+    start = {c: float(j == 0) for (_, j), c in names.items()}
+    if g is None:
+        moved = {"len": F.col("len") + size_col(F.col("dst")), **transported(F.col, F.col("w"), F.col("lw"))}
+        summed = lambda df: df.groupBy("node", "len").agg(*[F.sum(c).alias(c) for c in names.values()])
+        for done in walk(model, {"len": 0, **start}, moved, summed, "len int, " + ", ".join(f"{c} double" for c in names.values())):
+            add(tuple(r) for r in done.groupBy("len").agg(*[F.sum(c) for c in names.values()]).collect())  # one row a length
+    elif len(g.labels):
+        sizes, lw = np.array([size(x) for x in g.labels], dtype=np.int64), np.log(g.w)
+        state = pd.DataFrame({"node": [g.root], "len": [0], **{c: [v] for c, v in start.items()}})
+        for e in g.steps():
+            j = state.merge(pd.DataFrame({"node": g.src[e], "dst": g.dst[e], "w": g.w[e], "lw": lw[e]}), on="node")
+            j = pd.DataFrame({"node": j["dst"], "len": j["len"] + sizes[j["dst"]], **transported(lambda c, j=j: j[c], j["w"], j["lw"])})
+            j = j.groupby(["node", "len"], sort=False, as_index=False).sum()
+            ended = g.sink[j["node"].to_numpy()]
+            add(j[ended].groupby("len")[list(names.values())].sum().itertuples(name=None))
+            state = j[~ended]
+    return {n: {s: [float(v[list(names).index((k, j))]) for j in range(s[1] + 1)] for k, s in enumerate(specs)} for n, v in sorted(out.items())}
+
+
+def least_mass(model: Model, graph: LocalGraph | None = None) -> float:
+    """Probability that a path is one of the least probable ones, equal ones together."""
+    g = LocalGraph.within(model, graph)
+    if g is None:
+        low, _ = extremes(model)
+        two = lambda df: df.withColumn("_b", F.min("lo").over(Window.partitionBy("node"))).filter(F.col("lo") <= F.col("_b") + 1e-9).groupBy("node").agg(F.min("lo").alias("lo"), F.sum("m").alias("m"))
+        moved = {"lo": F.col("lo") + F.col("lw"), "m": F.col("m") * F.col("w")}
+        return float(sum(done.filter(F.col("lo") <= F.lit(low + 1e-9)).agg(F.coalesce(F.sum("m"), F.lit(0.0))).first()[0] for done in walk(model, {"lo": 0.0, "m": 1.0}, moved, two, "lo double, m double")))
+    n, lw, best, total = len(g.labels), np.log(g.w), np.inf, 0.0
+    lo, mass = np.full(n, np.inf), np.zeros(n)
+    if n:
+        lo[g.root], mass[g.root] = 0.0, 1.0
+    for e in g.steps():
+        s_, d_, cand = g.src[e], g.dst[e], lo[g.src[e]] + lw[e]
+        nlo = np.full(n, np.inf)
+        np.minimum.at(nlo, d_, cand)
+        hit = cand <= nlo[d_] + 1e-9
+        m = np.bincount(d_[hit], mass[s_[hit]] * g.w[e][hit], minlength=n)
+        ended = g.sink & np.isfinite(nlo)
+        if ended.any():
+            low = nlo[ended].min()
+            here = m[ended & (nlo <= low + 1e-9)].sum()
+            best, total = (low, here) if low < best - 1e-9 else (best, total + here) if low <= best + 1e-9 else (best, total)
+        lo, mass = nlo, m
+    return float(total)
 
 
-def k_best(g: LocalGraph, k: int, most: bool = True) -> list[tuple[float, list[int]]]:
-    """The k most (or least) probable complete paths as (log probability, nodes); ties by labels."""
-    lw, done = np.log(g.w), []
-    key = (lambda x: (-x[0], [g.labels[n] for n in x[1]])) if most else (lambda x: (x[0], [g.labels[n] for n in x[1]]))
+def k_best(model: Model, k: int, most: bool = True, graph: LocalGraph | None = None) -> list[tuple[float, list[str]]]:
+    """The k most (or least) probable complete paths as (log probability, node labels); ties by labels."""
+    g = LocalGraph.within(model, graph)
+    key = (lambda x: (-x[0], x[1])) if most else (lambda x: (x[0], x[1]))
+    done: list[tuple[float, list[str]]] = []
+    if g is None:
+        order = [F.desc("lp") if most else F.asc("lp"), F.asc("path")]
+        best = lambda df: df.withColumn("_r", F.row_number().over(Window.partitionBy("node").orderBy(*order))).filter(F.col("_r") <= k).drop("_r")
+        moved = {"lp": F.col("lp") + F.col("lw"), "path": F.array_append("path", F.col("dst"))}
+        for ended in walk(model, {"lp": 0.0, "path": [model.root]}, moved, best, "lp double, path array<string>"):
+            done += [(r["lp"], list(r["path"])) for r in ended.orderBy(*order).limit(k).collect()]
+        return sorted(done, key=key)[:k]
+    lw = np.log(g.w).tolist()
 
     def merge(a, b):
-        return sorted([*a, *b], key=key)[:k]
+        return sorted([*a, *b], key=lambda x: (-x[0] if most else x[0], x[1]))[:k]
 
     def absorb(_d, v):
-        done.extend(v)
+        done.extend((lp, [g.labels[n] for n in p]) for lp, p in v)
 
-    sweep(g, [(0.0, (g.root,))], lambda v, i: [(lp + float(lw[i]), (*p, int(g.dst[i]))) for lp, p in v], absorb, merge)
-    return [(lp, list(p)) for lp, p in sorted(done, key=key)[:k]]
+    # nodes are numbered in label order, so paths of numbers compare as their labels do
+    sweep(g, [(0.0, (g.root,))], lambda v, i: [(lp + lw[i], (*p, int(g.dst[i]))) for lp, p in v], absorb, merge)
+    return sorted(done, key=key)[:k]

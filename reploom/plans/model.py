@@ -5,11 +5,13 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reploom.functions import text as tx
 from reploom.functions import tokens as tk
+from reploom.session import cut
 
 VARIANTS = ("aap", "ndp", "naive")
 LOG_EPS = -690.7755278982137  # fixed value: log(1e-300), the score of what a model cannot produce
@@ -24,6 +26,18 @@ class NoGeneDataError(ModelError):
     """Gene operators on a model without genes."""
 
 
+class UnknownNodeError(ModelError):
+    """A node that the model does not have."""
+
+
+class ConvergenceError(ModelError):
+    """An iteration, or drawing again, that came to no end."""
+
+
+class CorruptFileError(ModelError):
+    """A stored model that is incomplete or not one of ours."""
+
+
 def repertoire(df: DataFrame, seq: str = "seq", abundance: str | None = None, v_gene: str | None = None, j_gene: str | None = None, productive: str | None = None) -> DataFrame:
     """(seq, abundance[, v_gene, j_gene]) with one row a distinct combination; the form all builders take.
 
@@ -113,13 +127,16 @@ def count_lengths(rep: DataFrame) -> DataFrame:
 
 
 def fit(rep: DataFrame, variant: str = "aap", smoothing: float = 0.0, genes: bool = False) -> Model:
-    """Model of a repertoire; with genes also (src, dst, kind, gene, cnt) per edge and the pair counts (v_gene, j_gene, cnt)."""
+    """Model of a repertoire; with genes also (src, dst, kind, gene, cnt) per edge and the pair counts (v_gene, j_gene, cnt).
+
+    The weighted edges, far fewer than the rows, are materialised in the shared folder: what uses them several times parses once.
+    """
     if smoothing < 0:
         raise ModelError("smoothing is negative")
     if genes and not {"v_gene", "j_gene"} <= set(rep.columns):
         raise NoGeneDataError("both v_gene and j_gene are needed")
     plain = rep.groupBy("seq").agg(F.sum("abundance").alias("abundance")) if genes else rep
-    model = Model(weighted(count_edges(labelled(plain.select("seq", "abundance"), variant)), smoothing), count_lengths(rep), variant, smoothing)
+    model = Model(cut(weighted(count_edges(labelled(plain.select("seq", "abundance"), variant)), smoothing)), count_lengths(rep), variant, smoothing)
     if not genes:
         return model
     known = rep.filter("v_gene is not null and j_gene is not null")
@@ -141,7 +158,15 @@ def save(model: Model, path: str) -> None:
 
 
 def load(spark: SparkSession, path: str) -> Model:
-    meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
+    """The model stored in a folder; an error if its parts are missing or its description is not one of ours."""
+    try:
+        meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
+        known = meta["format"] == 1 and meta["variant"] in (*VARIANTS, "flashback")
+        parts = [spark.read.parquet(f"{path}/{n}").columns for n in ("edges", "lengths")]
+    except (AnalysisException, ValueError, KeyError, TypeError) as e:
+        raise CorruptFileError(f"{path} holds no model") from e
+    if not known or not {"src", "dst", "tok", "cnt", "w"} <= set(parts[0]):
+        raise CorruptFileError(f"{path} holds no model of this format")
     genes = [spark.read.parquet(f"{path}/{n}") for n in ("edge_genes", "pairs")] if meta["genes"] else [None, None]
     return Model(spark.read.parquet(f"{path}/edges"), spark.read.parquet(f"{path}/lengths"), meta["variant"], meta["smoothing"], *genes)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,8 +13,7 @@ from reploom.functions import tokens as tk
 from reploom.operators import algebra, analytics, genes, grammar, occupancy, scaffold, score, simulate, spectrum, structure
 from reploom.plans import model as md
 from reploom.plans import oracle as o
-from reploom.plans.dp import LocalGraph
-from reploom.session import cut, table
+from reploom.session import cut, table, work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -35,6 +35,11 @@ def rep(spark: SparkSession, d: str) -> DataFrame:
     return md.repertoire(table(spark, d, "regression_input", "junction_aa", "duplicate_count", "productive"), "junction_aa", "duplicate_count", productive="productive")
 
 
+def bases(spark: SparkSession, d: str) -> DataFrame:
+    """Productive nucleotide junctions, as they are."""
+    return md.repertoire(table(spark, d, "regression_input", "junction", "duplicate_count", "productive"), "junction", "duplicate_count", productive="productive")
+
+
 def unit_genes(spark: SparkSession, d: str) -> DataFrame:
     return md.repertoire(table(spark, d, "unit_repertoire"), "seq", "abundance", "v_gene", "j_gene")
 
@@ -60,6 +65,18 @@ def lz76_tokens(spark, d):
     return md.labelled(rep(spark, d), "aap").select("seq", F.col("toks").alias("tokens"))
 
 
+_PLAIN = """ust(seq, rest, cur, n, toks) as (select seq, seq, '', 0, cast([] as varchar[]) from asked
+        union all select seq, rest[2:], case when list_contains(toks, cur || rest[1]) then cur || rest[1] else '' end, case when list_contains(toks, cur || rest[1]) then n else n + 1 end,
+            case when list_contains(toks, cur || rest[1]) then toks else list_append(toks, cur || rest[1]) end from ust where rest <> ''),
+    len as (select seq, n + case when cur <> '' then 1 else 0 end as n from ust where rest = '')"""
+
+
+@query(o.query(o.ASKED, _PLAIN, select="select seq, case when cur <> '' then list_append(toks, cur) else toks end as tokens from ust where rest = ''"))
+def lz76_decompose(spark, d):
+    """The parse of a string by itself, without end marks."""
+    return asked(spark, d).select("seq", tk.lz76(F.col("seq")).alias("tokens"))
+
+
 @query(o.query(o.REP, o.peel("rep", "t"), select="select seq, list(label order by ord) as tokens from t_lv group by seq"))
 def flashback_tokens(spark, d):
     return md.labelled(rep(spark, d), "flashback").select("seq", F.col("labels").alias("tokens"))
@@ -72,13 +89,14 @@ def flashback_reverse(spark, d):
 
 # edges and structure
 
+_ROWS = {"aap": (rep, o.REP), "naive": (rep, o.REP), "ndp": (bases, o.BASES)}
 for _variant in md.VARIANTS:
 
     def _edges(spark, d, variant=_variant):
-        return md.fit(rep(spark, d), variant).edges.select("src", "dst", "cnt", _r("w"))
+        return md.fit(_ROWS[variant][0](spark, d), variant).edges.select("src", "dst", "cnt", _r("w"))
 
     _edges.__name__ = f"lz_edges_{_variant}"
-    query(o.query(o.REP, o.model("rep", "m", _variant), select="select src, dst, cnt, round(w, 6) as w from m_w"))(_edges)
+    query(o.query(_ROWS[_variant][1], o.model("rep", "m", _variant), select="select src, dst, cnt, round(w, 6) as w from m_w"))(_edges)
 
 
 @query(o.query(o.REP, o.model("rep", "m", "aap", 0.5), select="select src, dst, cnt, round(w, 6) as w from m_w"))
@@ -167,17 +185,22 @@ def lz_pgen_raw(spark, d):
     return score.log_pgen(md.fit(rep(spark, d), "aap"), asked(spark, d)).select("seq", _r("log_pgen"))
 
 
+@query(o.query(*_LZ_SCORE, select="select seq, case when log_pgen > -690.0 then round(log_pgen, 6) end as raw, true as shifted from pg"))
+def lz_pgen(spark, d):
+    """The normalised score beside the raw one: every sequence in the model is shifted by the log of one absorption between 0 and 1."""
+    m = md.fit(rep(spark, d), "aap")
+    a = simulate.absorption(m)
+    both = score.log_pgen(m, asked(spark, d)).join(score.log_pgen(m, asked(spark, d), log_absorption=math.log(a)).withColumnRenamed("log_pgen", "own"), "seq")
+    inside = F.col("log_pgen") > md.IN_MODEL
+    shifted = F.when(inside, F.abs(F.col("own") - F.col("log_pgen") + math.log(a)) < 1e-9).otherwise(F.col("own") == md.LOG_EPS) & F.lit(0 < a <= 1)
+    return both.select("seq", F.when(inside, F.round("log_pgen", 6)).alias("raw"), shifted.alias("shifted"))
+
+
 @query(o.query(*_LZ_SCORE, select="select seq, log_pgen > -690.0 as in_model from pg"))
 def membership(spark, d):
     return score.contains(md.fit(rep(spark, d), "aap"), asked(spark, d))
 
 
-_PLAIN = """ust(seq, rest, cur, n, toks) as (select seq, seq, '', 0, cast([] as varchar[]) from asked
-        union all select seq, rest[2:], case when list_contains(toks, cur || rest[1]) then cur || rest[1] else '' end, case when list_contains(toks, cur || rest[1]) then n else n + 1 end,
-            case when list_contains(toks, cur || rest[1]) then toks else list_append(toks, cur || rest[1]) end from ust where rest <> ''),
-    len as (select seq, n + case when cur <> '' then 1 else 0 end as n from ust where rest = '')"""
-
-
 @query(o.query(*_LZ_SCORE, _PLAIN, select="select seq, n as n_tokens, case when log_pgen > -690 and n > 0 then round(exp(-log_pgen / n), 6) else cast('infinity' as double) end as perplexity, case when log_pgen > -690 and n > 0 then round(-log_pgen / n / ln(2), 6) end as bits_per_token from pg join len using (seq)"))
 def sequence_perplexity(spark, d):
     return score.sequence_perplexity(score.log_pgen(md.fit(rep(spark, d), "aap"), asked(spark, d))).select("seq", "n_tokens", _r("perplexity"), _r("bits_per_token"))
@@ -196,13 +219,13 @@ def repertoire_perplexity(spark, d):
         "c as (select *, n / (select sum(n) from s where hit) as q from s where hit)",
         "r as (select log_pgen, n, rank() over (order by n) + (count(*) over (partition by n) - 1) / 2.0 as rn, rank() over (order by log_pgen) + (count(*) over (partition by log_pgen) - 1) / 2.0 as rl from c)",
         select="""select (select count(*) from s) as n_types, round((select count(*) from c) / (select count(*) from s), 6) as coverage_types, round((select sum(n) from c) / (select sum(n) from s), 6) as coverage_mass,
-        round((select sum(-q * log_pgen) from c), 6) as cross_entropy, round((select sum(-q * ln(q)) from c), 6) as entropy, round((select sum(-q * log_pgen) + sum(q * ln(q)) from c), 6) as kl,
+        round((select sum(-q * log_pgen) from c), 6) as cross_entropy, round((select sum(-q * ln(q)) from c), 6) as entropy, round((select sum(-q * log_pgen) + sum(q * ln(q)) from c), 6) as kl, round((select exp(sum(-q * log_pgen)) from c), 0) as perplexity,
         round((select avg(log_pgen) from c), 6) as mean_log_pgen, round((select median(log_pgen) from c), 6) as median_log_pgen, round((select corr(rn, rl) from r), 4) as spearman""",
     )
 )
 def approximation_diagnostics(spark, d):
     out = score.approximation_diagnostics(md.fit(rep(spark, d), "aap"), unit(spark, d))
-    return out.select("n_types", *[_r(c) for c in out.columns if c not in ("n_types", "perplexity", "spearman")], _r("spearman", 4))
+    return out.select("n_types", *[_r(c) for c in out.columns if c not in ("n_types", "perplexity", "spearman")], _r("perplexity", 0), _r("spearman", 4))
 
 
 # exact distribution of the Markov model
@@ -224,12 +247,12 @@ _MASS, _ENT, _ONE = ("1", "d.m * e.w"), ("0", "e.w * (d.h - d.m * ln(e.w))"), ("
 
 @query(_absorbed({"n": _ONE}, "select round(log10(n), 6) as log10_paths from f"))
 def path_count(spark, d):
-    return analytics.profile(_fb(spark, d)).select(F.round(F.log10("path_count"), 6).alias("log10_paths"))
+    return analytics.support(_fb(spark, d)).select(_r("log10_paths"))
 
 
 @query(_absorbed({"m": _MASS, "h": _ENT}, "select round(h, 6) as entropy_nats, round(h / ln(2), 6) as entropy_bits, round(exp(h), 3) as effective_diversity, round(m, 6) as absorbed, abs(m - 1) < 1e-6 as is_proper from f"))
 def effective_diversity(spark, d):
-    return analytics.profile(_fb(spark, d)).select(_r("entropy_nats"), _r("entropy_bits"), _r("effective_diversity", 3), _r("absorbed"), "is_proper")
+    return analytics.entropy(_fb(spark, d)).select(_r("entropy_nats"), _r("entropy_bits"), _r("effective_diversity", 3), _r("absorbed"), "is_proper")
 
 
 _ORDERS = (0.5, 1.5, 2.0, 3.0, 5.0)
@@ -248,7 +271,7 @@ def hill_curve(spark, d):
 
 @query(o.query(*_FB, "dp as (select 0 as step, '@$_1{0}' as node, cast(0 as double) as lo, cast(0 as double) as hi union all select d.step + 1, e.dst, min(d.lo + ln(e.w)), max(d.hi + ln(e.w)) from dp d join m_w e on e.src = d.node group by d.step + 1, e.dst)", select="select round(min(lo), 6) as min_log_pgen, round(max(hi), 6) as max_log_pgen, round(max(hi) - min(lo), 6) as dynamic_range from dp join s using (node)"))
 def dynamic_range(spark, d):
-    return analytics.profile(_fb(spark, d)).select(_r("min_log_pgen"), _r("max_log_pgen"), _r("dynamic_range"))
+    return analytics.dynamic_range(_fb(spark, d)).select(_r("min_log_pgen"), _r("max_log_pgen"), _r("dynamic_range"))
 
 
 def _jet(order: int, q: float = 1.0) -> dict[str, tuple[str, str]]:
@@ -257,33 +280,53 @@ def _jet(order: int, q: float = 1.0) -> dict[str, tuple[str, str]]:
     return {f"v{j}": ("1" if j == 0 else "0", f"pow(e.w, {q}) * (" + " + ".join(f"{comb(j, i)} * pow(ln(e.w), {j - i}) * d.v{i}" for i in range(j + 1)) + ")") for j in range(order + 1)}
 
 
-@query(_absorbed(_jet(4), "select round(v1 / v0, 6) as mean, round(v2 / v0 - pow(v1 / v0, 2), 6) as variance, round(v0, 6) as mass from f"))
+_MOMENTS = """round(v1 / v0, 6) as mean, round(v2 / v0 - pow(v1 / v0, 2), 6) as variance, round(v0, 6) as mass, round(sqrt(v2 / v0 - pow(v1 / v0, 2)), 6) as std,
+        round((v3 / v0 - 3 * v1 / v0 * v2 / v0 + 2 * pow(v1 / v0, 3)) / pow(v2 / v0 - pow(v1 / v0, 2), 1.5), 4) as skewness,
+        round((v4 / v0 - 4 * v1 / v0 * v3 / v0 + 6 * pow(v1 / v0, 2) * v2 / v0 - 3 * pow(v1 / v0, 4)) / pow(v2 / v0 - pow(v1 / v0, 2), 2) - 3, 3) as excess_kurtosis"""
+
+
+@query(_absorbed(_jet(4), f"select {_MOMENTS} from f"))
 def pgen_moments(spark, d):
-    return analytics.moments_row(_fb(spark, d)).select(_r("mean"), _r("variance"), _r("mass"))
+    return _moments(_fb(spark, d))
+
+
+def _moments(m: md.Model) -> DataFrame:
+    return analytics.moments_row(m).select(_r("mean"), _r("variance"), _r("mass"), _r("std"), _r("skewness", 4), _r("excess_kurtosis", 3))
+
+
+@query(_absorbed(_jet(4), "select round(-v1 / v0, 6) as k1, round(v2 / v0 - pow(v1 / v0, 2), 6) as k2, round(-(v3 / v0 - 3 * v1 / v0 * v2 / v0 + 2 * pow(v1 / v0, 3)), 3) as k3 from f"))
+def surprisal_cumulants(spark, d):
+    return spectrum.surprisal_moments(_fb(spark, d)).select(_r("k1"), _r("k2"), _r("k3", 3))
 
 
-@query(_absorbed(_jet(3, 1.5), " union all ".join(f"select cast({j} as integer) as j, round(v{j} / v0, 6) as ratio from f" for j in range(4))))
+@query(_absorbed({"a": ("1", "d.a * pow(e.w, 0.5)"), "b": ("1", "d.b * pow(e.w, 2.0)")}, "select cast(0.5 as double) as t, round(ln(a), 6) as cgf from f union all select -1.0, round(ln(b), 6) from f"))
+def surprisal_cgf(spark, d):
+    return spectrum.cgf(_fb(spark, d), [0.5, -1.0]).select("t", _r("cgf"))
+
+
+@query(_absorbed(_jet(3, 1.5), " union all ".join(f"select cast({j} as integer) as j, round(ln(v0), 6) as log_mass, round(v{j} / v0, 6) as ratio from f" for j in range(4))))
 def mellin_derivatives(spark, d):
     m = spectrum.mellin(_fb(spark, d), [1.5], 3)
-    return m.select("j", F.round(F.col("value") / m.filter("j = 0").select("value").scalar(), 6).alias("ratio"))
+    total = m.filter("j = 0").select("value").scalar()
+    return m.select("j", F.round(F.log(total), 6).alias("log_mass"), F.round(F.col("value") / total, 6).alias("ratio"))
 
 
-@query(o.query(o.REP, o.model("rep", "m", "aap"), "s as (select distinct dst as node from m_e where tok like '%$')", o.forward("m_w", "dp", "@_1", _jet(2)), "f as (select sum(v0) as v0, sum(v1) as v1, sum(v2) as v2 from dp join s using (node))", select="select round(v1 / v0, 6) as mean, round(v2 / v0 - pow(v1 / v0, 2), 6) as variance, round(v0, 6) as mass from f"))
+@query(o.query(o.REP, o.model("rep", "m", "aap"), "s as (select distinct dst as node from m_e where tok like '%$')", o.forward("m_w", "dp", "@_1", _jet(4)), "f as (select sum(v0) as v0, sum(v1) as v1, sum(v2) as v2, sum(v3) as v3, sum(v4) as v4 from dp join s using (node))", select=f"select {_MOMENTS} from f"))
 def lz_pgen_moments(spark, d):
     """Moments of the unconstrained forward pass over an LZ model."""
-    return analytics.moments_row(md.fit(rep(spark, d), "aap")).select(_r("mean"), _r("variance"), _r("mass"))
+    return _moments(md.fit(rep(spark, d), "aap"))
 
 
 @query(
     o.query(
         *_FB,
-        """dp as (select 0 as step, '@$_1{0}' as node, cast(0 as bigint) as len, cast(1 as double) as p union all
-        select d.step + 1, e.dst, d.len + length(regexp_replace(e.dst, '_[0-9]+\\{[0-9]+\\}$', '')), sum(d.p * e.w) from dp d join m_w e on e.src = d.node group by d.step + 1, e.dst, d.len + length(regexp_replace(e.dst, '_[0-9]+\\{[0-9]+\\}$', '')))""",
-        select="select cast(len as integer) as length, round(sum(p), 9) as prob from dp join s using (node) group by 1",
+        """dp as (select 0 as step, '@$_1{0}' as node, cast(0 as bigint) as len, cast(1 as double) as p, cast(1 as double) as c, cast(0 as double) as h union all
+        select d.step + 1, e.dst, d.len + length(regexp_replace(e.dst, '_[0-9]+\\{[0-9]+\\}$', '')), sum(d.p * e.w), sum(d.c), sum(e.w * (d.h + d.p * ln(e.w))) from dp d join m_w e on e.src = d.node group by d.step + 1, e.dst, d.len + length(regexp_replace(e.dst, '_[0-9]+\\{[0-9]+\\}$', '')))""",
+        select="select cast(len as integer) as length, round(sum(p), 9) as prob, round(log10(sum(c)), 6) as log10_sequences, round(-sum(h) / sum(p), 5) as mean from dp join s using (node) group by 1",
     )
 )
 def length_profile(spark, d):
-    return spectrum.length_profile(_fb(spark, d)).select("length", _r("prob", 9))
+    return spectrum.length_profile(_fb(spark, d)).select("length", _r("prob", 9), F.round(F.log10("n_sequences"), 6).alias("log10_sequences"), _r("mean", 5))
 
 
 @query(_absorbed({"m": _MASS}, "select round(m, 6) as mass, true as in_range from f"))
@@ -292,11 +335,6 @@ def histogram_spectrum(spark, d):
     return h.agg(F.round(F.sum("weight"), 6).alias("mass"), F.min(F.col("weight") >= 0).alias("in_range"))
 
 
-@query()
-def saddlepoint_cdf(spark, d):
-    return spectrum.saddlepoint_cdf(_fb(spark, d), [-40.0, -35.0, -30.0, -25.0, -20.0, -15.0])
-
-
 # small model with every path: the probes' own
 
 _SMALL = ["pr as (select seq, cast(count(*) as bigint) as abundance from probes where regexp_full_match(seq, '[A-Z]+') group by 1)", o.model("pr", "m", "flashback"), o.sinks("m_e", "s")]
@@ -328,14 +366,35 @@ def top_k(spark, d):
     return analytics.top_sequences(_small(spark, d), 10).select("rank", _r("log_pgen"))
 
 
-@query()
+_SCORED = "own as (select seq, sum(ln(w)) as lp from m_tr join (select src, dst, w from m_w) using (src, dst) group by seq)"
+
+
+@query(o.query(*_SMALL, _PATHS, _SCORED, "t as (select seq, lp, round(lp, 9) as k from own)", select="select seq, round(lp, 6) as log_pgen, round((select sum(exp(f.lp)) from full_ f where round(f.lp, 9) <= t.k), 6) as cdf_generated, round((select count(*) from full_ f where round(f.lp, 9) <= t.k) / (select count(*) from full_), 6) as cdf_counting from t"))
 def position(spark, d):
-    return spectrum.position(spectrum.atoms(_small(spark, d)), table(spark, d, "probes", "seq"))
+    p = spectrum.position(spectrum.atoms(_small(spark, d)), table(spark, d, "probes", "seq"))
+    return p.select("seq", _r("log_pgen"), _r("cdf_generated"), _r("cdf_counting"))
+
+
+_GRID = (0.1, 0.3, 0.5, 0.7, 0.9)
+
 
+@query(o.query(*_SMALL, _PATHS, "x as (select unnest(range(1, 6)) as i), lim as (select min(lp) as lo, max(lp) as hi from full_)", "place as (select i, lo + (hi - lo) * (i - 0.5) / 5 as x from x, lim)", select="select round(x, 6) as log_p, round((select sum(exp(lp)) from full_ where lp <= x), 6) as exact, true as close from place"))
+def saddlepoint_check(spark, d):
+    """The approximation at five places of the range beside the exact mass of all sequences that are no more probable: within 0.1."""
+    m = _small(spark, d)
+    a = cut(spectrum.atoms(m))
+    r = a.agg(F.min("log_pgen").alias("lo"), F.max("log_pgen").alias("hi")).first()
+    xs = [r["lo"] + (r["hi"] - r["lo"]) * f for f in _GRID]
+    exact = a.agg(*[F.sum(F.when(F.col("log_pgen") <= x, F.exp("log_pgen"))).alias(f"e{i}") for i, x in enumerate(xs)]).first()
+    rows = spark.createDataFrame([(x, exact[f"e{i}"]) for i, x in enumerate(xs)], "log_p double, exact double")
+    return rows.join(spectrum.saddlepoint(m, xs), "log_p").select(_r("log_p"), _r("exact"), (F.abs(F.col("cdf") - F.col("exact")) < 0.1).alias("close"))
 
-@query()
+
+@query(o.query(*_FB, _SCORED, "bar as (select lp from own order by lp desc limit 1 offset 19)",
+    "pa(node, labels, lp) as (select '@$_1{0}', ['@$_1{0}'], cast(0 as double) union all select e.dst, list_append(p.labels, e.dst), p.lp + ln(e.w) from pa p join m_w e on e.src = p.node where p.lp + ln(e.w) >= (select lp from bar) - 1e-9)",
+    select="select cast(row_number() over (order by lp desc, labels) as integer) as rank, round(lp, 6) as log_pgen from pa join s using (node) order by lp desc limit 20"))
 def top_k_large(spark, d):
-    return analytics.top_sequences(_fb(spark, d), 20)
+    return analytics.top_sequences(_fb(spark, d), 20).select("rank", _r("log_pgen"))
 
 
 # algebra
@@ -427,6 +486,24 @@ def feature_sizes(spark, d):
     return algebra.degree_features(md.fit(rep(spark, d), "aap")).select("n_nodes", "n_edges", "n_sinks", _r("sink_share"), "max_out_degree")
 
 
+@query(
+    o.query(
+        o.REP, o.model("rep", "m", "flashback"), o.sinks("m_e", "s"), _DEGREES, o.forward("m_w", "dp", _ROOT, {"n": _ONE, "a": ("1", "d.a * pow(e.w, 0.5)"), "m": _MASS, "h": _ENT, "b": ("1", "d.b * pow(e.w, 2.0)"), "c": ("1", "d.c * pow(e.w, 5.0)")}),
+        "f as (select sum(n) as n, sum(a) as a, sum(h) as h, sum(b) as b, sum(c) as c from dp join s using (node))",
+        "ex as (select 0 as step, '@$_1{0}' as node, cast(0 as double) as lo, cast(0 as double) as hi union all select d.step + 1, e.dst, min(d.lo + ln(e.w)), max(d.hi + ln(e.w)) from ex d join m_w e on e.src = d.node group by d.step + 1, e.dst)",
+        "r as (select (max(hi) - min(lo)) / ln(10) as orders from ex join s using (node)), k as (select count(*) as k from s)",
+        select="""select cast(count(*) as double) as n_nodes, cast(sum(out_degree) as double) as n_edges, cast(1 as double) as n_roots, cast(any_value(k) as double) as n_sinks, round(ln(any_value(n)), 6) as d0, round(2 * ln(any_value(a)), 6) as d0_5, round(any_value(h), 6) as d1,
+            round(-ln(any_value(b)), 6) as d2, round(-ln(any_value(c)) / 4, 6) as d5, round(any_value(h), 6) as entropy_nats, round(any_value(orders), 6) as dynamic_range_orders, cast(any_value(k) as double) as n_sinks_again,
+            round(any_value(k) / count(*), 6) as sink_share, cast(max(out_degree) as double) as max_out_degree, round(any_value(h) - ln(any_value(n)), 6) as uniformity from deg, f, r, k""",
+    )
+)
+def feature_stats(spark, d):
+    """All fifteen numbers; Hill numbers and uniformity by their logarithms."""
+    r = algebra.feature_stats(_fb(spark, d))
+    logs = ("d0", "d0_5", "d1", "d2", "d5", "uniformity")
+    return r.select(*[F.round(F.log(c), 6).alias(c) if c in logs else _r(c) for c in algebra.STATS])
+
+
 # genes
 
 _GENES = [o.UNIT_GENES, "known as (select * from unit_genes where v_gene is not null and j_gene is not null)"]
@@ -511,14 +588,43 @@ def grammar_path_count_series(spark, d):
     return grammar.length_table(_grammar(spark, d), 40).filter("n_derivations > 0").select("length", F.round(F.log10("n_derivations"), 6).alias("log10_n"))
 
 
-@query()
+_FLOW = """fl as (select 0 as step, true as is_start, '@' as a, '$' as z, cast(1 as double) as m, cast(1 as double) as q, cast(1 as double) as c
+        union all select f.step + 1, false, r.dst_a, r.dst_z, sum(f.m * r.w), sum(f.q * r.w * r.w), sum(f.c * pow(r.w, 3)) from fl f join r_w r on r.is_start = f.is_start and r.a = f.a and r.z = f.z and r.kind = 'internal' where f.step < 200 group by f.step + 1, r.dst_a, r.dst_z),
+    one as (select is_start, a, z, sum(-w * ln(w)) as h, sum(case when kind <> 'internal' then w * w end) as l2, sum(case when kind <> 'internal' then pow(w, 3) end) as l3 from r_w group by 1, 2, 3),
+    tot as (select sum(m * h) as h, sum(q * l2) as p2, sum(c * l3) as p3 from fl join one using (is_start, a, z)), rho as (select sum(case when step = 160 then m end) / sum(case when step = 159 then m end) as r from fl)"""
+
+
+@query(o.query(*_GR, _FLOW, select="select 'spectral_radius' as measure, round(r, 4) as value from rho union all select 'consistent', 1.0 from rho where r < 1 union all select 'entropy_nats', round(h, 6) from tot union all select 'log_hill_2', round(-ln(p2), 6) from tot union all select 'log_hill_3', round(-ln(p3) / 2, 6) from tot"))
 def grammar_entropy(spark, d):
-    return grammar.profile(_grammar(spark, d))
+    p = grammar.profile(_grammar(spark, d), (2.0, 3.0)).filter("measure <> 'effective_diversity'")
+    hill = F.col("measure").startswith("hill")
+    return p.select(F.when(hill, F.concat(F.lit("log_"), "measure")).otherwise(F.col("measure")).alias("measure"), F.when(F.col("measure") == "spectral_radius", F.round("value", 4)).otherwise(F.round(F.when(hill, F.log("value")).otherwise(F.col("value")), 6)).alias("value"))
+
+
+_DERIVED = """sq as (select seq, ord = 0 as is_start, a, z, case when mid <> '' then 'internal' when z_run > 0 then 'leaf_pair' when a_run = 1 then 'leaf_single' else 'leaf_run' end as kind, a_run, z_run, left(mid, 1) as dst_a, right(mid, 1) as dst_z from t_lv),
+    own as (select seq, sum(ln(w)) as lp from sq join r_w using (is_start, a, z, kind, a_run, z_run, dst_a, dst_z) where length(seq) <= 30 group by seq), bar as (select lp from own order by lp desc limit 1 offset 9),
+    de(kind, na, nz, front, back, lp) as (select 'internal', dst_a, dst_z, '', '', ln(w) from r_w where is_start
+        union all select r.kind, r.dst_a, r.dst_z, d.front || repeat(r.a, cast(r.a_run as bigint)), repeat(r.z, cast(r.z_run as bigint)) || d.back, d.lp + ln(r.w) from de d join r_w r on d.kind = 'internal' and not r.is_start and r.a = d.na and r.z = d.nz where d.lp + ln(r.w) >= (select lp from bar) - 1e-9)"""
 
 
-@query()
+@query(o.query(*_GR, _DERIVED, select="select cast(row_number() over (order by lp desc, front || back) as integer) as rank, front || back as seq, round(lp, 6) as log_pgen from de where kind <> 'internal' and length(front || back) <= 30 order by lp desc, seq limit 10"))
 def grammar_top_k(spark, d):
-    return grammar.top_sequences(_grammar(spark, d), 10)
+    return grammar.top_sequences(_grammar(spark, d), 10).select("rank", "seq", _r("log_pgen"))
+
+
+@query(o.query(*_GR, select="select dst_a as first, dst_z as last, round(w, 6) as w from r_w where is_start and kind = 'internal'"))
+def grammar_sentinels(spark, d):
+    return grammar.sentinel_rule_weights(_grammar(spark, d)).select("first", "last", _r("w"))
+
+
+@query(o.query(*_GR, "nt as (select is_start, a, z, count(*) as n_rules, sum(cnt) as total, round(least(count(*) filter (cnt <= 1) / sum(cnt), 0.5), 6) as unseen from r_e group by 1, 2, 3)", select="select * from nt"))
+def grammar_nonterminals(spark, d):
+    return grammar.nonterminals(_grammar(spark, d)).select(*grammar.NT, "n_rules", "total", _r("unseen"))
+
+
+@query(o.query(*_GR, "gl as (select dst_a as a, dst_z as z, cast(0 as bigint) as len, min(ln(w)) as lo, max(ln(w)) as hi from r_w where is_start group by 1, 2 union all select r.dst_a, r.dst_z, g.len + r.a_run + r.z_run, min(g.lo + ln(r.w)), max(g.hi + ln(r.w)) from gl g join r_w r on r.a = g.a and r.z = g.z and not r.is_start where g.a <> '' and g.len + r.a_run + r.z_run <= 30 group by 1, 2, 3)", select="select round(min(lo), 6) as min_log_pgen, round(max(hi), 6) as max_log_pgen, round(max(hi) - min(lo), 6) as dynamic_range from gl where a = '' and len <= 30"))
+def grammar_dynamic_range(spark, d):
+    return grammar.dynamic_range(_grammar(spark, d)).select(_r("min_log_pgen"), _r("max_log_pgen"), _r("dynamic_range"))
 
 
 @query(
@@ -558,7 +664,8 @@ def wellformed_filter(spark, d):
     select gene_segment, case when s = '' then 'ambiguous' when length(regexp_replace(s, '[ACGTUNRYSWKMBDHV]', '', 'g')) = 0 and length(regexp_replace(s, '[^ACGTUN]', '', 'g')) >= 0.65 * length(s) then 'nucleotide' else 'amino_acid' end as alphabet from t"""
 )
 def alphabet_inference(spark, d):
-    return table(spark, d, "gene_reference").groupBy("gene_segment").agg(F.concat_ws("", F.collect_list("germline_nt")).alias("s")).select("gene_segment", tx.alphabet(F.col("s")).alias("alphabet"))
+    rows = table(spark, d, "gene_reference", "gene_segment", "germline_nt")
+    return rows.groupBy("gene_segment").agg(tx.alphabet_of(F.col("germline_nt")).alias("alphabet"))
 
 
 # samples, saturation, scaffold
@@ -566,7 +673,7 @@ def alphabet_inference(spark, d):
 
 @query(
     o.query(
-        "rows_ as (select row_number() over (order by seq) as idx, seq from (select distinct seq from unit_repertoire where regexp_full_match(seq, '[A-Z]+')))", o.lz("rows_", "t"),
+        "rows_ as (select row_number() over (order by seq) as idx, seq from (select distinct seq from unit_repertoire where seq <> ''))", o.lz("rows_", "t"),
         "nf as (select label, min(idx) as f from (select seq, unnest(labels) as label from t_lab) join rows_ using (seq) group by 1)", "ef as (select src, dst, min(idx) as f from t_tr join rows_ using (seq) group by 1, 2)",
         "pt as (select distinct least(cast(ceil(idx / 100.0) * 100 as bigint), (select max(idx) from rows_)) as n_seqs from rows_)",
         select="select n_seqs, (select count(*) from nf where f <= n_seqs) as n_nodes, (select count(*) from ef where f <= n_seqs) as n_edges from pt",
@@ -575,17 +682,14 @@ def alphabet_inference(spark, d):
 def saturation_curve(spark, d):
     from reploom.session import running_total
 
-    seqs = table(spark, d, "unit_repertoire", "seq").filter("seq rlike '^[A-Z]+$'").distinct().withColumn("one", F.lit(1))
+    seqs = table(spark, d, "unit_repertoire", "seq").filter("seq <> ''").distinct().withColumn("one", F.lit(1))
     return occupancy.saturation(running_total(seqs, "seq", "one", "idx").select("idx", "seq"), "aap", 100)
 
 
 @query(
     o.query(
         o.REP, o.model("rep", "m", "flashback"), _DEGREES,
-        r"""tk as (select node, greatest(in_cnt, out_cnt) as mass, regexp_extract(node, '(?s)^(.*)_(\d+)\{(\d+)\}$', 1) as sym, cast(regexp_extract(node, '(?s)^(.*)_(\d+)\{(\d+)\}$', 2) as integer) as split,
-            cast(regexp_extract(node, '(?s)^(.*)_(\d+)\{(\d+)\}$', 3) as integer) as ord from deg where not starts_with(node, '@') and not contains(node, '$'))""",
-        """sl as (select ord, case when split = 0 then 'center' else 'front' end as lane, unnest(range(case when split = 0 then length(sym) else split end)) as off, mass from tk where ord > 0
-            union all select ord, 'back', unnest(range(length(sym) - split)), mass from tk where ord > 0 and split > 0)""",
+        o.SLOTS,
         select='select ord, lane, cast(off as integer) as "offset", cast(sum(mass) as bigint) as mass, count(*) as n_tokens from sl group by 1, 2, 3',
     )
 )
@@ -593,102 +697,205 @@ def scaffold_slot_counts(spark, d):
     return scaffold.slots(md.fit(rep(spark, d), "flashback"))
 
 
-@query()
+@query(o.query(o.UNIT, o.peel("unit", "u"), select="select seq, list(label order by ord) filter (ord > 0) as tokens, cast(count(*) filter (ord > 0) as integer) as n_latent, true as same_shape from u_lv group by seq"))
 def scaffold_alignment(spark, d):
-    return scaffold.align(md.fit(unit(spark, d), "flashback"), unit(spark, d))
+    """Observed tokens, and the latent ones by their number and by whether each has the shape of the token it stands for."""
+    a = scaffold.align(md.fit(unit(spark, d), "flashback"), unit(spark, d))
+    shape = lambda t: F.struct(F.length(F.regexp_extract(t, r"(?s)^(.*)_(\d+)\{(\d+)\}$", 1)), F.regexp_extract(t, r"(?s)^(.*)_(\d+\{\d+\})$", 2))
+    same = F.forall(F.zip_with("tokens", "latent", lambda x, y: shape(x) == shape(y)), lambda b: b)
+    return a.select("seq", "tokens", F.size("latent").alias("n_latent"), same.alias("same_shape"))
 
 
-@query()
+@query(
+    o.query(
+        o.REP, o.UNIT, o.model("rep", "m", "flashback"), _DEGREES, o.SLOTS, o.peel("unit", "u"),
+        """uf as (select ord, case when mid = '' then 'center' else 'front' end as lane, unnest(range(case when mid = '' then a_run + z_run else a_run end)) as off from u_lv where ord > 0
+            union all select ord, 'back', unnest(range(case when mid = '' then 0 else z_run end)) from u_lv where ord > 0)""",
+        "us as (select ord, lane, off, count(*) as n_seqs from uf group by all), kn as (select distinct ord, lane, off, true as known from sl), n as (select count(*) as n from unit where seq <> '')",
+        select='select ord, lane, cast(off as integer) as "offset", coalesce(n_seqs, 0) as n_seqs, round(coalesce(n_seqs, 0) / (select n from n), 9) as occupancy, coalesce(known, false) as in_scaffold from kn full join us using (ord, lane, off)',
+    )
+)
 def scaffold_occupancy(spark, d):
-    return scaffold.occupancy(md.fit(rep(spark, d), "flashback"), unit(spark, d))
+    r = scaffold.occupancy(md.fit(rep(spark, d), "flashback"), unit(spark, d))
+    return r.select("ord", "lane", "offset", "n_seqs", _r("occupancy", 9), "in_scaffold")
 
 
 N_SIM = 10_000  # fixed value: walks of a Monte Carlo estimate
+_ENTROPY = "select round(h, 6) as entropy"
 
 
 def _sims(spark, d, n: int = N_SIM) -> DataFrame:
     return simulate.simulate(md.fit(unit(spark, d), "aap"), n, SEED)
 
 
-@query()
+def _checked(sims: DataFrame, scores: DataFrame) -> DataFrame:
+    """One row: draws, different numbers of draws, draws whose own log probability equals that of the scorer."""
+    both = sims.join(scores, "seq")
+    return both.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("i").alias("n_ids"), F.count_if(F.abs(F.col("log_prob") - F.col("log_pgen")) < 1e-6).alias("n_scored_alike"))
+
+
+@query(f"select {N_SIM} as n, {N_SIM} as n_ids, {N_SIM} as n_scored_alike")
 def simulate_lz(spark, d):
-    return _sims(spark, d)
+    """Every draw scored by the model, normalised by the same absorption."""
+    m = md.fit(unit(spark, d), "aap")
+    sims = cut(simulate.simulate(m, N_SIM, SEED))
+    return _checked(sims, score.log_pgen(m, sims, log_absorption=math.log(simulate.absorption(m))))
 
 
-@query()
+@query(_absorbed({"m": _MASS, "h": _ENT}, f"{_ENTROPY}, {N_SIM} as n, {N_SIM} as n_ids, {N_SIM} as n_scored_alike, true as mean_within from f"))
 def simulate_flashback(spark, d):
-    return simulate.simulate(_fb(spark, d), N_SIM, SEED)
+    """Every draw scored by the model, and the mean of -log p within five standard errors of the exact entropy."""
+    m = _fb(spark, d)
+    sims = cut(simulate.simulate(m, N_SIM, SEED))
+    h = analytics.entropy(m).first()["entropy_nats"]
+    within = sims.agg((F.abs(F.avg(-F.col("log_prob")) - h) < 5 * F.stddev_samp("log_prob") / F.sqrt(F.count(F.lit(1)))).alias("w")).scalar()
+    return _checked(sims, score.log_pgen(m, sims)).select(F.lit(round(h, 6)).alias("entropy"), "*", within.alias("mean_within"))
 
 
-@query()
+@query(o.query(*_GR, _FLOW, select=f"{_ENTROPY}, {N_SIM} as n, {N_SIM} as n_ids, {N_SIM} as n_scored_alike, true as mean_within from tot"))
 def simulate_grammar(spark, d):
-    return simulate.simulate_grammar(_grammar(spark, d), N_SIM, SEED)
+    g = _grammar(spark, d)
+    sims = cut(simulate.simulate_grammar(g, N_SIM, SEED))
+    h = grammar.Solver(g).entropy()
+    within = sims.agg((F.abs(F.avg(-F.col("log_prob")) - h) < 5 * F.stddev_samp("log_prob") / F.sqrt(F.count(F.lit(1)))).alias("w")).scalar()
+    return _checked(sims, grammar.log_pgen(g, sims, "none")).select(F.lit(round(h, 6)).alias("entropy"), "*", within.alias("mean_within"))
 
 
-@query()
+@query(o.query(*_GENES, select="select v_gene, true as share_within from known group by v_gene having sum(abundance) >= 0.05 * (select sum(abundance) from known)"))
 def simulate_genes(spark, d):
-    return simulate.simulate_genes(_with_genes(spark, d), 2000, SEED)
+    """The frequent V genes, and whether their share of 2,000 draws is within five standard errors of the model's."""
+    m, n = _with_genes(spark, d), 2000
+    drawn = simulate.simulate_genes(m, n, SEED).filter("seq <> ''").groupBy("v_gene").agg(F.count(F.lit(1)).alias("c"))
+    want = genes.marginals(m).filter("kind = 'v' and prob >= 0.05").select(F.col("gene").alias("v_gene"), "prob")
+    p = F.col("prob")
+    return want.join(drawn, "v_gene", "left").select("v_gene", (F.abs(F.coalesce("c", F.lit(0)) / n - p) < 5 * F.sqrt(p * (1 - p) / n) + 0.005).alias("share_within"))
 
 
-@query()
+@query(_absorbed({"m": _MASS, "h": _ENT, "q": ("1", "d.q * pow(e.w, 1.5)")}, "select cast(1 as double) as alpha, round(h, 6) as log_hill, true as within from f union all select 1.5, round(ln(q) / -0.5, 6), true from f"))
 def hill_mc(spark, d):
-    return analytics.monte_carlo(_sims(spark, d))
+    """Hill numbers from draws of a run-peeling model beside the exact ones: logarithms within 0.15."""
+    m = _fb(spark, d)
+    exact = analytics.hill_curve(m, (1.0, 1.5)).withColumnRenamed("hill", "e")
+    mc = analytics.monte_carlo(simulate.simulate(m, N_SIM, SEED), (1.0, 1.5))
+    return exact.join(mc, "alpha").select("alpha", F.round(F.log("e"), 6).alias("log_hill"), (F.abs(F.log("hill") - F.log("e")) < 0.15).alias("within"))
+
+
+@query(_absorbed({"m": _MASS, "h": _ENT}, f"{_ENTROPY}, {N_SIM} as n_walks, true as entropy_within, true as range_within from f"))
+def sampled_profile(spark, d):
+    """The profile that LZ models get from walks, here of a run-peeling model beside its exact entropy and range."""
+    m = _fb(spark, d)
+    h, r = analytics.entropy(m).first()["entropy_nats"], analytics.dynamic_range(m).first()
+    p = analytics.sampled_profile(simulate.simulate(m, N_SIM, SEED))
+    inside = (F.col("min_log_pgen") >= r["min_log_pgen"] - 1e-9) & (F.col("max_log_pgen") <= r["max_log_pgen"] + 1e-9)
+    return p.select(F.lit(round(h, 6)).alias("entropy"), "n_walks", (F.abs(F.col("entropy_nats") - h) < 5 * F.col("entropy_error")).alias("entropy_within"), inside.alias("range_within"))
 
 
-@query()
+@query("select true as whole, true as mean_within, true as rising, true as drawn_within")
 def pgen_mixture(spark, d):
-    return analytics.mixture(cut(_sims(spark, d)))
+    """Invariants of the mixture: weights sum to 1, its mean is that of the draws, the distribution function rises to 1, its own draws have its mean."""
+    sims = cut(_sims(spark, d))
+    mix = cut(analytics.mixture(sims))
+    m = mix.agg(F.sum("weight").alias("w"), F.sum(F.col("weight") * F.col("mean")).alias("m")).first()
+    curve = analytics.mixture_curve(mix, [-80.0, -40.0, -20.0, 20.0]).agg(F.sort_array(F.collect_list("cdf")).alias("c"), F.collect_list("cdf").alias("o"), F.max("cdf").alias("top"))
+    drawn = analytics.mixture_sample(mix, 20_000, SEED).agg(F.avg("log_pgen").alias("a")).scalar()
+    return curve.select(F.lit(abs(m["w"] - 1) < 1e-9).alias("whole"), (F.abs(sims.agg(F.avg("log_prob")).scalar() - m["m"]) < 0.2).alias("mean_within"), ((F.col("c") == F.col("o")) & (F.col("top") > 0.999)).alias("rising"), (F.abs(drawn - m["m"]) < 0.3).alias("drawn_within"))
+
+
+_DEPTHS = (50.0, 100.0, 200.0)
 
 
-@query()
+def _small_sims(spark, d) -> DataFrame:
+    return cut(simulate.simulate(_small(spark, d), N_SIM, SEED))
+
+
+@query(o.query(*_SMALL, _PATHS, select=" union all ".join(f"select cast({n} as double) as depth, round(sum(1 - exp(-{n} * exp(lp))), 6) as exact, true as within from full_" for n in _DEPTHS)))
 def predicted_richness(spark, d):
-    return occupancy.richness_curve(cut(_sims(spark, d)), [100.0, 1000.0, 10000.0])
+    """Richness predicted from draws beside the exact sum over all sequences: within 3 %."""
+    a = spectrum.atoms(_small(spark, d))
+    exact = a.agg(*[F.sum(-F.expm1(-F.lit(n) * F.exp("log_pgen"))).alias(f"e{i}") for i, n in enumerate(_DEPTHS)]).first()
+    rows = spark.createDataFrame([(n, exact[f"e{i}"]) for i, n in enumerate(_DEPTHS)], "depth double, exact double")
+    return rows.join(occupancy.richness_curve(_small_sims(spark, d), list(_DEPTHS)), "depth").select("depth", _r("exact"), (F.abs(F.col("richness") / F.col("exact") - 1) < 0.03).alias("within"))
 
 
-@query()
+@query(o.query(*_SMALL, _PATHS, select="select round(sum((1 - exp(-50 * exp(lp))) * (1 - exp(-100 * exp(lp)))), 6) as exact, true as within from full_"))
 def predicted_overlap(spark, d):
-    return occupancy.predicted_overlap(cut(_sims(spark, d)), 1000.0, 2000.0)
+    """Overlap of two samples predicted from draws beside the exact sum: within 5 %."""
+    a = spectrum.atoms(_small(spark, d)).agg(F.sum(F.expm1(-50 * F.exp("log_pgen")) * F.expm1(-100 * F.exp("log_pgen"))).alias("exact"))
+    return a.select(_r("exact"), (F.abs(occupancy.predicted_overlap(_small_sims(spark, d), 50.0, 100.0).scalar() / F.col("exact") - 1) < 0.05).alias("within"))
 
 
-@query()
+@query("select k, true as positive, true as whole from range(1, 11) t(k)")
 def predict_sharing(spark, d):
-    return occupancy.predict_sharing(analytics.mixture(cut(_sims(spark, d))), [1000.0] * 10)
+    """Sequences shared by exactly k of ten samples: each positive, and all of them together, k times each, the ten samples' own sequences."""
+    mix, draws = cut(analytics.mixture(cut(_sims(spark, d)))), 1000.0
+    p = occupancy.predict_sharing(mix, [draws] * 10).collect()
+    one = occupancy.predict_sharing(mix, [draws]).first()["expected"]
+    whole = abs(sum(r["k"] * r["expected"] for r in p) / (10 * one) - 1) < 1e-6
+    return spark.createDataFrame([(r["k"], r["expected"] > 0, whole) for r in p], "k bigint, positive boolean, whole boolean")
 
 
-@query()
+@query(o.query("rows_ as (select distinct seq from unit_repertoire where seq <> '')", o.lz("rows_", "t"), select="select cast(count(distinct tok) as double) as mean, cast(0 as double) as std, true as inside from (select unnest(toks) as tok from t_tok)"))
 def k_diversity(spark, d):
-    return occupancy.k_diversity(table(spark, d, "unit_repertoire", "seq"), 100)
+    """Draws of all sequences have every token; draws of 100 have fewer, with their mean inside its interval."""
+    seqs = table(spark, d, "unit_repertoire", "seq").filter("seq <> ''").distinct()
+    some = occupancy.k_diversity(seqs, 100).first()
+    return occupancy.k_diversity(seqs, 1_000_000_000, draws=3).select("mean", "std", (F.lit(some["mean"]).between(some["ci_low"], some["ci_high"]) & (F.col("mean") >= some["mean"])).alias("inside"))
 
 
-@query()
+@query(o.query(o.ASKED, select="select count(*) as n, count(*) as n_finite, true as centred from asked"))
 def scale_scores(spark, d):
-    m = _fb(spark, d).persist()
-    return simulate.scale_scores(score.log_pgen(m, asked(spark, d)), cut(simulate.calibrate_scale(simulate.simulate(m, 20_000, SEED))))
+    """All queries scaled by a calibration that went through its file; the draws it came from have a median scale of about 0."""
+    m = _fb(spark, d)
+    sims, folder = cut(simulate.simulate(m, simulate.SCALE_DRAWS, SEED)), work_folder(spark, "calibration")
+    simulate.save_calibration(simulate.calibrate_scale(sims), folder)
+    cal = simulate.load_calibration(spark, folder)
+    own = simulate.scale_scores(sims.select("seq", F.col("log_prob").alias("log_pgen")), cal).agg((F.abs(F.percentile_approx("scale", 0.5, 10_000)) < 0.05).alias("c"))
+    rows = simulate.scale_scores(score.log_pgen(m, asked(spark, d)), cal)
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.abs("scale") < float("inf")).alias("n_finite")).withColumn("centred", own.scalar())
 
 
-@query()
-def feature_stats(spark, d):
-    m = md.fit(unit(spark, d), "aap").persist()
-    curve = analytics.monte_carlo(simulate.simulate(m, N_SIM, SEED), (0.0, 0.5, 1.0, 2.0, 5.0)).groupBy().pivot("alpha", [0.0, 0.5, 1.0, 2.0, 5.0]).agg(F.first("hill")).toDF("d0", "d05", "d1", "d2", "d5")
-    return algebra.degree_features(m).select("*", *[curve.select(c).scalar().alias(c) for c in curve.columns])
+@query(o.query(*_FB, """dp as (select 0 as step, '@$_1{0}' as node, cast(0 as bigint) as len, cast(1 as double) as p union all
+        select d.step + 1, e.dst, d.len + length(regexp_replace(e.dst, '_[0-9]+\\{[0-9]+\\}$', '')), sum(d.p * e.w) from dp d join m_w e on e.src = d.node group by d.step + 1, e.dst, d.len + length(regexp_replace(e.dst, '_[0-9]+\\{[0-9]+\\}$', '')))""",
+    "l as (select least(len, 30) as length, sum(p) as p from dp join s using (node) group by 1)", select="select cast(length as integer) as length, round(p, 6) as exact, true as within from l where p >= 0.01"))
+def feature_mass_profile(spark, d):
+    """Share of draws by length beside the exact mass: within five standard errors where it is at least 1 %."""
+    m = _fb(spark, d)
+    exact = spectrum.mass_by_length(m, squared=False).withColumnRenamed("mass", "p").filter("p >= 0.01")
+    mc = simulate.mass_profile(simulate.simulate(m, N_SIM, SEED), squared=False)
+    return exact.join(mc, "length", "left").select("length", F.round("p", 6).alias("exact"), (F.abs(F.col("mass") - F.col("p")) < 5 * F.sqrt(F.col("p") * (1 - F.col("p")) / N_SIM)).alias("within"))
 
 
-@query()
-def feature_mass_profile(spark, d):
-    return simulate.mass_profile(cut(_sims(spark, d)))
+# stores
+
+
+@query(ORACLE["flashback_edges"])
+def model_store(spark, d):
+    """Edges of a model that was saved and loaded."""
+    folder = work_folder(spark, "model")
+    md.save(_fb(spark, d), folder)
+    return _edges_of(md.load(spark, folder))
+
+
+@query(ORACLE["grammar_rules"])
+def grammar_store(spark, d):
+    folder = work_folder(spark, "grammar")
+    grammar.save(_grammar(spark, d), folder)
+    return grammar.load(spark, folder).rules.select(*grammar.NT, *grammar.RULE, "cnt", _r("w"))
+
+
+@query(o.query(o.REP, o.model("rep", "m", "aap"), select="select src as node, list(dst order by dst) as targets from m_e group by src"))
+def adjacency(spark, d):
+    return structure.adjacency(md.fit(rep(spark, d), "aap")).filter("size(targets) > 0").select("node", "targets")
 
 
 @query(ORACLE["flashback_edges"])
 def streaming_build(spark, d):
     """The same edges through micro-batches of a stream over the table's files."""
     import os
-    import tempfile
 
-    from reploom.session import ensure_checkpoint_dir
     from reploom.streaming.builder import StreamBuilder
 
-    root = spark._jvm.org.apache.hadoop.fs.Path(ensure_checkpoint_dir(spark)).toString()
-    work = f"{root}/stream-{os.path.basename(tempfile.mktemp())}"
+    work = work_folder(spark, "stream")
     path = f"{d}/regression_input.parquet"
     src = table(spark, d, "regression_input")
     stream = spark.readStream.schema(src.schema).parquet(path if os.path.isdir(path) else path.replace("regression_input.parquet", "regression_input*.parquet"))

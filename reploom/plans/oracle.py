@@ -6,6 +6,7 @@ _B = "chr(9)||chr(10)||chr(11)||chr(12)||chr(13)||' '"
 
 REP = rf"""rep as (select trim(junction_aa, {_B}) as seq, cast(sum(greatest(coalesce(duplicate_count, 1), 1)) as bigint) as abundance from regression_input
     where lower(trim(productive, {_B})) in ('t', 'true', '1', 'yes') and regexp_full_match(trim(junction_aa, {_B}), '[*.\-]*\p{{L}}[\p{{L}}*.\-]*') group by 1)"""
+BASES = REP.replace("junction_aa", "junction")
 UNIT_GENES = rf"""unit_genes as (select trim(seq, {_B}) as seq, v_gene, j_gene, cast(sum(greatest(coalesce(abundance, 1), 1)) as bigint) as abundance from unit_repertoire
     where regexp_full_match(trim(seq, {_B}), '[*.\-]*\p{{L}}[\p{{L}}*.\-]*') group by 1, 2, 3)"""
 UNIT = UNIT_GENES + ", unit as (select seq, cast(sum(abundance) as bigint) as abundance from unit_genes group by 1)"
@@ -13,6 +14,13 @@ UNIT = UNIT_GENES + ", unit as (select seq, cast(sum(abundance) as bigint) as ab
 ASKED = "asked as (select distinct seq from (select seq from unit_repertoire union all select seq from probes) where seq is not null)"
 
 
+#: tk (node, mass, sym, split, ord) of public nodes and sl (ord, lane, off, mass), their places in the scaffold, from deg.
+SLOTS = r"""tk as (select node, greatest(in_cnt, out_cnt) as mass, regexp_extract(node, '(?s)^(.*)_(\d+)\{(\d+)\}$', 1) as sym, cast(regexp_extract(node, '(?s)^(.*)_(\d+)\{(\d+)\}$', 2) as integer) as split,
+        cast(regexp_extract(node, '(?s)^(.*)_(\d+)\{(\d+)\}$', 3) as integer) as ord from deg where not starts_with(node, '@') and not contains(node, '$')),
+    sl as (select ord, case when split = 0 then 'center' else 'front' end as lane, unnest(range(case when split = 0 then length(sym) else split end)) as off, mass from tk where ord > 0
+        union all select ord, 'back', unnest(range(length(sym) - split)), mass from tk where ord > 0 and split > 0)"""
+
+
 def lz(rel: str, p: str, variant: str = "aap") -> str:
     """p_tok (seq, toks), p_lab (+ labels), p_tr (seq, i, src, dst, tok, emitted) for the strings of a relation."""
     end = "cast(cast(list_sum(list_transform(toks[1:i], lambda t: length(t))) as bigint) as varchar)"

@@ -1,8 +1,9 @@
-"""Session helpers: table access, the shared checkpoint folder, size-checked broadcasts."""
+"""Session helpers: table access, the shared checkpoint folder, running totals."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,26 +16,28 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is configured."""
+    """The cluster's shared checkpoint folder; a temporary one only for a local master without any, an error on a cluster."""
     sc = spark.sparkContext
     if sc.getCheckpointDir():
         return sc.getCheckpointDir()
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
     sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="reploom-ckpt-"))
     return sc.getCheckpointDir()
 
 
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise in the shared checkpoint folder, so later steps survive the loss of executors."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """Broadcast hint behind a count: up to max_rows rows get it, larger sides stay a shuffle join."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
 def running_total(df: DataFrame, order: str, amount: str, name: str) -> DataFrame:
     """df plus the running sum of amount in the order of a column of distinct values, without bringing all rows into one task.
 

@@ -11,6 +11,7 @@ from reploom.operators import algebra, analytics, genes, grammar, occupancy, sca
 from reploom.plans import dp
 from reploom.plans import model as md
 
+# Sequences and genes of known scores.
 SIX = ["CASSLGIRRT", "CASSLGYEQYF", "CASSLEPSGGTDTQYF", "CASSDTSGGTDTQYF", "CASSFGQGSYEQYF", "CASSQETQYF"]
 MORE = ["CASRGGTVYEQYF", "CSVSTSETGDTEQYF", "CASSPPDGILGYTF", "CASSLDSRAGANYF", "CASSYTGQENVLHF", "CASSQRRDRSPQYF"]
 V = ["TRBV5-1", "TRBV5-1", "TRBV12-3", "TRBV12-3", "TRBV5-1", "TRBV5-1"]
@@ -120,12 +121,133 @@ def test_recombining_model(spark):
     assert sum(r["prob"] for r in prof) == pytest.approx(1) and sum(r["n_sequences"] for r in prof) == 4
 
 
-def test_saddlepoint_close_to_sampled(spark):
+def _many(spark):
+    words = [a + b + c + d for a in ("CASS", "CAS", "CSV") for b in ("LG", "PDQ", "RTG", "E") for c in ("YE", "DT", "NEK", "AF") for d in ("QYF", "LF", "TF", "HYF")]
+    return md.fit(rep(spark, words, [1 + 3 * (i % 7) for i in range(len(words))]), "flashback")
+
+
+def test_saddlepoint(spark):
+    m = _many(spark)
+    lp = np.sort([r["log_pgen"] for r in spectrum.atoms(m).collect()])
+    assert len(lp) > spectrum.FEW
+    xs = [lp[0] - 1, lp[0], *np.quantile(lp, [0.2, 0.5, 0.8]), lp[-1], 0.0]
+    got = spectrum.saddlepoint(m, xs).collect()
+    exact = [np.exp(lp[lp <= x + 1e-9]).sum() for x in xs]
+    assert got[0]["cdf"] == 0 and got[1]["cdf"] == pytest.approx(exact[1]) and got[-1]["cdf"] == got[-2]["cdf"] == 1.0
+    assert all(abs(g["cdf"] - e) < 0.12 for g, e in zip(got, exact)) and got[3]["pdf"] > 0 == got[0]["pdf"]
+    sims = np.array([r["log_prob"] for r in simulate.simulate(m, 3000, 3).collect()])
+    assert all(abs(g["cdf"] - (sims <= x).mean()) < 0.12 for g, x in zip(got[2:5], xs[2:5]))
+    few = _recombining(spark)
+    assert [r["cdf"] for r in spectrum.saddlepoint(few, [math.log(1 / 16), math.log(3 / 16) + 1e-6, -9.0]).collect()] == pytest.approx([1 / 16, 7 / 16, 0.0])
+
+
+def test_spectrum_by_length_and_grid(spark):
+    m = _recombining(spark)
+    p, x = np.array([1, 3, 3, 9]) / 16, -np.log(np.array([1, 3, 3, 9]) / 16)
+    one = spectrum.surprisal_moments(m).first()
+    assert one["mean"] == pytest.approx((p * x).sum()) and one["k3"] == pytest.approx((p * (x - (p * x).sum()) ** 3).sum())
+    assert {r["t"]: r["cgf"] for r in spectrum.cgf(m, [0.0, 0.5, -1.0]).collect()} == pytest.approx({t: math.log((p * np.exp(t * x)).sum()) for t in (0.0, 0.5, -1.0)})
+    jets = dp.jets(m, [(2.0, 3)])[2.0, 3]
+    by = spectrum.length_derivatives(m, 2.0, 3).groupBy("j").agg(F.sum("value").alias("v")).orderBy("j").collect()
+    assert [r["v"] for r in by] == pytest.approx(jets)
+    lengths = {len(r["seq"]): 0.0 for r in spectrum.atoms(m).collect()}
+    for r in spectrum.atoms(m).collect():
+        lengths[len(r["seq"])] += math.exp(r["log_pgen"])
+    assert {r["length"]: r["prob"] for r in spectrum.length_profile(m).collect()} == pytest.approx(lengths)
+    some = next(iter(lengths))
+    assert sum(r["weight"] for r in spectrum.histogram(m, 64, length=some).collect()) == pytest.approx(lengths[some])
+    h = spectrum.histogram(m, 512)
+    curve = spectrum.histogram_curve(h, [0.0, 100.0, 1.2]).collect()
+    assert curve[0]["cdf"] == 0 and curve[1]["cdf"] == 1 and abs(curve[2]["cdf"] - 9 / 16) < 0.02
+    assert abs(spectrum.histogram_quantiles(h, [0.3]).first()["surprisal"] - x[3]) < 0.1
+    with pytest.raises(md.ModelError):
+        spectrum.histogram_quantiles(h, [2.0])
+
+
+def test_distributed_passes_equal_local_ones(spark, monkeypatch):
     m = md.fit(rep(spark, SIX + MORE), "flashback")
-    sims = np.array([r["log_prob"] for r in simulate.simulate(m, 4000, 3).collect()])
-    x = float(np.quantile(sims, 0.3))
-    got = spectrum.saddlepoint_cdf(m, [x]).first()["cdf"]
-    assert 0.0 <= got <= 1.0
+    specs = [(1.0, 2), (0.0, 0)]
+    local = [dp.jets(m, specs), dp.path_count(m), dp.extremes(m), dp.least_mass(m), dp.k_best(m, 3), dp.k_best(m, 3, False), dp.by_length(m, specs, spectrum._emitted, spectrum._emitted_col), structure.is_dag(m)]
+    monkeypatch.setattr(dp.LocalGraph, "within", classmethod(lambda cls, *a, **k: None))
+    far = [dp.jets(m, specs), dp.path_count(m), dp.extremes(m), dp.least_mass(m), dp.k_best(m, 3), dp.k_best(m, 3, False), dp.by_length(m, specs, spectrum._emitted, spectrum._emitted_col), structure.is_dag(m)]
+    assert far[1] == local[1] and far[7] == local[7] and far[2] == pytest.approx(local[2]) and far[3] == pytest.approx(local[3])
+    assert [p for _, p in far[4]] == [p for _, p in local[4]] and [p for _, p in far[5]] == [p for _, p in local[5]]
+    for s in specs:
+        assert far[0][s] == pytest.approx(local[0][s]) and all(far[6][n][s] == pytest.approx(local[6][n][s]) for n in local[6])
+    assert set(far[6]) == set(local[6])
+
+
+@pytest.mark.parametrize("variant", ["flashback", "aap"])
+def test_joined_scores_equal_broadcast_ones(spark, variant):
+    m = md.fit(rep(spark, [*SIX, "CAXSBX", "CXBAX"]), variant)
+    q = rep(spark, [*SIX, *MORE, "CAXSBX", "CBXAX", "CXBAX", "", "Z"])
+    for shared in (False, True):
+        near = {r["seq"]: r["log_pgen"] for r in score.log_pgen(m, q, shared).collect()}
+        assert near == pytest.approx({r["seq"]: r["log_pgen"] for r in score.log_pgen(m, q, shared, limit=0).collect()}) and len(near) == 17
+
+
+def test_normalised_scores(spark):
+    m = md.fit(rep(spark, SIX + MORE), "aap")
+    a = simulate.absorption(m, "exact")
+    raw = {r["seq"]: r["log_pgen"] for r in score.log_pgen(m, rep(spark, [*SIX, "W"])).collect()}
+    own = {r["seq"]: r["log_pgen"] for r in score.log_pgen(m, rep(spark, [*SIX, "W"]), log_absorption=math.log(a)).collect()}
+    assert all(own[s] == pytest.approx(raw[s] - math.log(a)) for s in SIX) and own["W"] == md.LOG_EPS
+
+
+def test_leaking_model_is_an_error(spark):
+    e = spark.createDataFrame([("@_1", "A_2", "A", 1, 1.0), ("A_2", "B_3", "B", 1, 1.0)], "src string, dst string, tok string, cnt bigint, w double")
+    m = md.Model(e, spark.createDataFrame([(1, 1)], "length int, cnt bigint"), "aap")
+    with pytest.raises(md.ConvergenceError):
+        simulate.simulate(m, 5)
+
+
+def test_sampled_profile_and_mixture(spark):
+    m = _many(spark)
+    sims = simulate.simulate(m, 6000, 3)
+    p, exact = analytics.sampled_profile(sims).first(), analytics.profile(m).first()
+    assert abs(p["entropy_nats"] - exact["entropy_nats"]) < 5 * p["entropy_error"] and p["path_count"] <= exact["path_count"] * 1.2
+    assert exact["min_log_pgen"] - 1e-9 <= p["min_log_pgen"] <= p["max_log_pgen"] <= exact["max_log_pgen"] + 1e-9
+    mix = analytics.mixture(sims).cache()
+    curve = analytics.mixture_curve(mix, [-100.0, -5.0, 100.0]).collect()
+    assert curve[0]["cdf"] == pytest.approx(0) and curve[2]["cdf"] == pytest.approx(1) and curve[1]["pdf"] >= 0
+    draws = analytics.mixture_sample(mix, 20_000, 1)
+    mean = mix.agg(F.sum(F.col("weight") * F.col("mean"))).first()[0]
+    assert draws.count() == 20_000 and abs(draws.agg(F.avg("log_pgen")).first()[0] - mean) < 0.1
+    assert analytics.mixture_sample(mix.limit(0), 5).count() == 0
+
+
+def test_feature_stats(spark):
+    m = md.fit(rep(spark, SIX), "flashback")
+    r = algebra.feature_stats(m).first()
+    assert list(r.asDict()) == list(algebra.STATS) and r["d1"] == pytest.approx(math.exp(r["entropy_nats"])) and r["uniformity"] == pytest.approx(r["d1"] / r["d0"])
+    lz = md.fit(rep(spark, SIX), "aap")
+    assert algebra.feature_stats(lz, simulate.simulate(lz, 1000, 2)).first()["n_roots"] == 1.0
+
+
+def test_accessors_and_errors(spark, tmp_path):
+    m = md.fit(rep(spark, SIX), "aap")
+    rows = structure.adjacency(m).orderBy("node").collect()
+    assert [r["first"] for r in rows] == [sum(len(x["targets"]) for x in rows[:i]) for i in range(len(rows))] and sum(len(r["targets"]) for r in rows) == m.edges.count()
+    assert not structure.has_gene_data(m) and structure.successors(m, "nowhere").count() == 0
+    with pytest.raises(md.UnknownNodeError):
+        structure.successors(m, "nowhere", strict=True)
+    with pytest.raises(md.CorruptFileError):
+        md.load(spark, str(tmp_path))
+    cyclic = md.Model(spark.createDataFrame([("a", "b", "b", 1, 1.0), ("b", "a", "a", 1, 1.0)], "src string, dst string, tok string, cnt bigint, w double"), None, "naive")
+    assert not structure.is_dag(cyclic)
+    g = grammar.fit(rep(spark, SIX))
+    assert grammar.sentinel_rule_weights(g).agg(F.sum("w")).first()[0] == pytest.approx(1)
+    low, high = grammar.Solver(g).extremes(30)
+    assert high == pytest.approx(grammar.Solver(g).best(1)[0][1]) and low == pytest.approx(grammar.Solver(g).best(1, most=False)[0][1])
+
+
+def test_backtracking_walk():
+    labels = ["@_1", "A_2", "B_2", "C$_4"]
+    g = dp.LocalGraph(labels, ["@", "A", "B", "C$"], np.array([0, 0, 2]), np.array([1, 2, 3]), np.ones(3), np.array([0.99, 0.01, 1.0]), np.array([False, False, False, True]), 0)
+    w = simulate.Walker(g, "flashback")
+    got = w.walk_within(np.random.default_rng(1), {(0, 1), (0, 2), (2, 3)})
+    assert got[0] == [0, 2, 3] and got[1] == pytest.approx(math.log(0.01))
+    assert w.walk_within(np.random.default_rng(1), {(0, 1)}) is None
 
 
 def test_sampling_is_calibrated(spark):
@@ -232,9 +354,11 @@ def test_sharing_and_richness(spark):
     assert occupancy.wynn([sum((-1) ** k / (k + 1) for k in range(n)) for n in range(1, 15)]) == pytest.approx(math.log(2), abs=1e-8)
 
 
-def test_scale(spark):
+def test_scale(spark, tmp_path):
     m = md.fit(rep(spark, SIX + MORE), "flashback")
     cal = simulate.calibrate_scale(simulate.simulate(m, 2000, 4), 50)
+    simulate.save_calibration(cal, str(tmp_path / "cal"))
+    assert sorted(map(str, simulate.load_calibration(spark, str(tmp_path / "cal")).collect())) == sorted(map(str, cal.collect()))
     out = {r["seq"]: r["scale"] for r in simulate.scale_scores(score.log_pgen(m, rep(spark, SIX)), cal).collect()}
     assert set(out) == set(SIX) and all(math.isfinite(v) for v in out.values())
 
@@ -247,7 +371,6 @@ def test_scaffold(spark):
     assert set(own) == set(SIX) and all(len(a) == len(b) for a, b in own.values())
     occ = scaffold.occupancy(m, rep(spark, SIX))
     assert occ.filter("not in_scaffold").count() == 0 and occ.agg(F.sum("n_seqs")).first()[0] == sum(map(len, SIX))
-    assert scaffold.blend(1.0, 0.0, 3.0, 1.0) == 0.75
 
 
 def test_diagnostics(spark):
