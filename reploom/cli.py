@@ -32,9 +32,12 @@ def _emit(df: DataFrame, as_json: bool) -> None:
 
 
 def _read(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
-    rows, stats = reader.read_sequences(spark, args.input, {"flashback": "aap"}.get(args.variant, args.variant) if hasattr(args, "variant") else "aap", format=getattr(args, "format", None))
+    if args.input == "-":
+        args.input = reader.spool(spark, sys.stdin.buffer)
+    variant = {"flashback": "aap"}.get(args.variant, args.variant) if hasattr(args, "variant") else "aap"
+    rows, stats = reader.read_sequences(spark, args.input, variant, format=getattr(args, "format", None), expect=args.expect_format, strict=args.strict)
     log.info("records: %s", stats.first().asDict())
-    spec = reader.detect(args.input)
+    spec = reader.detect(args.input, variant)
     if getattr(args, "variant", "aap") in ("aap", "flashback") and spec.alphabet == "nucleotide":
         log.warning("the input looks like nucleotides, the variant is for amino acids")
     return rows
@@ -52,6 +55,8 @@ def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="reploom", description=__doc__)
     p.add_argument("--json", action="store_true")
     p.add_argument("-v", "--verbose", action="store_true")
+    p.add_argument("--expect-format", choices=reader.FORMATS, help="an error if the input is of another kind")
+    p.add_argument("--strict", action="store_true", help="refuse inputs that mix lines with and without counts")
     sub = p.add_subparsers(dest="command", required=True)
 
     def add(name: str, *args: tuple, **kw) -> argparse.ArgumentParser:
@@ -60,7 +65,7 @@ def parser() -> argparse.ArgumentParser:
             c.add_argument(*a[0], **a[1])
         return c
 
-    inp, mod = (("input",), {}), (("model",), {})
+    inp, mod = (("input",), {"help": "a file, a folder, or - for standard input"}), (("model",), {})
     seed, n = (("--seed",), {"type": int, "default": 42}), (("-n",), {"type": int, "default": 1000})
     variant = (("--variant",), {"default": "aap", "choices": [*md.VARIANTS, "flashback"]})
     add("build", inp, (("output",), {}), variant, (("--smoothing",), {"type": float, "default": 0.0}), (("--genes",), {"action": "store_true"}), (("--format",), {}))
@@ -88,19 +93,25 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
         keep = ["seq", "abundance", "v_gene", "j_gene"] if args.genes else ["seq", "abundance"]
         md.save(md.fit(rep.groupBy(*[k for k in keep if k != "abundance"]).agg(F.sum("abundance").alias("abundance")), args.variant, args.smoothing, args.genes), args.output)
     elif args.command == "validate-input":
-        report, issues = reader.validate(spark, args.input)
+        report, issues = reader.validate(spark, reader.spool(spark, sys.stdin.buffer) if args.input == "-" else args.input)
         out(report)
-        out(issues.groupBy("issue").count().orderBy("issue"))
+        out(issues.orderBy("record"))
         return 0 if report.first()["ok"] else 2
     elif args.command == "info":
-        out(structure.summary(m))
+        size = structure.summary(m).withColumn("has_gene_data", F.lit(structure.has_gene_data(m)))
+        out(size.crossJoin(analytics.entropy(m)).crossJoin(analytics.support(m)) if m.variant == "flashback" else size)  # one row each
     elif args.command == "score":
         out(score.log_pgen(m, _read(spark, args), log_absorption=math.log(simulate.absorption(m, args.absorption))))
     elif args.command == "simulate":
         out(simulate.simulate(m, args.n, args.seed))
     elif args.command == "diversity":
         orders = tuple(float(x) for x in args.orders.split(","))
-        out(analytics.hill_curve(m, orders) if m.variant == "flashback" else analytics.monte_carlo(simulate.simulate(m, 10_000, args.seed), orders))
+        if m.variant == "flashback":
+            curve, top = analytics.hill_curve(m, orders), analytics.dynamic_range(m)
+        else:
+            sims = cut(simulate.simulate(m, 10_000, args.seed))
+            curve, top = analytics.monte_carlo(sims, orders), analytics.sampled_profile(sims)
+        out(curve.unionAll(top.select(F.lit(float("inf")), "d_infinity")))
     elif args.command == "compare":
         out(algebra.compare(m, md.load(spark, args.other)))
     elif args.command == "decompose":

@@ -2,6 +2,7 @@
 
 import bz2
 import gzip
+import io
 import lzma
 
 import pytest
@@ -72,7 +73,54 @@ def test_validate(spark, tmp_path):
     p = tmp_path / "a.fasta"
     p.write_text(FILES["a.fasta"])
     report, issues = reader.validate(spark, str(p))
-    assert tuple(report.first()) == ("fasta", "amino_acid", 3, 2, False) and [tuple(r) for r in issues.collect()] == [("CASS!!LG", "malformed")]
+    assert tuple(report.first()) == ("fasta", "fasta", "amino_acid", 3, 2, False) and [tuple(r) for r in issues.collect()] == [(2, "CASS!!LG", "malformed")]
+    q = tmp_path / "m.txt"
+    q.write_text("CASS\nCASF\t2\nC1\n")
+    report, issues = reader.validate(spark, str(q))
+    assert report.first()["mode"] == "mixed" and not report.first()["ok"]
+
+
+def test_folders(spark, tmp_path):
+    d = tmp_path / "d"
+    d.mkdir()
+    (d / "a.txt").write_text("CASS\nCASF\n")
+    (d / "b.txt").write_text("CASY\t2\n")
+    (d / "c.txt").write_text("")
+    (d / "_skip").write_text(">x\n")
+    assert reader.read_sequences(spark, str(d), expect="seqcount")[0].count() == 3 and reader.read_simple(spark, str(d)).columns == ["seq"]
+    (d / "e.fa").write_text(">x\nCASS\n")
+    with pytest.raises(reader.FormatError):
+        reader.detect(str(d))
+    assert reader.detect_input_kind(f"file://{d}/e.fa") == "fasta" and reader.read_sequences(spark, f"file://{d}/e.fa")[0].count() == 1
+
+
+def test_spooled_stream(spark):
+    path = reader.spool(spark, io.BytesIO(gzip.compress(FILES["airr.tsv"].encode())))
+    assert sorted((r["seq"], r["abundance"]) for r in reader.read_sequences(spark, path)[0].collect()) == READ["airr.tsv"]
+
+
+@pytest.mark.parametrize("codec", [None, "xz"])
+def test_quoted_line_breaks(spark, tmp_path, codec):
+    text = 'junction_aa,note,duplicate_count\nCASS,"two\nlines, one field",3\nCASF,plain,2\n'
+    p = tmp_path / ("t.csv" + (".xz" if codec else ""))
+    p.write_bytes(lzma.compress(text.encode()) if codec else text.encode())
+    assert sorted((r["seq"], r["abundance"]) for r in reader.read_sequences(spark, str(p))[0].collect()) == [("CASF", 2), ("CASS", 3)]
+
+
+def test_tables_and_fastq_are_split(spark, tmp_path):
+    conf = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(conf)
+    seqs = ["ACGT"[i % 4] * (i % 7 + 1) + "TTGCA" for i in range(400)]
+    (tmp_path / "q.fastq").write_text("".join(f"@r{i}\n{s}\n+\n{'@' * len(s)}\n" for i, s in enumerate(seqs)))
+    (tmp_path / "t.tsv").write_text("junction_aa\tnote\n" + "".join(f'{s}\t"n"\n' for s in seqs))
+    try:
+        for size in ("700b", "61b", "4096b"):
+            spark.conf.set(conf, size)
+            got = reader.read_sequences(spark, str(tmp_path / "q.fastq"))[0]
+            assert sorted(r["seq"] for r in got.collect()) == sorted(seqs)
+        assert reader.read_raw(spark, reader.detect(str(tmp_path / "t.tsv"))).rdd.getNumPartitions() > 1
+    finally:
+        spark.conf.set(conf, before)
 
 
 def test_alphabet():
