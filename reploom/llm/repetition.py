@@ -9,6 +9,7 @@ suspects are measured exactly, which decides.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 
 import numpy as np
@@ -26,11 +27,12 @@ STATS = ("bound_share", "line_share", "sentence_share", "phrase_share", "top_wor
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SENTENCE = regex.compile(r"[.!?。！？\n]+")
 _WORD = regex.compile(r"\w+")
+_NO_LETTER = re.compile(r"[\W_]+")  # all that str.isalnum denies
 
 
 def letters(text: str) -> str:
     """Lower case, letters and digits of any script only."""
-    return "".join(filter(str.isalnum, text.lower()))
+    return _NO_LETTER.sub("", text.lower())
 
 
 def _mix(x: np.ndarray) -> np.ndarray:

@@ -286,6 +286,12 @@ def test_repetition_forest(spark):
     assert repetition.found(repetition.measured(empty), repetition.train(empty)).count() == 0
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(max_size=40))
+def test_letters_of_any_text(text):
+    assert repetition.letters(text) == "".join(c for c in text.lower() if c.isalnum())
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from(["abcdefghij", "The cat. ", "日本語", "xyz", "q"]), max_size=40))
 def test_bound_is_never_below_the_share(parts):
