@@ -169,20 +169,23 @@ def labels_arrow(variant: str) -> Callable[[Column], Column]:
     return run.asNondeterministic()
 
 
+def grammar_rules(s: str | None) -> list[tuple[bool, str, str, str, int, int, str, str]]:
+    """The derivation of one string as grammar_steps; none for the empty one."""
+    levels = parse_peel(f"{START}{s}{END}") if s else []
+    rules = []
+    for i, (f, b, last) in enumerate(levels):
+        inner = None if last else levels[i + 1]
+        kind = "internal" if not last else "leaf_pair" if b else "leaf_single" if len(f) == 1 else "leaf_run"
+        rules.append((i == 0, f[0], (b or f)[-1], kind, len(f), len(b), inner[0][0] if inner else "", (inner[1] or inner[0])[-1] if inner else ""))
+    return rules
+
+
 def grammar_steps_arrow(s: Column) -> Column:
     """As grammar_steps, by an Arrow function."""
+    names = ("is_start", "a", "z", "kind", "a_run", "z_run", "dst_a", "dst_z")
 
     @F.pandas_udf("array<struct<is_start:boolean,a:string,z:string,kind:string,a_run:int,z_run:int,dst_a:string,dst_z:string>>")
     def run(seqs: pd.Series) -> pd.Series:
-        out = []
-        for x in seqs:
-            levels = parse_peel(f"{START}{x}{END}") if x else []
-            steps = []
-            for i, (f, b, last) in enumerate(levels):
-                inner = None if last else levels[i + 1]
-                kind = "internal" if not last else "leaf_pair" if b else "leaf_single" if len(f) == 1 else "leaf_run"
-                steps.append({"is_start": i == 0, "a": f[0], "z": (b or f)[-1], "kind": kind, "a_run": len(f), "z_run": len(b), "dst_a": inner[0][0] if inner else "", "dst_z": (inner[1] or inner[0])[-1] if inner else ""})
-            out.append(steps)
-        return pd.Series(out)
+        return pd.Series([[dict(zip(names, r)) for r in grammar_rules(x)] for x in seqs])
 
     return run.asNondeterministic()(s)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from reploom.operators import analytics
 from reploom.operators.structure import degrees
 from reploom.plans.dp import LocalGraph
-from reploom.plans.model import Model, ModelError, count_edges, labelled, transitions
+from reploom.plans.model import Model, ModelError, count_edges
 
 _KEY = ["src", "dst", "tok"]
 
@@ -59,7 +59,7 @@ def posterior(model: Model, rep: DataFrame, kappa: float) -> Model:
     """
     if kappa < 0:
         raise ModelError("kappa is negative")
-    new = transitions(labelled(rep, model.variant), "abundance").groupBy("src", "dst").agg(F.sum("abundance").alias("c"))
+    new = count_edges(rep, model.variant).groupBy("src", "dst").agg(F.sum("cnt").alias("c"))
     nodes = model.nodes()
     known = new.join(nodes.withColumnRenamed("node", "src"), "src", "left_semi").join(nodes.withColumnRenamed("node", "dst"), "dst", "left_semi")
     n = known.groupBy("src").agg(F.sum("c").alias("n"))
@@ -75,7 +75,7 @@ def without(model: Model, rep: DataFrame) -> Model:
 
     Lengths stay; a run-peeling node left without a way on becomes a sink.
     """
-    gone = count_edges(labelled(rep, model.variant)).withColumnRenamed("cnt", "gone")
+    gone = count_edges(rep, model.variant).withColumnRenamed("cnt", "gone")
     both = model.edges.select(*_KEY, "cnt").join(gone, _KEY, "left")
     return model.with_edges(both.select(*_KEY, (F.col("cnt") - F.coalesce("gone", F.lit(0))).alias("cnt")).filter("cnt > 0"))
 

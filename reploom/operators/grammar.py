@@ -7,14 +7,16 @@ solved on the driver from the rules, whose number is checked.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reploom.functions import tokens as tk
-from reploom.plans.model import LOG_EPS, ModelError, count_lengths, spread
+from reploom.plans.model import FLUSH, LOG_EPS, ModelError, count_lengths, spread
 from reploom.session import cut
 
 NT = ["is_start", "a", "z"]
@@ -42,6 +44,30 @@ def steps(rep: DataFrame, *keep: str) -> DataFrame:
     return spread(rep.filter("seq <> ''")).select(*keep, F.posexplode(tk.grammar_steps_arrow(F.col("seq"))).alias("i", "s")).select(*keep, "i", "s.*")
 
 
+def count_rules(rep: DataFrame, abundance_mode: str) -> DataFrame:
+    """(NT, RULE, cnt): weighted counts of (seq, abundance), counted in Arrow batches first; the rules number far fewer than the steps."""
+    schema = pa.schema([("is_start", pa.bool_()), ("a", pa.string()), ("z", pa.string()), ("kind", pa.string()), ("a_run", pa.int32()), ("z_run", pa.int32()), ("dst_a", pa.string()), ("dst_z", pa.string()), ("cnt", pa.float64())])
+
+    def rows(counts: dict[tuple, float]) -> pa.RecordBatch:
+        cols = [*zip(*counts)] if counts else [()] * 8
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip([*cols, list(counts.values())], schema)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[tuple, float] = {}
+        for batch in batches:
+            for s, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for rule in tk.grammar_rules(s):
+                    counts[rule] = counts.get(rule, 0.0) + n
+            if len(counts) >= FLUSH:
+                yield rows(counts)
+                counts = {}
+        yield rows(counts)
+
+    src = spread(rep.filter("seq <> '' and abundance is not null").select("seq", _weight(abundance_mode).alias("wt")))
+    keys = "is_start boolean, a string, z string, kind string, a_run int, z_run int, dst_a string, dst_z string"
+    return src.mapInArrow(run, f"{keys}, cnt double").groupBy(*NT, *RULE).agg(F.sum("cnt").alias("cnt"))
+
+
 def _weighted(counts: DataFrame, smoothing: float) -> DataFrame:
     w = Window.partitionBy(*NT)
     return counts.withColumn("w", (F.col("cnt") + F.lit(smoothing)) / (F.sum("cnt").over(w) + F.lit(smoothing) * F.count(F.lit(1)).over(w)))
@@ -51,7 +77,7 @@ def fit(rep: DataFrame, abundance_mode: str = "linear", smoothing: float = 0.0,
     """Grammar of (seq, abundance). abundance_mode none, linear or log weighs a sequence 1, its abundance or log(1 + abundance)."""
     if abundance_mode not in ("none", "linear", "log") or smoothing < 0:
         raise ModelError("unknown abundance mode or negative smoothing")
-    counts = steps(rep.withColumn("wt", _weight(abundance_mode)), "wt").groupBy(*NT, *RULE).agg(F.sum("wt").alias("cnt"))
+    counts = count_rules(rep, abundance_mode)
     return Grammar(cut(_weighted(counts, smoothing)), count_lengths(rep), smoothing, backoff)
 
 
@@ -250,7 +276,7 @@ def posterior(g: Grammar, rep: DataFrame, kappa: float, abundance_mode: str = "l
     """Dirichlet update per non-terminal on the prior's rules; steps that the prior lacks count towards nothing. kappa + n = 0 keeps the prior."""
     if kappa < 0:
         raise ModelError("kappa is negative")
-    new = steps(rep.withColumn("wt", _weight(abundance_mode)), "wt").groupBy(*NT, *RULE).agg(F.sum("wt").alias("c"))
+    new = count_rules(rep, abundance_mode).withColumnRenamed("cnt", "c")
     e = g.rules.join(new, [*NT, *RULE], "left").na.fill(0.0, ["c"])
     n = F.sum("c").over(Window.partitionBy(*NT))
     e = e.withColumn("n", n)
@@ -261,7 +287,7 @@ def posterior(g: Grammar, rep: DataFrame, kappa: float, abundance_mode: str = "l
 
 def without(g: Grammar, rep: DataFrame, abundance_mode: str = "linear") -> Grammar:
     """Counts less those of the sequences; rules without any left are dropped. A start without rules is an error."""
-    gone = steps(rep.withColumn("wt", _weight(abundance_mode)), "wt").groupBy(*NT, *RULE).agg(F.sum("wt").alias("c"))
+    gone = count_rules(rep, abundance_mode).withColumnRenamed("cnt", "c")
     left = g.rules.join(gone, [*NT, *RULE], "left").select(*NT, *RULE, (F.col("cnt") - F.coalesce("c", F.lit(0.0))).alias("cnt")).filter("cnt > 1e-9")
     left = cut(left)
     if left.filter("is_start").isEmpty():

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -116,9 +118,36 @@ class Model:
         return self
 
 
-def count_edges(rows: DataFrame) -> DataFrame:
-    """(src, dst, tok, cnt) of labelled rows; one shuffle, combined on the map side."""
-    return transitions(rows, "abundance").groupBy("src", "dst", "tok").agg(F.sum("abundance").alias("cnt"))
+#: Different edges that a task counts before it hands them on.
+FLUSH = 200_000
+
+
+def count_edges(rep: DataFrame, variant: str) -> DataFrame:
+    """(src, dst, tok, cnt) of (seq, abundance): parsed and counted in Arrow batches, bounded tables of counts, then one shuffle of those."""
+    if variant not in (*VARIANTS, "flashback"):
+        raise ModelError(f"unknown variant {variant}")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[tuple[str, str, str], int] = {}
+        for batch in batches:
+            for s, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                labels = tk.peel_labels(s) if variant == "flashback" else None
+                toks, labels = (labels, labels) if labels is not None else tk.lz_nodes(s, variant != "naive")
+                for i in range(1, len(labels)):
+                    key = labels[i - 1], labels[i], toks[i]
+                    counts[key] = counts.get(key, 0) + n
+            if len(counts) >= FLUSH:
+                yield _rows(counts)
+                counts = {}
+        yield _rows(counts)
+
+    parsed = spread(rep.select("seq", "abundance").filter("seq is not null and abundance is not null")).mapInArrow(run, "src string, dst string, tok string, cnt bigint")
+    return parsed.groupBy("src", "dst", "tok").agg(F.sum("cnt").alias("cnt"))
+
+
+def _rows(counts: dict[tuple[str, str, str], int]) -> pa.RecordBatch:
+    src, dst, tok = zip(*counts) if counts else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(src, pa.string()), pa.array(dst, pa.string()), pa.array(tok, pa.string()), pa.array(counts.values(), pa.int64())], names=["src", "dst", "tok", "cnt"])
 
 
 def count_lengths(rep: DataFrame) -> DataFrame:
@@ -136,7 +165,7 @@ def fit(rep: DataFrame, variant: str = "aap", smoothing: float = 0.0, genes: boo
     if genes and not {"v_gene", "j_gene"} <= set(rep.columns):
         raise NoGeneDataError("both v_gene and j_gene are needed")
     plain = rep.groupBy("seq").agg(F.sum("abundance").alias("abundance")) if genes else rep
-    model = Model(cut(weighted(count_edges(labelled(plain.select("seq", "abundance"), variant)), smoothing)), count_lengths(rep), variant, smoothing)
+    model = Model(cut(weighted(count_edges(plain, variant), smoothing)), count_lengths(rep), variant, smoothing)
     if not genes:
         return model
     known = rep.filter("v_gene is not null and j_gene is not null")

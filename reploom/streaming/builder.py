@@ -32,7 +32,7 @@ class StreamBuilder:
         self.next = max(self.next, number + 1)
         a = F.coalesce(F.col("abundance").cast("bigint"), F.lit(1)) if "abundance" in batch.columns else F.lit(1).cast("bigint")
         rep = batch.select("seq", a.alias("abundance")).filter("seq <> '' and abundance > 0").groupBy("seq").agg(F.sum("abundance").alias("abundance"))
-        count_edges(labelled(rep, self.variant)).write.mode("overwrite").parquet(f"{self.state}/edges/batch={number}")
+        count_edges(rep, self.variant).write.mode("overwrite").parquet(f"{self.state}/edges/batch={number}")
         count_lengths(rep).write.mode("overwrite").parquet(f"{self.state}/lengths/batch={number}")
 
     def attach(self, stream: DataFrame, checkpoint: str, **options) -> StreamingQuery:
