@@ -3,8 +3,9 @@
 Candidates come from pivotal grams and none is missed: of tau + 1 disjoint grams of a string, tau edits leave at least one whole, so a
 string within tau edits holds that gram, shifted by no more than the edits on either side. Every string posts all its grams in inverted
 lists; the longer one of a pair probes with tau + 1 of its own, the rarest disjoint ones, so that grams many strings share (the ends) are
-rarely asked for. No list is dropped, cut or sampled. The exact edit distance verifies what is left. Similar strings are grouped by
-connected components, and copies of a string are joined to its group, never expanded into pairs.
+rarely asked for. No list is dropped, cut or sampled. Before a hit becomes a pair that is shuffled, the letters next to the gram have to
+fit as well (see pivotal), so the pairs follow the similar strings and not the square of all. The exact edit distance verifies what is
+left. Similar strings are grouped by connected components, and copies of a string are joined to its group, never expanded into pairs.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, LongType
 
 from reploom.session import cut
 
@@ -22,6 +24,8 @@ GRAM, GRAM_WIDE = 8, 5
 BITS, SAMPLE, LONG = 17, 4000, 2000
 #: Places of a string that share a key with a gram.
 SPAN = 16
+#: Letters of a context, two bits each, and regions of it that are looked at.
+CONTEXT, DEPTH = 31, 3
 
 
 def bases(c: Column) -> Column:
@@ -101,8 +105,79 @@ def rarest(x: np.ndarray, q: int, m: int, weight: np.ndarray) -> np.ndarray:
     return out
 
 
-def pivots(texts: DataFrame, q: int, max_rate: float) -> DataFrame:
-    """(sid, n, s, tau, j, pos): one more disjoint gram than the edits allowed, the rarest; j counts from 0, pos from 1.
+def _contexts(s: str) -> np.ndarray:
+    """At i the CONTEXT letters that end with the i-th, i from 0 to all, the last in the low bits.
+
+    Two bits tell A, C, G and T apart; other letters share them, which may only make strings look more alike.
+    """
+    x = np.zeros(len(s) + 1, dtype=np.int64)
+    x[1:] = (_points(s) >> 1) & 3
+    done = 1
+    while done < CONTEXT:  # x holds done letters at each place
+        more = min(done, CONTEXT - done)
+        before = np.zeros_like(x)
+        before[done:] = x[: max(0, len(x) - done)]
+        x |= (before & ((1 << (2 * more)) - 1)) << (2 * done)
+        done += more
+    return x
+
+
+def _alike(x: np.ndarray) -> np.ndarray:
+    """Equal letters before the first difference of two contexts, x being their exclusive or."""
+    return (np.bitwise_count(((x - 1) & ~x).view(np.uint64)) >> 1).astype(np.int64)
+
+
+def fits(x: np.ndarray, y: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether for every e up to DEPTH the nearest sizes[:, e] letters of context x come from y by at most e edits.
+
+    Furthest reach by edits and diagonal; the other end of y is free.
+    """
+
+    def on(i: np.ndarray, d: int) -> np.ndarray:
+        i = np.minimum(i, CONTEXT)
+        return np.minimum(i + _alike((x >> (2 * i)) ^ (y >> np.minimum(2 * (i + d), 2 * CONTEXT))), CONTEXT)
+
+    reach = {0: on(np.zeros(len(x), dtype=np.int64), 0)}
+    good = reach[0] >= sizes[:, 0]
+    for e in range(1, DEPTH + 1):
+        now = {}
+        for d in range(-e, e + 1):
+            ways = [reach[k] + step for k, step in ((d, 1), (d - 1, 0), (d + 1, 1)) if k in reach]
+            now[d] = on(np.maximum.reduce(ways), d)
+        reach = now
+        good &= np.maximum.reduce(list(reach.values())) >= sizes[:, e]
+    return good
+
+
+@F.pandas_udf(ArrayType(LongType()))
+def _posted(s: pd.Series, q: pd.Series) -> pd.Series:
+    """Contexts in the order of postings: the string's end for each of its beginnings, the longest first, then what lies before each gram."""
+
+    def one(t: str, k: int) -> np.ndarray:
+        x = _contexts(t)
+        return np.concatenate([np.full(min(CONTEXT, len(t)) - k + 1, x[-1]), x[: len(t) - k + 1]])
+
+    return pd.Series([one(t, k) for t, k in zip(s, q)], dtype=object)
+
+
+@F.pandas_udf(ArrayType(LongType()))
+def _asked(s: pd.Series, at: pd.Series) -> pd.Series:
+    """The context before each place; of the first, the string's end."""
+
+    def one(t: str, places: np.ndarray) -> np.ndarray:
+        x = _contexts(t)
+        return np.concatenate([x[-1:], x[np.asarray(places[1:], dtype=np.int64) - 1]])
+
+    return pd.Series([one(t, p) for t, p in zip(s, at)], dtype=object)
+
+
+@F.pandas_udf(BooleanType())
+def _fitting(x: pd.Series, y: pd.Series, sizes: pd.Series) -> pd.Series:
+    return pd.Series(fits(x.to_numpy(), y.to_numpy(), (sizes.to_numpy()[:, None] >> (5 * np.arange(DEPTH + 1))) & 31))
+
+
+def placed(texts: DataFrame, q: int, max_rate: float) -> DataFrame:
+    """(sid, n, s, tau, at): one more disjoint gram than the edits allowed, the rarest; at are their places from 1, in order.
 
     Strings over LONG letters take evenly spaced grams.
     """
@@ -127,24 +202,63 @@ def pivots(texts: DataFrame, q: int, max_rate: float) -> DataFrame:
 
     tau = F.floor(F.col("n") * F.lit(max_rate) + F.lit(1e-9)).cast("int")
     some = texts.withColumn("tau", tau).filter(F.col("n") >= q * (F.col("tau") + 1))
-    return some.select("sid", "n", "s", "tau", F.posexplode(chosen("s", "tau")).alias("j", "pos"))
+    return some.select("sid", "n", "s", "tau", chosen("s", "tau").alias("at"))
+
+
+def pivots(texts: DataFrame, q: int, max_rate: float) -> DataFrame:
+    """(sid, n, s, tau, j, pos): the grams of placed, one a row; j counts from 0, pos from 1."""
+    return placed(texts, q, max_rate).select("sid", "n", "s", "tau", F.posexplode("at").alias("j", "pos"))
+
+
+def _sizes(q: int) -> Column:
+    """Letters of the context that come from it with at most e edits, e from 0 to DEPTH, five bits each."""
+    end = lambda k: F.element_at("at", k + 1) + F.lit(q - 1)  # noqa: E731  # the last letter of region k
+    packed = F.lit(0)
+    for e in range(DEPTH + 1):
+        start = F.when(F.col("j") > e, end(F.greatest(F.col("j") - 1 - e, F.lit(0)))).otherwise(0)
+        last = F.lit(0) if e == 0 else F.col("n") - end(F.greatest(F.col("tau") - e, F.lit(0)))
+        size = F.when(F.col("j") > 0, F.col("pos") - 1 - start).otherwise(last)
+        packed = packed + F.shiftleft(F.least(size, F.lit(CONTEXT - e)), 5 * e)
+    return packed.cast("int")
+
+
+def _near(x: Column, y: Column, sizes: Column) -> Column:
+    """The first two sizes of fits, in the join itself: as many letters alike, and with one edit."""
+    same = lambda u, v: F.shiftright(F.bit_count((u.bitwiseXOR(v) - F.lit(1)).bitwiseAND(F.bitwise_not(u.bitwiseXOR(v)))), 1)
+    after = lambda c, k: F.call_function("shiftright", c, (k * 2).cast("int"))
+    t = same(x, y)
+    whole, one = sizes.bitwiseAND(F.lit(31)), F.shiftright(sizes, 5).bitwiseAND(F.lit(31))
+    edit = (same(after(x, t + 1), after(y, t + 1)) >= one - t - 1) | (same(after(x, t + 1), after(y, t)) >= one - t - 1) | (same(after(x, t), after(y, t + 1)) >= one - t)
+    return (t >= whole) & ((t >= one) | edit)
 
 
 def pivotal(texts: DataFrame, q: int, max_rate: float = 0.1) -> DataFrame:
     """(a, b): every pair of string ids within the edits allowed to the longer one, and some more; a is the longer one.
 
-    Some pivot, the j-th, is whole with at most j edits before it and at most tau - j behind it, which bounds its shift in the other string.
+    The pivots part the longer string into tau + 1 regions, each from behind the last pivot to the end of its own; the last one goes on to the
+    string's end. Let e(i) be the edits in region i, an inserted letter counting where the next one lies; they sum to tau at most.
+    If e(0) > 0, take the first j at which e(0) + ... + e(j) < j + 1: region j is whole, j edits lie before it, at most tau - j behind it, and
+    the l regions before it hold at most l edits, for every l. If e(0) = 0, look for such a j from region 1 on: it has j - 1 edits before it,
+    at most tau - j + 1 behind it and the same bound on the regions before it. If there is none, the edits are exactly tau, the last l
+    regions hold at most l of them, for every l, and region 0 is the beginning of both strings. So a pivot j > 0 is asked for as a
+    gram, with its shift and the regions before it as filters; the first one as a beginning, with the string's last regions.
     """
     gram = lambda at: F.substring(F.col("s"), at, F.lit(q))
-    every = texts.filter(F.col("n") >= q).select("sid", "n", "s", F.explode(F.sequence(F.lit(1), F.col("n") - q + 1)).alias("p"))
-    posted = every.select(F.xxhash64(gram(F.col("p")), F.floor(F.col("p") / SPAN)).alias("key"), F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("p").alias("pb"))
-    own = pivots(texts, q, max_rate)
-    reach = F.sequence(F.floor(F.greatest(F.col("pos") - F.col("j"), F.lit(1)) / SPAN), F.floor((F.col("pos") + F.least(F.col("j"), F.col("tau") - F.col("j"))) / SPAN))
-    probe = own.select("sid", "n", "tau", "j", "pos", gram(F.col("pos")).alias("g"), F.explode(reach).alias("span"))
-    probe = probe.select(F.xxhash64("g", "span").alias("key"), F.col("sid").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), "j", (F.col("tau") - F.col("j")).alias("behind"))
+    head = lambda size: F.xxhash64(F.substring(F.col("s"), F.lit(1), size), F.lit(-1).cast("bigint"))
+    every = texts.filter(F.col("n") >= q).select("sid", "n", "s", F.posexplode(_posted("s", F.lit(q))).alias("i", "x"))
+    every = every.withColumn("p", F.col("i") - F.least(F.lit(CONTEXT), F.col("n")) + F.lit(q))  # up to 0: beginnings of q - p letters
+    key = F.when(F.col("p") > 0, F.xxhash64(gram(F.col("p")), F.floor(F.col("p") / SPAN))).otherwise(head(F.lit(q) - F.col("p")))
+    posted = every.select(key.alias("key"), F.col("sid").alias("b"), F.col("n").alias("nb"), F.greatest("p", F.lit(0)).alias("pb"), F.coalesce("x", F.lit(0)).alias("y"))
+    own = placed(texts, q, max_rate).withColumn("xs", _asked("s", "at")).select("*", F.posexplode("at").alias("j", "pos"))
+    reach = F.sequence(F.floor(F.greatest(F.col("pos") - F.col("j"), F.lit(1)) / SPAN), F.floor((F.col("pos") + F.least(F.col("j"), F.col("tau") - F.col("j") + 1)) / SPAN))
+    probe = own.select("sid", "n", "tau", "j", "pos", F.element_at("xs", F.col("j") + 1).alias("x"), _sizes(q).alias("sizes"), gram(F.col("pos")).alias("g"), head(F.least(F.col("pos") + q - 1, F.lit(CONTEXT))).alias("head"), F.explode(F.when(F.col("j") > 0, reach).otherwise(F.array(F.lit(-1).cast("bigint")))).alias("span"))
+    key = F.when(F.col("j") > 0, F.xxhash64("g", "span")).otherwise(F.col("head"))
+    probe = probe.select(key.alias("key"), F.col("sid").alias("a"), F.col("n").alias("na"), F.when(F.col("j") > 0, F.col("pos")).otherwise(0).alias("pa"), "j", "tau", F.coalesce("x", F.lit(0)).alias("x"), "sizes")
     shorter = (F.col("nb") < F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("b") < F.col("a")))
-    near = (F.abs(F.col("pa") - F.col("pb")) <= F.col("j")) & (F.abs((F.col("na") - F.col("pa")) - (F.col("nb") - F.col("pb"))) <= F.col("behind"))
-    return probe.join(posted, "key").filter(shorter & near).select("a", "b").repartition("a").distinct()
+    before, behind = F.abs(F.col("pa") - F.col("pb")), F.abs((F.col("na") - F.col("pa")) - (F.col("nb") - F.col("pb")))
+    shift = (before <= F.col("j")) & (behind <= F.col("tau") - F.col("j") + 1) & (before + behind <= F.col("tau"))
+    hits = probe.join(posted, "key").filter(shorter & shift & _near(F.col("x"), F.col("y"), F.col("sizes")))
+    return hits.filter(_fitting("x", "y", "sizes")).select("a", "b").repartition("a").distinct()
 
 
 def similar(texts: DataFrame, max_rate: float = 0.1, letters: int = 4) -> DataFrame:

@@ -308,3 +308,62 @@ def test_no_case_depends_on_the_sample(spark):
     x = stats.select(*repetition.STATS).toPandas().to_numpy(dtype=float)
     forest = repetition.IsolationForest().fit(x).calibrate(x, np.zeros(len(x), dtype=bool))  # as a sample without a case
     assert {r[0] for r in repetition.found(stats, forest).collect()} == set(range(100, 106))
+
+
+def test_pairs_do_not_follow_the_square_of_all_strings(spark):
+    rng = random.Random(21)
+    ends = "TGTGCAAGTTCC", "ACTCCTGGCACCCAATAC"
+    texts = [ends[0] + "".join(rng.choice("ACGT") for _ in range(rng.randrange(60, 110))) + ends[1] for _ in range(1500)]
+    near = [mutate(rng, t, rng.randrange(1, 8)) for t in texts[:50]]
+    df = spark.createDataFrame([(t,) for t in texts + near], "junction string")
+    s = neardup.strings(df, F.col("junction"), 90)
+    found = {tuple(r) for r in neardup.similar(s).select("sa", "sb").collect()}
+    assert {(min(p), max(p)) for p in zip(texts, near) if p[0] != p[1] and min(map(len, p)) >= 90} <= found
+    assert neardup.pivotal(s, 8).count() <= 2 * len(found) + 50
+
+
+def test_edits_however_spread_over_regions(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "gram_weights", lambda texts, q: np.ones(1 << neardup.BITS, dtype=np.float32))
+    rng = random.Random(22)
+    base = "".join(rng.choice("ACGT") for _ in range(124))
+    df = spark.createDataFrame([(9999, base, 124)], "sid bigint, s string, n int")
+    stop = [p + 7 for p in neardup.placed(df, 8, 0.1).first()["at"]][:-1] + [124]
+    regions = [base[a:b] for a, b in zip([0, *stop], stop)]
+    spread = [[0] + [1] * 12, [1] * 12 + [0], [0, 2] * 6 + [0], [2, 0] * 6 + [0], [0, 8, 4] + [0] * 10, [0] * 10 + [4, 8, 0], [1] * 6 + [0] + [1] * 6, [0, 0, 3] * 4 + [0]]
+    spread += [[cuts.count(i) for i in range(13)] for cuts in ([rng.randrange(13) for _ in range(12)] for _ in range(150))]
+    texts = set()
+    for e in spread:
+        for drop in (0, 0.3, 1):
+            out = []
+            for region, k in zip(regions, e):
+                letters = list(region)
+                for i in rng.sample(range(len(letters)), min(k, len(letters))):
+                    letters[i] = "" if rng.random() < drop else rng.choice([c for c in "ACGT" if c != letters[i]])
+                out.append("".join(letters))
+            texts.add("".join(out))
+    texts = sorted(texts - {base})
+    every = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)] + [(9999, base, 124)], "sid bigint, s string, n int")
+    got = {r["b"] for r in neardup.pivotal(every, 8).filter("a = 9999").collect()}
+    assert got >= {i for i, t in enumerate(texts) if edit(base, t) <= 12} and len(got) > 400
+
+
+def test_contexts_and_their_edits(spark):
+    rng = random.Random(23)
+    rows = []
+    for _ in range(400):
+        a = "".join(rng.choice("ACGT") for _ in range(rng.randrange(0, 60)))
+        b = mutate(rng, a, min(len(a), rng.randrange(0, 6))) if rng.random() < 0.8 else "".join(rng.choice("ACGT") for _ in range(40))
+        x, y = (int(neardup._contexts(t)[-1]) for t in (a, b))
+        assert x == sum("ACTG".index(c) << (2 * i) for i, c in enumerate(a[::-1][: neardup.CONTEXT]))
+        sizes = [min(len(a), 31 - e, rng.randrange(4, 12) * (e + 1)) for e in range(neardup.DEPTH + 1)]
+        least = [min(edit(a[::-1][:n], b[::-1][:k]) for k in range(min(len(b), n + 8) + 1)) for n in sizes]
+        rows.append((x, y, sum(n << (5 * e) for e, n in enumerate(sizes)), all(k <= e for e, k in enumerate(least)), all(k <= e for e, k in enumerate(least[:2])), len(b) >= 45))
+    x, y, z = (np.array([r[i] for r in rows]) for i in range(3))
+    sizes = (z[:, None] >> (5 * np.arange(neardup.DEPTH + 1))) & 31
+    got = neardup.fits(x, y, sizes).tolist()
+    df = spark.createDataFrame([(i, *r[:3]) for i, r in enumerate(rows)], "i int, x bigint, y bigint, sizes int")
+    first = {r["i"]: r["ok"] for r in df.select("i", neardup._near(F.col("x"), F.col("y"), F.col("sizes")).alias("ok")).collect()}
+    for i, (*_, true, true2, whole) in enumerate(rows):
+        assert got[i] >= true and first[i] >= true2  # nothing that fits is refused
+        assert not whole or (got[i] == true and first[i] == true2)  # and where y is long enough, nothing else passes
+    assert 50 < sum(got) < 350
