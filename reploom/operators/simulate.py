@@ -1,7 +1,8 @@
 """Sampling from a model: walks in Arrow batches over a broadcast model.
 
 Work is dealt in numbered chunks, each with its own generator seeded by (seed, chunk), so results do not depend on the cluster. A model is
-broadcast only below a checked number of edges; beyond it sampling is refused.
+broadcast only below a checked number of edges. Beyond it the walks of a run-peeling model are joined with its edges step by step, with numbers drawn
+from (seed, walk, step); that of an LZ model, whose valid edges depend on the walk, is refused.
 """
 
 from __future__ import annotations
@@ -9,14 +10,17 @@ from __future__ import annotations
 import math
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from reploom.functions import tokens as tk
 from reploom.plans.dp import MAX_STEPS, LocalGraph
 from reploom.plans.model import LOG_EPS, ConvergenceError, Model, ModelError
+from reploom.session import cut
 
 CHUNK = 512
 #: Walks that may leak one after another before drawing again is given up.
@@ -162,10 +166,12 @@ def _absorbed(model: Model, shared, seed: int) -> float:
 def simulate(model: Model, n: int, seed: int = 42, normalise: str = "mc", graph: LocalGraph | None = None) -> DataFrame:
     """(i, seq, log_prob, n_tokens) for i in 0..n-1. LZ walks that leak are drawn again and log_prob is divided by the absorption.
 
-    A model whose walks leak MAX_REDRAWS times in a row, or of which none is absorbed, is an error.
+    A model whose walks leak MAX_REDRAWS times in a row, or of which none is absorbed, is an error. Run-peeling models above MAX_WALKER edges are walked by joins.
     """
     if model.variant == "naive":
         raise ModelError("the naive variant may be cyclic and is not sampled")
+    if model.variant == "flashback" and (graph := LocalGraph.within(model, graph, MAX_WALKER)) is None:
+        return _walk_joined(model, n, seed)
     g = graph or LocalGraph.of(model, MAX_WALKER)
     if g.root < 0:
         raise ModelError("the model is empty")
@@ -194,6 +200,45 @@ def simulate(model: Model, n: int, seed: int = 42, normalise: str = "mc", graph:
     return _chunks(model, n).mapInPandas(run, SCHEMA)
 
 
+def _guide(model: Model) -> DataFrame:
+    """(src, place, dst, lo, hi, lw, fan): the edges of a node by their share lo..hi of the unit interval, in label order.
+
+    A node with n edges has n places; an edge has a row for each place that its share touches, less than 2 n rows a node, so a draw meets two rows on
+    average whatever the node. fan is the number of places of dst, null where walks end.
+    """
+    by, upto = Window.partitionBy("src"), Window.partitionBy("src").orderBy("dst")
+    e = model.edges.select("src", "dst", "w").withColumn("to", F.sum("w").over(upto.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    e = e.withColumn("z", F.max("to").over(by)).withColumn("n", F.count(F.lit(1)).over(by)).withColumn("from", F.coalesce(F.lag("to").over(upto), F.lit(0.0)))
+    e = e.select("src", "dst", "n", (F.col("from") / F.col("z")).alias("lo"), (F.col("to") / F.col("z")).alias("hi"), F.log(F.col("w") / F.col("z")).alias("lw"))
+    fans = model.edges.groupBy(F.col("src").alias("dst")).agg(F.count(F.lit(1)).alias("fan"))
+    places = F.explode(F.sequence(F.floor(F.col("lo") * F.col("n")), F.least(F.floor(F.col("hi") * F.col("n")), F.col("n") - 1)))
+    return e.join(fans, "dst", "left").select("src", places.alias("place"), "dst", "lo", "hi", "lw", "fan")
+
+
+def _walk_joined(model: Model, n: int, seed: int) -> DataFrame:
+    """simulate for a run-peeling model of any size: all walks go on together, each step one join; the edges are dealt to the executors once."""
+    spark = model.spark
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    fan = model.edges.filter(F.col("src") == model.root).count()
+    if not fan:
+        raise ModelError("the model is empty")
+    guide = _guide(model).repartition(parts, "src", "place").persist()
+    state, done = spark.range(n).select(F.col("id").alias("i"), F.lit(model.root).alias("node"), F.lit(fan).cast("bigint").alias("fan"), F.lit(0.0).alias("log_prob"), F.array(F.lit(model.root)).alias("path")), []
+    for t in range(MAX_STEPS):
+        u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "i", F.lit(t)), 11) * F.lit(2.0**-53)
+        drawn = state.select("i", "node", "log_prob", "path", u.alias("u"), F.least(F.floor(u * F.col("fan")), F.col("fan") - 1).alias("at")).hint("shuffle_hash")
+        hit = drawn.join(guide, (F.col("node") == F.col("src")) & (F.col("at") == F.col("place")) & (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi")))
+        state = cut(hit.select("i", F.col("dst").alias("node"), "fan", (F.col("log_prob") + F.col("lw")).alias("log_prob"), F.array_append("path", F.col("dst")).alias("path")))
+        done.append(state.filter("fan is null"))
+        state = state.filter("fan is not null")
+        if state.isEmpty():
+            break
+    else:
+        raise ConvergenceError("a walk is longer than the limit: the model is cyclic")
+    guide.unpersist()
+    return reduce(DataFrame.unionAll, done).coalesce(parts).select("i", tk.flashback_reverse(F.col("path")).alias("seq"), "log_prob", F.size("path").alias("n_tokens"))
+
+
 def simulate_genes(model: Model, n: int, seed: int = 42, v_gene: str | None = None, j_gene: str | None = None, attempts: int = 10) -> DataFrame:
     """(i, seq, log_prob, n_tokens, v_gene, j_gene): walks over edges that carry both genes, the pair drawn from the joint unless given.
 

@@ -13,6 +13,7 @@ from math import comb
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,17 +45,22 @@ class LocalGraph:
 
     @classmethod
     def of(cls, model: Model, limit: int = MAX_LOCAL) -> LocalGraph:
-        """Collect a model; an error beyond limit edges."""
-        pdf = model.edges.select("src", "dst", "tok", "cnt", "w").limit(limit + 1).toArrow().to_pandas()
-        if len(pdf) > limit:
+        """Collect a model; an error beyond limit edges, before any is collected. Labels come once a batch, edges as numbers."""
+        edges = model.edges.select("src", "dst", "tok", F.col("cnt").cast("bigint"), "w")
+        if edges.count() > limit:
             raise TooLargeError(f"more than {limit} edges do not fit a local sweep")
-        pdf = pdf.sort_values(["src", "dst"], ignore_index=True)
-        labels = sorted({*pdf["src"], *pdf["dst"]})
+        batches = edges.mapInArrow(_packed, "labels array<string>, toks array<string>, src binary, dst binary, cnt binary, w binary").toArrow().to_pylist()
+        seen: dict[str, str] = {}
+        for b in batches:
+            seen.update((x, t) for x, t in zip(b["labels"], b["toks"]) if t is not None or x not in seen)
+        labels = sorted(seen)
         at = {x: i for i, x in enumerate(labels)}
-        src, dst = pdf["src"].map(at).to_numpy(dtype=np.int64), pdf["dst"].map(at).to_numpy(dtype=np.int64)
-        toks = [""] * len(labels)
-        for i, t in zip(dst.tolist(), pdf["tok"]):
-            toks[i] = t
+        numbers = [np.array([at[x] for x in b.pop("labels")], dtype=np.int64) for b in batches]
+        src, dst = (_joined([k[np.frombuffer(b.pop(c), dtype=np.int32)] for k, b in zip(numbers, batches)], np.int64) for c in ("src", "dst"))
+        order = np.lexsort((dst, src))
+        src, dst = src[order], dst[order]
+        cnt, w = (_joined([np.frombuffer(b.pop(c), dtype=t) for b in batches], t)[order] for c, t in (("cnt", np.int64), ("w", np.float64)))
+        toks = [seen[x] or "" for x in labels]
         if model.variant == "flashback":
             sink = np.ones(len(labels), dtype=bool)
             sink[src] = False
@@ -63,7 +69,7 @@ class LocalGraph:
         root = at.get(model.root, -1)
         if root >= 0:
             toks[root] = "@" if model.variant != "flashback" else model.root
-        return cls(labels, toks, src, dst, pdf["cnt"].to_numpy(), pdf["w"].to_numpy(dtype=float), sink, root)
+        return cls(labels, toks, src, dst, cnt, w, sink, root)
 
     @classmethod
     def within(cls, model: Model, graph: LocalGraph | None = None, limit: int = MAX_LOCAL) -> LocalGraph | None:
@@ -105,6 +111,21 @@ class LocalGraph:
             raise ModelError(_CYCLIC)
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row a batch of edges: its labels with the tokens of those that are targets, and the columns as bytes, nodes by their place among the labels."""
+    for b in batches:
+        both, n = pa.concat_arrays([b.column(0), b.column(1)]).dictionary_encode(), b.num_rows
+        at = both.indices.to_numpy().astype(np.int32)
+        toks = np.full(len(both.dictionary), None, dtype=object)
+        toks[at[n:]] = b.column(2).to_numpy(zero_copy_only=False)
+        raw = (at[:n], at[n:], b.column(3).to_numpy(), b.column(4).to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array([both.dictionary.to_pylist()], pa.list_(pa.string())), pa.array([toks.tolist()], pa.list_(pa.string())), *[pa.array([x.tobytes()], pa.binary()) for x in raw]], names=["labels", "toks", "src", "dst", "cnt", "w"])
+
+
+def _joined(parts: list[np.ndarray], dtype) -> np.ndarray:
+    return np.concatenate(parts) if parts else np.zeros(0, dtype=dtype)
+
+
 def _ranges(starts: np.ndarray, nodes: np.ndarray) -> np.ndarray:
     """The concatenated edge numbers of some nodes."""
     first, n = starts[nodes], starts[nodes + 1] - starts[nodes]

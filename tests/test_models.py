@@ -379,3 +379,33 @@ def test_diagnostics(spark):
     assert d["n_types"] == 7 and d["coverage_types"] == pytest.approx(6 / 7) and d["kl"] == pytest.approx(d["cross_entropy"] - d["entropy"])
     p = score.repertoire_perplexity(score.log_pgen(m, rep(spark, [*SIX, "WWWW"]))).first()
     assert math.isinf(p["perplexity"]) and p["entropy_rate"] > 0
+
+
+def test_joined_walks(spark, monkeypatch):
+    """A model above the bound of a broadcast: every walk once, scored alike, its frequencies those of the model, the same when drawn again."""
+    m = _many(spark)
+    monkeypatch.setattr(simulate, "MAX_WALKER", 10)
+    sims = simulate.simulate(m, 6000, 3).persist()
+    rows = {r["i"]: r["seq"] for r in sims.collect()}
+    assert sorted(rows) == list(range(6000)) and rows == {r["i"]: r["seq"] for r in simulate.simulate(m, 6000, 3).collect()}
+    scores = {r["seq"]: r["log_pgen"] for r in score.log_pgen(m, sims).collect()}
+    assert all(r["log_prob"] == pytest.approx(scores[r["seq"]]) for r in sims.collect())
+    exact = {r["seq"]: math.exp(r["log_pgen"]) for r in spectrum.atoms(m).collect()}
+    drawn = {s: list(rows.values()).count(s) / 6000 for s in set(rows.values())}
+    assert all(abs(drawn.get(s, 0) - p) < 5 * math.sqrt(p * (1 - p) / 6000) for s, p in exact.items())
+    empty = md.Model(m.edges.limit(0), m.lengths, "flashback")
+    monkeypatch.setattr(simulate, "MAX_WALKER", -1)
+    with pytest.raises(md.ModelError):
+        simulate.simulate(empty, 5)
+
+
+def _above_the_bound(spark, monkeypatch, name):
+    """Rows of a query whose model is above the bound of a broadcast."""
+    from reploom.plans.model_queries import QUERIES
+
+    monkeypatch.setattr(simulate, "MAX_WALKER", 10)
+    return [r.asDict() for r in QUERIES[name](spark, "/root/testdata/sf0.001").collect()]
+
+
+def test_hill_mc_above_the_bound(spark, monkeypatch):
+    assert [r["within"] for r in _above_the_bound(spark, monkeypatch, "hill_mc")] == [True, True]
