@@ -409,3 +409,8 @@ def _above_the_bound(spark, monkeypatch, name):
 
 def test_hill_mc_above_the_bound(spark, monkeypatch):
     assert [r["within"] for r in _above_the_bound(spark, monkeypatch, "hill_mc")] == [True, True]
+
+
+def test_sampled_profile_above_the_bound(spark, monkeypatch):
+    r = _above_the_bound(spark, monkeypatch, "sampled_profile")[0]
+    assert r["n_walks"] == 10_000 and r["entropy_within"] and r["range_within"]
