@@ -414,3 +414,8 @@ def test_hill_mc_above_the_bound(spark, monkeypatch):
 def test_sampled_profile_above_the_bound(spark, monkeypatch):
     r = _above_the_bound(spark, monkeypatch, "sampled_profile")[0]
     assert r["n_walks"] == 10_000 and r["entropy_within"] and r["range_within"]
+
+
+def test_scale_scores_above_the_bound(spark, monkeypatch):
+    r = _above_the_bound(spark, monkeypatch, "scale_scores")[0]
+    assert r["n"] == r["n_finite"] > 0 and r["centred"]
