@@ -419,3 +419,8 @@ def test_sampled_profile_above_the_bound(spark, monkeypatch):
 def test_scale_scores_above_the_bound(spark, monkeypatch):
     r = _above_the_bound(spark, monkeypatch, "scale_scores")[0]
     assert r["n"] == r["n_finite"] > 0 and r["centred"]
+
+
+def test_feature_mass_profile_above_the_bound(spark, monkeypatch):
+    rows = _above_the_bound(spark, monkeypatch, "feature_mass_profile")
+    assert len(rows) > 5 and all(r["within"] for r in rows)
