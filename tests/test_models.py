@@ -424,3 +424,8 @@ def test_scale_scores_above_the_bound(spark, monkeypatch):
 def test_feature_mass_profile_above_the_bound(spark, monkeypatch):
     rows = _above_the_bound(spark, monkeypatch, "feature_mass_profile")
     assert len(rows) > 5 and all(r["within"] for r in rows)
+
+
+def test_simulate_flashback_above_the_bound(spark, monkeypatch):
+    r = _above_the_bound(spark, monkeypatch, "simulate_flashback")[0]
+    assert r["n"] == r["n_ids"] == r["n_scored_alike"] == 10_000 and r["mean_within"]
