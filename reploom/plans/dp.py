@@ -202,7 +202,7 @@ def _frontier(model: Model, specs: list[Spec]) -> dict[Spec, list[float]]:
 
 
 def sweep(g: LocalGraph, start, edge, absorb, empty):
-    """Generic forward pass for what is no array: state objects per node, combined by `empty`; used for k-best and histograms."""
+    """Generic forward pass for what is no array: state objects per node, combined by `empty`; used for histograms."""
     frontier = {g.root: start} if g.root >= 0 else {}
     starts = g.starts().tolist()
     for _ in range(MAX_STEPS):
@@ -322,25 +322,63 @@ def least_mass(model: Model, graph: LocalGraph | None = None) -> float:
 
 
 def k_best(model: Model, k: int, most: bool = True, graph: LocalGraph | None = None) -> list[tuple[float, list[str]]]:
-    """The k most (or least) probable complete paths as (log probability, node labels); ties by labels."""
-    g = LocalGraph.within(model, graph)
-    key = (lambda x: (-x[0], x[1])) if most else (lambda x: (x[0], x[1]))
-    done: list[tuple[float, list[str]]] = []
-    if g is None:
-        order = [F.desc("lp") if most else F.asc("lp"), F.asc("path")]
-        best = lambda df: df.withColumn("_r", F.row_number().over(Window.partitionBy("node").orderBy(*order))).filter(F.col("_r") <= k).drop("_r")
-        moved = {"lp": F.col("lp") + F.col("lw"), "path": F.array_append("path", F.col("dst"))}
-        for ended in walk(model, {"lp": 0.0, "path": [model.root]}, moved, best, "lp double, path array<string>"):
-            done += [(r["lp"], list(r["path"])) for r in ended.orderBy(*order).limit(k).collect()]
-        return sorted(done, key=key)[:k]
-    lw = np.log(g.w).tolist()
-
-    def merge(a, b):
-        return sorted([*a, *b], key=lambda x: (-x[0] if most else x[0], x[1]))[:k]
-
-    def absorb(_d, v):
-        done.extend((lp, [g.labels[n] for n in p]) for lp, p in v)
-
-    # nodes are numbered in label order, so paths of numbers compare as their labels do
-    sweep(g, [(0.0, (g.root,))], lambda v, i: [(lp + lw[i], (*p, int(g.dst[i]))) for lp, p in v], absorb, merge)
-    return sorted(done, key=key)[:k]
+    """The k most (or least) probable complete paths as (log probability, node labels); ties by labels.
+
+    A backward pass gives the best way on from every node. With it a beginning is worth its best completion, and as different beginnings of one
+    length have different completions, only the k best of them, with the paths that have ended, go on: no path is lost.
+    """
+    g, sign = LocalGraph.within(model, graph), 1.0 if most else -1.0
+    root, onward = (model.root, _onward_joined(model, sign)) if g is None else (g.root, _onward(g, sign))
+    live, done = [(0.0, 0.0, (root,), g is not None and g.root < 0)], []
+    for _ in range(MAX_STEPS):
+        live = [x for x in live if not x[3]]
+        if not live:
+            # nodes are numbered in label order, so paths of numbers compare as their labels do
+            best = sorted(((lp, p) for lp, _, p, _ in done), key=lambda x: (-sign * x[0], x[1]))
+            return [(lp, list(p) if g is None else [g.labels[n] for n in p]) for lp, p in best]
+        at: dict[object, list[tuple[float, tuple]]] = {}
+        for lp, _, path, _ in live:
+            at.setdefault(path[-1], []).append((lp, path))
+        new = [(lp + lw, rest, (*path, d), end) for s, d, lw, rest, end in onward(list(at)) for lp, path in at[s]]
+        live = sorted([*done, *new], key=lambda x: (-round(sign * (x[0] + x[1]), 10), x[2]))[:k]
+        done = [x for x in live if x[3]]
+    raise ModelError(_CYCLIC)
+
+
+Onward = Callable[[list], list[tuple[object, object, float, float, bool]]]
+
+
+def _onward(g: LocalGraph, sign: float) -> Onward:
+    """The steps (from, to, log weight, that of the best way on from there, whether it ends there) of some nodes; the way on by one pass back from the sinks."""
+    lw, starts, rest = np.log(g.w), g.starts(), np.where(g.sink, 0.0, -np.inf)
+    for nodes in reversed([np.unique(g.src[e]) for e in g.steps()]):
+        e = _ranges(starts, nodes)
+        rest[nodes] = -np.inf
+        np.maximum.at(rest, g.src[e], sign * lw[e] + rest[g.dst[e]])
+
+    def steps(nodes: list[int]) -> list:
+        e = _ranges(starts, np.array(nodes))
+        e = e[np.isfinite(rest[g.dst[e]])]
+        d = g.dst[e]
+        return list(zip(g.src[e].tolist(), d.tolist(), lw[e].tolist(), (sign * rest[d]).tolist(), g.sink[d].tolist()))
+
+    return steps
+
+
+def _onward_joined(model: Model, sign: float) -> Onward:
+    """_onward by joins: the way on from each node until a round changes none of them."""
+    sinks = cut(model.sinks())
+    edges = cut(model.edges.select("src", "dst", F.log("w").alias("lw")).join(sinks.withColumnRenamed("node", "src"), "src", "left_anti"))
+    ends = sinks.select("node", F.lit(0.0).alias("rest"))
+    rest, before = ends, None
+    for _ in range(MAX_STEPS + 1):
+        back = edges.join(rest, F.col("dst") == F.col("node")).groupBy(F.col("src").alias("node")).agg(F.max(F.lit(sign) * F.col("lw") + F.col("rest")).alias("rest"))
+        rest = cut(back.unionAll(ends))
+        now = tuple(rest.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("node", "rest"))).first())
+        if now == before:
+            break
+        before = now
+    else:
+        raise ModelError(_CYCLIC)
+    known = cut(edges.join(rest, F.col("dst") == F.col("node")).join(sinks.select(F.col("node").alias("end")), F.col("dst") == F.col("end"), "left").select("src", "dst", "lw", (F.lit(sign) * F.col("rest")).alias("rest"), F.col("end").isNotNull().alias("is_end")))
+    return lambda nodes: [tuple(r) for r in known.filter(F.col("src").isin(nodes)).collect()]  # the edges of at most k nodes

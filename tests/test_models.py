@@ -429,3 +429,33 @@ def test_feature_mass_profile_above_the_bound(spark, monkeypatch):
 def test_simulate_flashback_above_the_bound(spark, monkeypatch):
     r = _above_the_bound(spark, monkeypatch, "simulate_flashback")[0]
     assert r["n"] == r["n_ids"] == r["n_scored_alike"] == 10_000 and r["mean_within"]
+
+
+@pytest.mark.parametrize("most", [True, False])
+def test_k_best_keeps_k_paths_only(most):
+    """The best of a wide graph against all best paths of every node, in memory that does not hold those."""
+    import tracemalloc
+
+    rng, layers, width, fan, k = np.random.default_rng(5), 6, 200, 10, 100
+    labels = [f"n{i:05d}" for i in range(1 + layers * width)]
+    src, dst = [0] * width, list(range(1, 1 + width))
+    for at in range(1, 1 + (layers - 1) * width):
+        after = 1 + ((at - 1) // width + 1) * width
+        src += [at] * fan
+        dst += sorted(after + rng.choice(width, fan, replace=False))
+    w = rng.integers(1, 9, len(src)) / 16  # few values, so many ties
+    sink = np.arange(len(labels)) > (layers - 1) * width
+    g = dp.LocalGraph(labels, labels, np.array(src), np.array(dst), np.ones(len(src)), w, sink, 0)
+    kept, sign = {0: [(0, ())]}, -1 if most else 1  # products of whole numbers, so that ties are exact
+    for s, d, x in zip(src, dst, np.round(w * 16).astype(int).tolist()):
+        kept.setdefault(int(d), []).extend((sign * (abs(p) or 1) * x, (*q, int(d))) for p, q in kept[s])
+        if s + 1 == d or len(kept[int(d)]) > 4 * k:
+            kept[int(d)] = sorted(kept[int(d)])[:k]
+    want = sorted(x for n in np.flatnonzero(sink) for x in kept.get(int(n), []))[:k]
+    tracemalloc.start()
+    got = dp.k_best(None, k, most, g)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [lp for lp, _ in got] == pytest.approx([math.log(abs(p)) - layers * math.log(16) for p, _ in want])
+    assert sorted(p[1:] for _, p in got) == sorted([labels[n] for n in q] for _, q in want)
+    assert peak < 3e6
